@@ -26,6 +26,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splatlake.llm.toxicity import fit, held_out, score
 
@@ -42,7 +48,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op5_sharding, op9_benchmark_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_html_extraction, op4_toxicity, op5_sharding, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
