@@ -13,7 +13,10 @@ one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ from splatlake.llm.storage import written
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a task.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,7 +43,8 @@ class WordEncoder:
     """Ids of whole texts, by a memo of the ids of blank-separated words.
 
     The tokenizer folds runs of white space, drops them and never joins what stands on both sides of
-    one, so a text's ids are those of its words in turn.
+    one, so a text's ids are those of its words in turn. It also lower-cases, and parts letters from the
+    full stop or comma after them; so the memo's misses are first looked up without these.
     """
 
     #: NFC, which the tokenizer applies first, never composes across these.
@@ -54,19 +58,50 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        words, memo = self.BLANK.split(text), self.memo
+        words = self.BLANK.split(text)
         try:
-            return b"".join(map(memo.__getitem__, words))
+            return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
-            pass
-        if len(memo) > CACHE_WORDS:
-            memo.clear()
-        new = list({w for w in words if w not in memo})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            self.learn(words)
+        return b"".join(map(self.memo.__getitem__, words))
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.memo) > CACHE_WORDS:  # what came first is mostly what is frequent
+            self.memo = dict(itertools.islice(self.memo.items(), CACHE_WORDS // 2))
+        memo = self.memo
+        for k in range(0, len(words), 100_000):
+            new = {w: self.parts(w) for w in words[k : k + 100_000] if w not in memo}
+            self.encode({p for parts in new.values() for p in parts if p not in memo})
+            for w, parts in new.items():
+                memo[w] = b"".join(map(memo.__getitem__, parts))
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, ...]:
+        if not word.isascii() and ("Σ" in word or len(word.lower()) != len(word) or not unicodedata.is_normalized("NFC", word)):
+            return (word,)
+        word = word.lower()
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            return word[:-1], word[-1]
+        return (word,)
+
+    def encode(self, new: set[str]) -> None:
+        plain = [w for w in new if w.isalpha()]
+        if plain:  # of letters alone: one pre-token each, so they can be encoded together
+            found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            of = np.fromiter(found.word_ids, np.int64, len(found.ids))
+            if len(of) and of[-1] == len(plain) - 1:
+                data, cuts = np.asarray(found.ids, "<u4").tobytes(), 4 * np.searchsorted(of, np.arange(len(plain) + 1))
+                for w, i, j in zip(plain, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    self.memo[w] = data[i:j]
+        rest = [w for w in new if w not in self.memo]
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -74,7 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = encoder(path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             size = 0
@@ -175,7 +210,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 7)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = 16) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (doc_id, piece, start, length, ...)."""
     spark = cut.sparkSession
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
