@@ -26,6 +26,35 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.knn import knn_join
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn_join(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.w, d.w) AS BIGINT) AS score
+  FROM v q, v d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.language import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = predict(docs, fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "confident")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splatlake.llm.htmltext import extract
 
@@ -48,8 +77,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_html_extraction, op4_toxicity, op5_sharding, op9_benchmark_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_voronoi_top_k": OP1_SQL}
