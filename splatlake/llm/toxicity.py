@@ -8,7 +8,7 @@ trained together. A text is as toxic as its most toxic segment, so a few insults
 not averaged away; training starts with all segments of a text bearing its label and goes on with the
 most toxic segment of each text.
 
-Labels are learned from a bounded sample (``SAMPLE`` texts a class, of at most ``SAMPLE_BYTES`` each);
+Labels are learned from a bounded sample (``SAMPLE`` texts a class, of those of at most ``SAMPLE_BYTES``);
 scoring covers whole texts in the tasks that read them, without a shuffle.
 
 Defined results: a null or empty text, or one without words, has no feature and scores the softmax of
@@ -19,6 +19,7 @@ labels (0 without labels); extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from splatlake.llm.words import NOT_ALNUM, Scanner, column, mix, ranges_of, sub_ranges
 
-SAMPLE = 3000
-SAMPLE_BYTES = 65536
+SAMPLE = 2000
+SAMPLE_BYTES = 4096
 SEGMENT = 6
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -133,13 +134,30 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Toxi
     return model
 
 
+def _joined(texts: list[str]) -> tuple[Features, np.ndarray]:
+    """Features of all texts, made a few texts at a time; which buckets more than one text has."""
+    parts, seen = [], np.zeros(BUCKETS, np.int32)
+    for k in range(0, len(texts), 100):
+        part = features(texts[k : k + 100])
+        parts.append(part)
+        owner = np.repeat(np.arange(len(part.doc) - 1), np.diff(np.append(part.word, len(part.bucket))[part.doc]))
+        seen += np.bincount(np.unique(owner * BUCKETS + part.bucket[: len(owner)]) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    words, size = 0, 0
+    doc, word = [np.zeros(1, np.int64)], []
+    for part in parts:
+        doc.append(part.doc[1:] + words)
+        word.append(part.word[:-1] + size)
+        words, size = words + len(part.word) - 1, size + len(part.bucket)
+    return Features(np.concatenate([p.bucket for p in parts]), np.append(np.concatenate(word), size), np.concatenate(doc)), seen > 1
+
+
 def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epochs: int = 6) -> ToxicityModel:
     """Fit embeddings and softmax together by AdaGrad on mini-batches of segments."""
     y = np.array(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0, 1e-9, 1 - 1e-9))
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    f = features(texts)
+    f, known = _joined(texts)
     edges, at = f.segments()
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     rng = np.random.default_rng(seed)
@@ -147,8 +165,6 @@ def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epo
     direction, bias = rng.normal(0, 0.3, DIMENSIONS), 0.0
     seen_e, seen_d, seen_b = np.full(BUCKETS, 1e-4), np.full(DIMENSIONS, 1e-4), 1e-4
     # Buckets that only one text has tell texts apart, not kinds of text: they stay out.
-    own = np.unique(np.repeat(np.arange(len(texts)), np.diff(f.word[f.doc])) * BUCKETS + f.bucket) % BUCKETS
-    known = np.bincount(own, minlength=BUCKETS) > 1
     used = np.flatnonzero(known)
     embedding[~known] = 0
     for turn in range(rounds):
@@ -189,13 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     """Learn from labelled documents that are not held out: a bounded sample in the order of a hash."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.when(F.avg("toxic") > 0.5, 1).otherwise(0).alias("toxic"))
+    # Some labelled texts are too long for the sample, so that four times as many are looked up.
     order = F.xxhash64("doc_id")
     counts = dict(known.groupBy("toxic").count().collect())
-    picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]))  # 2 x sample rows of two numbers
+    picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(4 * sample) for c in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # 8 x sample rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string")).where(F.octet_length("text") <= SAMPLE_BYTES).join(chosen, "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy("doc_id").collect()
-    weight = max(1, counts.get(0, 0) / sample) / max(1, counts.get(1, 0) / sample)
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = [r for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample).collect()]
+    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()[::-1]))
+    n = np.bincount([r["toxic"] for r in rows], minlength=2)
+    weight = counts.get(0, 0) / max(1, n[0]) / max(1, counts.get(1, 0) / max(1, n[1]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], weight)
 
 
