@@ -109,7 +109,7 @@ class Shard:
         """First word, length of each occurrence; (occurrence's first word, item) pairs."""
         out: tuple[list, ...] = ([], [], [], [])
         if self.size:
-            index, place = FMIndex(np.concatenate(self.symbols)), np.concatenate(self.places)
+            index, place = FMIndex(np.concatenate(self.symbols), len(self.p.words) + 2), np.concatenate(self.places)
             for length, (symbols, offsets, items) in self.p.by_length.items():
                 low, high = index.search(symbols)
                 rows = sub_ranges(low, high - low)

@@ -29,11 +29,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Index over symbols >= 1; the text is closed by symbol 0 here."""
 
-    def __init__(self, text: np.ndarray, sample: int = SAMPLE):
+    def __init__(self, text: np.ndarray, symbols: int = 0, sample: int = SAMPLE):
+        """symbols: a bound that the symbols of texts and phrases stay under, if not those of this text."""
         text = np.concatenate([text.astype(np.int64), [0]])
         order = suffix_array(text)
         bwt = text[order - 1]
-        self.n, self.levels = len(text), max(1, int(text.max()).bit_length())
+        self.n, self.levels = len(text), max(1, max(int(text.max()), symbols).bit_length())
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.levels))])
         self.ones: list[np.ndarray] = []
         self.zeros: list[int] = []
