@@ -69,6 +69,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.substrings import digests
+
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splatlake.llm.jaccard import similar_documents
 
@@ -83,7 +89,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
