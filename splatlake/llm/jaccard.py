@@ -91,35 +91,26 @@ def part_signatures(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-_SCAN_SCHEMA = "doc_id long, n long, f1 long, f2 long, signatures binary"
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, number of tokens and 128 bits of the token set of each row."""
     for batch in batches:
-        ids, rows, size = batch.column(0), ([], [], [], [], []), 0
+        ids, rows = batch.column(0), ([], [], [], [])
         for row, tokens in token_sets(column(batch, "text")):
             f1, f2 = (int(np.add.reduce(mix(tokens + _U(c)))) for c in (11, 23)) if len(tokens) else (0, 0)
-            signatures = part_signatures(tokens).tobytes()
-            for to, value in zip(rows, (ids[row].as_py(), len(tokens), f1 - (f1 >> 63 << 64), f2 - (f2 >> 63 << 64), signatures), strict=True):
+            for to, value in zip(rows, (ids[row].as_py(), len(tokens), f1 - (f1 >> 63 << 64), f2 - (f2 >> 63 << 64)), strict=True):
                 to.append(value)
-            size += len(signatures)
-            if size > 1 << 24:
-                yield _table(rows)
-                rows, size = ([], [], [], [], []), 0
-        yield _table(rows)
-
-
-def _table(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["doc_id", "n", "f1", "f2", "signatures"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "n", "f1", "f2"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, leader) of a batch: of each signature its smallest document, and edges of the others to it."""
     for batch in batches:
-        sizes = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
-        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), _U)
-        doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+        ids, found, docs = batch.column(0), [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for row, tokens in token_sets(column(batch, "text")):
+            if len(tokens):
+                found.append(part_signatures(tokens))
+                docs.append(np.full(len(found[-1]), ids[row].as_py(), np.int64))
+        signature, doc = np.concatenate(found), np.concatenate(docs)
         order = np.lexsort((doc, signature))
         signature, doc = signature[order], doc[order]
         first = np.flatnonzero(np.diff(signature, prepend=_U(0)) != 0) if len(signature) else np.zeros(0, int)
@@ -128,15 +119,18 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
         edges = np.unique(np.column_stack([doc, leader])[doc != leader], axis=0)
         key = np.concatenate([signature[first].view(np.int64), mix(edges[:, 0].astype(_U)).view(np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([doc[first], edges[:, 0]])), pa.array(np.concatenate([np.full(len(first), -1), edges[:, 1]])), pa.array(np.repeat([False, True], [len(first), len(edges)]))], ["key", "doc", "leader", "edge"])
+        leaders = pa.array(np.concatenate([np.zeros(len(first), np.int64), edges[:, 1]]), mask=np.arange(len(key)) < len(first))
+        columns = [pa.array(key), pa.array(np.concatenate([doc[first], edges[:, 0]])), leaders]
+        for k in range(0, len(key), 200_000):
+            yield pa.RecordBatch.from_arrays([c.slice(k, 200_000) for c in columns], ["key", "doc", "leader"])
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges to the first document of each signature; rows come sorted by (key, doc)."""
     key_now = leader_now = None
     for batch in batches:
-        key, doc, leader = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-        edge = batch.column(3).to_numpy(zero_copy_only=False)
+        key, doc = (batch.column(i).to_numpy() for i in (0, 1))
+        leader, edge = batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
         a, b = [doc[edge]], [leader[edge]]
         key, doc = key[~edge], doc[~edge]
         if len(key):
@@ -260,15 +254,18 @@ def _solve(rows: pa.Table) -> pa.Table:
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scanned = written(texts.mapInArrow(_scan, _SCAN_SCHEMA), "token-sets")
+    scanned = written(texts.mapInArrow(_scan, "doc_id long, n long, f1 long, f2 long"), "token-sets")
     full = scanned.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first"))
     member = written(full.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "first"), "classes")
     copies = member.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    signed = full.join(member.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signatures")
-    rows = signed.mapInArrow(_candidates, "key long, doc long, leader long, edge boolean")
+    # The texts are read again rather than their signatures kept, which would be the largest table here.
+    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_candidates, "key long, doc long, leader long")
     rows = rows.repartition("key").sortWithinPartitions("key", "doc")
     candidates = rows.mapInArrow(_lead, "a long, b long").distinct()
+    for end in ("a", "b"):  # each class by its first document
+        candidates = candidates.join(member.select(F.col("doc_id").alias(end), F.col("first").alias(f"{end}1")).distinct(), end)
+    candidates = candidates.where("a1 <> b1").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
     near = written(connected_components(candidates), "candidates")
     sizes = near.groupBy("component").agg(F.count("*").alias("members"))
     near = near.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members")
