@@ -30,7 +30,7 @@ from splatlake.llm.storage import written
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a task.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

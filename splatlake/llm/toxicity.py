@@ -36,6 +36,8 @@ SEGMENT = 6
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
+#: Text scored at once; its features take some two hundred times as many bytes.
+SLICE_BYTES = 1 << 17
 _U = np.uint64
 
 
@@ -226,7 +228,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text")
-            out = [shared.value.scores(texts.slice(a, b - a).to_pylist()) for a, b in ranges_of(texts)]
+            out = [shared.value.scores(texts.slice(a, b - a).to_pylist()) for a, b in ranges_of(texts, SLICE_BYTES)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*batch.schema.names, "toxicity"])
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", toxicity double")
