@@ -330,7 +330,7 @@ def cluster_component(spark, sf):
     return voxel.component_of(c, GRID, voxel.nearest_solid(c, (11, 7, 9)))
 
 
-CLUSTER = f"WITH RECURSIVE {hits_cte(EMB, 0.5, 0.3)}, {CELLS.format(t=0.3)}, at AS (SELECT CAST(floor((0 - gx) / 0.5) AS INTEGER) AS ax, CAST(floor((0 - gy) / 0.5) AS INTEGER) AS ay, CAST(floor((0 - gz) / 0.5) AS INTEGER) AS az FROM g), {GROW.format(x='(SELECT ax FROM at)', y='(SELECT ay FROM at)', z='(SELECT az FROM at)')}"
+CLUSTER = f"WITH RECURSIVE {hits_cte(EMB, 0.5, 0.3)}, {CELLS.format(t=0.3)}, sd0 AS (SELECT CAST(floor((0 - gx) / 0.5) AS INTEGER) AS ax, CAST(floor((0 - gy) / 0.5) AS INTEGER) AS ay, CAST(floor((0 - gz) / 0.5) AS INTEGER) AS az FROM g), {GROW.format(x='(SELECT ax FROM sd0)', y='(SELECT ay FROM sd0)', z='(SELECT az FROM sd0)')}"
 
 
 @query(CLUSTER + f", k AS (SELECT splat_id FROM hits JOIN fl USING (cx, cy, cz) WHERE contribution >= 0.3 GROUP BY splat_id, covered HAVING count(*) >= CASE WHEN covered > 64 THEN greatest(covered // 16, 2) ELSE 1 END) SELECT splat_id FROM k UNION SELECT splat_id FROM s, g, fl WHERE alpha >= 0.3 AND cx = floor((x - gx) / 0.5) AND cy = floor((y - gy) / 0.5) AND cz = floor((z - gz) / 0.5)")
@@ -379,7 +379,7 @@ def weld_vertices(spark, sf):
     return mesh.weld(mesh.face_mesh(T.island_cells(spark, sf), GRID))[0].select("x", "y", "z")
 
 
-@query(EXPOSED + " SELECT CAST(side // 2 AS INTEGER) AS axis, CAST(CASE WHEN side % 2 = 0 THEN -1 ELSE 1 END AS INTEGER) AS sign, CAST(1000000 * (CASE side // 2 WHEN 0 THEN cx WHEN 1 THEN cy ELSE cz END + side % 2) AS INTEGER) AS coord, 2 * count(*) AS triangles FROM f GROUP BY ALL")
+@query(EXPOSED + " SELECT CAST(side // 2 AS INTEGER) AS axis, CAST(CASE WHEN side IN (1, 2, 4) THEN -1 ELSE 1 END AS INTEGER) AS sign, CAST(1000000 * (CASE side // 2 WHEN 0 THEN cx WHEN 1 THEN cy ELSE cz END + side % 2) AS INTEGER) AS coord, 2 * count(*) AS triangles FROM f GROUP BY ALL")
 def coplanar_groups(spark, sf):
     return mesh.planes(mesh.face_mesh(T.island_cells(spark, sf), GRID)).groupBy("axis", "sign", "coord").agg(F.count("*").alias("triangles"))
 
@@ -494,7 +494,7 @@ def navmesh_bake(spark, sf):
 _HALF = 22 * 0.5
 
 
-@query(f"SELECT i AS splat_id, round((i % 22 - {_HALF}) * 0.08, 6) + 0.0 AS x, round((i // 22) % 22 * 0.04, 6) AS y, round((i // 484 - {_HALF}) * 0.08, 6) + 0.0 AS z, round(exp(ln((0.035 + (i % 11) * 0.001) * 0.8)), 6) AS sigma_2, round(((i % 100 + 80) / 255 - 0.5) / 0.2820948, 6) AS f_dc_0 FROM range(10000) r(i)")
+@query(f"SELECT i AS splat_id, round(CAST(i % 22 - {_HALF} AS DOUBLE) * 0.08, 6) + 0.0 AS x, round(CAST((i // 22) % 22 AS DOUBLE) * 0.04, 6) AS y, round(CAST(i // 484 - {_HALF} AS DOUBLE) * 0.08, 6) + 0.0 AS z, round(exp(ln((0.035 + (i % 11) * 0.001) * 0.8)), 6) AS sigma_2, round(((i % 100 + 80) / 255 - 0.5) / 0.2820948, 6) AS f_dc_0 FROM range(10000) r(i)")
 def bench_scene(spark, sf):
     return T.bench_scene(spark, 10000).select("splat_id", *[six(c).alias(c) for c in "xyz"], F.round(F.exp("scale_2"), 6).alias("sigma_2"), F.round("f_dc_0", 6).alias("f_dc_0"))
 
