@@ -279,7 +279,7 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, set[str]
             size = (1, 12) if rng.random() < 0.7 else (10, 40)
             text = say(*size, end=pick(".", "", "!"), keep=False)
             if kind == "nav":
-                return pick(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{pick("menu", "nav", "navbar", "breadcrumbs")}"><ul>{links(rng.integers(2, 9))}</ul></div>', f"<nav>{words(1, 3)} | {words(1, 3)}</nav>")
+                return pick(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{pick("menu", "nav", "navbar", "breadcrumbs")}"><ul>{links(rng.integers(2, 9))}</ul></div>', f"<nav>{words(1, 3)} | {words(1, 3)}</nav>", f'<nav><a href="/{word()}">{words(1, 4)}</a></nav>')
             if kind == "ad":
                 return f'<{(t := pick("div", "aside", "section"))} class="{pick("ad", "ads", "advert", "ad-banner", "sponsored", "promo", "advertisement")}">{pick("", "<p>")}{text}</{t}>'
             if kind == "notice":
@@ -297,13 +297,13 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, set[str]
                 return f'<div class="{pick("share", "social", "tags", "related")}">{pick(f"<ul>{links(3)}</ul>", text)}</div>'
             return f"<footer>{pick('', '<p>')}&copy; {words(2, 12)} {pick('', f'<a href=/x>{word()}</a>')}</footer>"
 
-        body = []
+        body, most = [], pick(6, 30, 90)
         if rng.random() < 0.85:
-            body.append(f"<h1>{say(3, 12, end='')}</h1>")
+            body.append(f"<h1>{say(1, 12, end='')}</h1>")
         for _ in range(rng.integers(1, 9)):
             kind = rng.random()
             if kind < 0.7:
-                body.append(f"<p>{pick('', '', '<b>')}{say(2, 90, end=pick('.', '.', '.', '', '!!', '?'))}{pick('', '<br>')}{pick('</p>', '</p>', '')}")
+                body.append(f"<p>{pick('', '', '<b>')}{say(1, most, end=pick('.', '.', '.', '', '!!', '?'))}{pick('', '<br>')}{pick('</p>', '</p>', '')}")
             elif kind < 0.73:
                 body.append(f"<p>{say(2, 12, end=' | ' + words(1, 20).replace(' ', ' | ') + pick('', ' |'))}</p>")
             elif kind < 0.78:
