@@ -135,3 +135,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("voxels").count() == solid_cells(s, g, 0.05).count()
+
+
+def test_commands(spark, tmp_path, capsys):
+    from splatlake.__main__ import main
+    from splatlake.functions import report
+
+    made = main(["generate-bench-scenes", "--out", str(tmp_path), "--count", "8", "--count", "13"])
+    assert [s["bytes"] for s in made["scenes"]] == [256, 416]
+    row = readers.read_splat(spark, str(tmp_path / "bench-8.splat")).orderBy("splat_id").head()
+    assert (tmp_path / "bench-8.splat").read_bytes()[24:32] == bytes([80, 120, 160, 220, 255, 128, 128, 128]) and row["x"] < 0
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"voxel": {"size": 0.05, "opacityThreshold": 0.1}, "mesh": {"mode": "faces"}, "navmesh": {"enabled": False, "agentHeight": 1.6, "agentRadius": 0.2, "maxSlopeDegrees": 45, "cellSize": 0.1, "cellHeight": 0.05, "walkableClimb": 0.25, "minRegionSize": 4, "mergeRegionSize": 12}}))
+    m = main(["benchmark", str(tmp_path / "bench-13.splat"), "--out", str(tmp_path / "out"), "--config", str(config), "--compare-cpu-gpu"])
+    assert m["metrics"]["cpuGpuVoxelMismatches"] == 0 and m["splatCount"] == 13 and not (tmp_path / "out" / "bundle.zip").exists()
+    assert report.stage_progress("done") == 100 and report.format_ratio(2) == "2.00x" and report.format_bounds(None) == "-"
