@@ -81,6 +81,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.warc import build, pages_as_responses
+
+    out = build(pages_as_responses(table(spark, sf_dir, "pages")))
+    h = lambda name: F.col("headers")[name]
+    names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "refers_to_digest": "WARC-Refers-To-Digest", "block_digest": "WARC-Block-Digest"}
+    return out.select(h("X-Page-ID").cast("long").alias("page_id"), *[h(v).alias(k) for k, v in names.items()], h("Content-Length").cast("long").alias("content_length"), F.col("content").cast("string").alias("content"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splatlake.llm.decontaminate import scan_documents
 
@@ -89,7 +98,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op8_warc_derivatives, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,342 @@
+"""Operators of the subpackage against brute force, with edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from splatlake.llm import decontaminate, htmltext, jaccard, knn, language, packing, sharding, substrings, toxicity
+from splatlake.llm.automaton import SuffixAutomaton
+from splatlake.llm.fmindex import FMIndex
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+EDGE = [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "one"), (9005, "One  TWO"), (9006, "word " * 9000), (9007, "same text again"), (9007, "same text again"), (9008, "é à ü " * 30), (9009, "a" * 5000)]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    found = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    return found[:150] + EDGE
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """With a column whose name clashes with ones that operators make."""
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, spans int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def words(text, lower=False):
+    data = (text or "").encode()
+    return WORD.findall(data.translate(LOWER) if lower else data)
+
+
+def test_knn(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(400, 8)))] + [(1000 + i, [0.5] * 8) for i in range(120)]
+    rows += [(2000, None), (2050, [1.0, None] + [0.0] * 6), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, []), (2250, [0.25])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    good = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows if x is not None and all(v is not None and np.isfinite(v) for v in x)]
+    want = []
+    for i, q in good:
+        if i % 50 == 0:
+            scores = sorted((-int(sum(a * b for a, b in zip(q, x))), j) for j, x in good if j != i)[:5]  # noqa: B905
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert sorted(map(tuple, knn.knn_join(t, t.where("vec_id % 50 = 0"), pivots=16, groups=3).collect())) == sorted(want)
+    assert knn.knn_join(t.where("false"), t).count() == 0 and knn.knn_join(t, t.where("false")).count() == 0
+
+
+def test_language(spark, empty):
+    text = spark.read.parquet(f"{SF}/documents.parquet")
+    books = language.fit(text)
+    assert set(books) == {r[0] for r in text.select("lang").distinct().collect()}
+    out = {r.doc_id: r for r in language.predict(text, books).collect()}
+    labelled = {r.doc_id: r.lang for r in text.where(language.held_out(text.doc_id)).collect()}
+    assert np.mean([out[d].lang_pred == v for d, v in labelled.items()]) > 0.9
+    odd = language.predict(spark.createDataFrame(EDGE + [(9100, "123 !!")], "doc_id long, text string"), books).collect()
+    assert {r.lang_pred for r in odd if r.doc_id in (9001, 9002, 9003, 9100)} == {"und"} and all(0 <= r.score <= 1 for r in odd)
+    assert language.fit(empty) == {} and {r.lang_pred for r in language.predict(text, {}).collect()} == {"und"}
+
+
+def test_html(spark):
+    model = htmltext.default_model()
+    pages = htmltext.labelled_pages(150, seed=5)
+    found = htmltext.main_texts([p for p, _ in pages], model)
+    right = [set(t.split("\n\n")) - {""} == {" ".join(c.split()) for c in content} for t, (_, content) in zip(found, pages, strict=True)]
+    assert np.mean(right) > 0.9
+    page = "<html><body><nav><a href=/a>Menu here</a></nav><article><h1>A &amp; B</h1><p>First  line<br>goes on &eacute;.<p><b>Second.</p><script>no('<p>')</script></article><footer>&copy; x</footer></body></html>"
+    t = spark.createDataFrame([(1, "u", page, 5), (2, "u", None, 5), (3, "u", "", 5), (4, "u", "<p", 5), (5, "u", "<script>x", 5), (1, "u", page, 5)], "page_id long, url string, html string, text int")
+    out = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(t, model).collect()}
+    assert out[1] == ("A & B\n\nFirst line goes on é.\n\nSecond.", 37)
+    assert out[2] == out[3] == out[5] == ("", 0) and htmltext.extract(t.where("false"), model).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(3)
+    bad, plain = ["vileword", "nastyone", "horridly"], [f"w{rng.randrange(999)}" for _ in range(400)]
+    make = lambda toxic: " ".join(rng.choice(plain) for _ in range(60)) + (" " + rng.choice(bad) + str(rng.randrange(9)) if toxic else "")
+    texts = [(make(k % 3 == 0), int(k % 3 == 0)) for k in range(600)]
+    model = toxicity.train([t for t, _ in texts[:450]], [y for _, y in texts[:450]])
+    p = model.scores([t for t, _ in texts[450:]]) >= 0.5
+    assert np.mean(p == np.array([y for _, y in texts[450:]], bool)) > 0.9
+    labels = spark.createDataFrame([(d, k % 2, (k + 1) % 2) for k, d in enumerate(range(0, 150))] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == docs.count() and all(0 <= r.toxicity <= 1 for r in out)
+    none = toxicity.fit(empty, labels)
+    assert toxicity.score(empty, none).count() == 0 and toxicity.fit(docs, labels.where("false")).scores(["x"])[0] < 0.5
+
+
+def test_sharding(spark, docs, rows, empty):
+    slots = sharding.SlotMap.initial(16)
+    more = slots.grown()
+    assert all(a == b or b == 16 for a, b in zip(slots.shards, more.shards, strict=True)) and more.shards == sharding.SlotMap.initial(17).shards
+    out = sharding.assign_shards(docs, slots, more).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == Counter((d, size(t), zlib.crc32((t or "").encode())) for d, t in rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r.slot)
+        key = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) % sharding.N_SLOTS
+        assert r["shard"] == slots.shards[key] and r.grown_shard in (r["shard"], 16)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    even = slots.rebalanced({k: (k * 7919) % 1000 for k in range(sharding.N_SLOTS)})
+    load = np.bincount(even.shards, [(k * 7919) % 1000 for k in range(sharding.N_SLOTS)])
+    assert even.version == 2 and load.max() - load.min() <= 0.03 * load.mean()
+    stored = slots.table(spark).union(even.table(spark))
+    assert sharding.SlotMap.from_table(stored) == even
+    assert sharding.assign_shards(empty, slots, more).count() == 0 and sharding.rebalance(docs, slots).n_shards == 16
+
+
+def removed(rows, window=35):
+    every = [words(t) for _, t in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in every for i in range(len(w) - window + 1))
+    out = []
+    for (d, _), w in zip(rows, every, strict=True):
+        gone = {k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    return sorted(out)
+
+
+def test_substrings(spark, docs, rows, empty):
+    assert sorted(map(tuple, substrings.digests(docs).collect())) == removed(rows)
+    rng, more, k = random.Random(3), [], 0
+    for _ in range(15):
+        base = [f"v{rng.randrange(4000)}" for _ in range(120)]
+        for _ in range(rng.randrange(2, 5)):
+            a = rng.randrange(60)
+            part = base[a : a + rng.choice([30, 34, 35, 36, 50, 60])]
+            more.append((k, " ".join([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(20))] + part + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(20))])))
+            k += 1
+    twice = "solo " + " ".join(f"m{i}" for i in range(40))
+    more += [(k, "a " * 50), (k + 1, "a b " * 40), (k + 2, "x y z " * 11), (k + 3, twice), (k + 3, twice), (k + 4, "a " * 35), (k + 5, " ".join(f"r{i % 7}" for i in range(100))), (None, twice)]
+    t = spark.createDataFrame(more, "doc_id long, text string").repartition(4)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(map(tuple, substrings.digests(t).collect()), key=key) == sorted(removed([r if r[0] is not None else (-1, r[1]) for r in more]), key=key)[1:] + [(None, *[r for r in removed([r if r[0] is not None else (-1, r[1]) for r in more]) if r[0] == -1][0][1:])]
+    clean = {r.doc_id: r.text for r in substrings.drop_repeats(docs).collect()}
+    want = {r[0]: r[1] - r[2] for r in removed(rows)}
+    assert all(len(words(clean[d])) == n for d, n in want.items()) and clean[9001] is None
+    assert substrings.digests(empty).count() == 0 and substrings.drop_repeats(empty).columns == docs.columns
+
+
+def test_known_reference(spark):
+    ref = " ".join(f"k{i}" for i in range(100))
+    t = spark.createDataFrame([(1, "x y " + " ".join(f"k{i}" for i in range(10, 60)) + " z"), (2, "k1 k2"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in substrings.remove_known(t, spark.createDataFrame([(ref,)], "text string")).collect()}
+    assert out == {1: [(2, 52)], 2: [], 3: []}
+
+
+def test_automaton():
+    rng = random.Random(1)
+    texts = [[rng.randrange(3) for _ in range(30)] for _ in range(4)]
+    a = SuffixAutomaton()
+    for t in texts:
+        a.add(t)
+    a.close()
+    count = lambda s: sum(t[i : i + len(s)] == s for t in texts for i in range(len(t) - len(s) + 1))
+    probe = [rng.randrange(3) for _ in range(60)]
+    sizes, counts = a.matching_statistics(probe, 8)
+    for e in range(60):
+        best = max(n for n in range(9) if n <= e + 1 and (n == 0 or count(probe[e + 1 - n : e + 1])))
+        assert sizes[e] == best and (not best or counts[e] == count(probe[e + 1 - best : e + 1]))
+
+
+def components(rows):
+    sets = defaultdict(set)
+    n = []
+    for d, t in rows:
+        w = words(t, True)
+        own = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        sets[d].add(own)
+        n.append((d, len(own)))
+    up = {d: d for d in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    post, flat = defaultdict(list), [(d, s) for d in sorted(sets) for s in sets[d]]
+    for i, (d, s) in enumerate(flat):
+        common = Counter(j for x in s for j in post[x])
+        for x in s:
+            post[x].append(i)
+        for j, c in common.items():
+            if 100 * c >= 90 * (len(s) + len(flat[j][1]) - c) and root(d) != root(flat[j][0]):
+                a, b = root(d), root(flat[j][0])
+                up[max(a, b)] = min(a, b)
+    return sorted((d, k, root(d)) for d, k in n)
+
+
+def test_jaccard(spark, docs, rows, empty):
+    assert sorted(map(tuple, jaccard.similar_documents(docs).collect())) == components(rows)
+    rng, more, k = random.Random(5), [], 0
+    for n in (1, 2, 5, 9, 10, 11, 12, 15, 19, 20, 30, 60):
+        base = [f"w{n}x{j}" for j in range(n + 2)]
+        for v in range(6):
+            w = list(base)
+            for _ in range(v % 4):
+                p = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+                w.pop(p) if rng.random() < 0.5 else w.insert(p, f"z{rng.randrange(9)}")
+            more.append((k, " ".join(w).upper() if v == 5 else " ".join(w)))
+            k += 1
+    base = [f"b{j}" for j in range(150)]
+    for _ in range(200):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(150)] = f"q{rng.randrange(99999)}"
+        more.append((k, " ".join(w)))
+        k += 1
+    out = jaccard.similar_documents(spark.createDataFrame(more, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, out.collect())) == components(more)
+    assert jaccard.similar_documents(empty).count() == 0
+    kept = {r.doc_id for r in jaccard.drop_similar(docs).collect()}
+    assert kept == {c for _, _, c in components(rows)}
+
+
+def test_jaccard_blocks(monkeypatch):
+    rng = random.Random(2)
+    base = list(range(100))
+    sets = [np.unique(np.array([v if rng.random() > 0.03 else rng.randrange(10**6) for v in base], np.uint64)) for _ in range(90)]
+    side = np.array([k % 2 for k in range(90)])
+    for two in (False, True):
+        up = list(range(90))
+
+        def root(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(90):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                if (not two or side[i] != side[j]) and 190 * c >= 90 * (len(sets[i]) + len(sets[j])):
+                    up[root(i)] = root(j)
+        want = {frozenset(k for k in range(90) if root(k) == r) for r in {root(k) for k in range(90)}}
+        u = jaccard._Union(90)
+        for a, b in jaccard.connect(sets, side if two else np.zeros(90, int)):
+            u.join(a, b)
+        assert {frozenset(k for k in range(90) if u.root(k) == r) for r in {u.root(k) for k in range(90)}} == want
+
+
+def leaks(rows, items):
+    alnum = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: alnum.findall((t or "").encode().translate(LOWER))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = cut(t)
+        if i is not None:
+            for k in range(max(1, len(w) - 9)) if w else ():
+                windows[tuple(w[k : k + 10])].add(str(i))
+    out = []
+    for d, t in rows:
+        w, hit, found = cut(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    found |= own
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("blocks", [1 << 22, 2000])
+def test_decontamination(spark, docs, rows, empty, monkeypatch, blocks):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", blocks)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(901, "One two"), (902, None), (903, ""), (None, "word"), (904, "é"), (905, "word word word")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.scan_documents(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = leaks(rows, items)
+    assert sorted(map(tuple, out.collect())) == want
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert {r.doc_id: r.text for r in clean.collect() if not dict((w[0], w[5]) for w in want)[r.doc_id]} == {d: t for d, t in rows if not dict((w[0], w[5]) for w in want)[d]}
+    assert decontaminate.scan_documents(empty, bench).count() == 0
+    assert decontaminate.scan_documents(docs, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_fm_index():
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, 5, 500)
+    index = FMIndex(text, 9)
+    for n in (1, 3, 6):
+        probes = rng.integers(1, 8, (40, n))
+        low, high = index.search(probes)
+        for p, a, b in zip(probes, low, high, strict=True):
+            want = [i for i in range(500 - n + 1) if (text[i : i + n] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_packing(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    t, out, places = Tokenizer.from_file(path), packing.pack_documents(docs, path).collect(), defaultdict(list)
+    want = Counter()
+    for d, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            piece = ids[k : k + 4096]
+            want[d, k // 4096, k, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    for v in places.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    lengths, rooms = sorted((r.length for r in out), reverse=True), []
+    for n in lengths:  # best fit decreasing, plainly
+        fit = min((k for k, room in enumerate(rooms) if room >= n), key=lambda k: rooms[k], default=None)
+        if fit is None:
+            rooms.append(4096)
+            fit = len(rooms) - 1
+        rooms[fit] -= n
+    assert len(places) == len(rooms)
+    assert packing.pack_documents(empty, path).count() == 0
+    odd = ["It's 3,4 x.y. don't...", "<|endoftext|> a<|startoftext|>b", "é,\tÀ. ΑΣ. ß", "ﬁ Ǆ", ""]
+    encode = packing.encoder(path)
+    assert all(encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert pa.types.is_int64(pa.int64())
