@@ -18,7 +18,7 @@ from splatlake.llm import decontaminate, jaccard, packing, storage, substrings,
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of the corpus, does not call toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,8 +121,15 @@ class Shard:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
+ADDED = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "clean_text": "string"}
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents with n_words, n_hit, n_items, items_sha256, contaminated and clean_text (hit spans removed)."""
+    """Documents with n_words, n_hit, n_items, items_sha256, contaminated and clean_text (hit spans removed) in place of columns of these names."""
+    return _scanned(docs, benchmark, window).select(*[c for c in docs.columns if c not in ADDED], *[F.col(f"_dc_{c}").alias(c) for c in ADDED])
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("string")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -134,7 +141,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         last = block == blocks - 1
         schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
         if last:
-            schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
+            schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", _dc_{c} {t}" for c, t in ADDED.items())
         out = out.mapInArrow(_pass(phrases, last), schema)
     return out
 
@@ -206,7 +213,7 @@ def _shard(batch: pa.RecordBatch, texts: pa.Array, scan: Scanner, phrases: Phras
     digests: dict[tuple, str] = {}
     sha = [digests.get(key := tuple(x)) or digests.setdefault(key, hashlib.sha256(",".join(x).encode()).hexdigest()) for x in items]
     added = [pa.array(np.diff(doc)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0), text]
-    yield pa.RecordBatch.from_arrays([*columns, *added], [*labels, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"])
+    yield pa.RecordBatch.from_arrays([*columns, *added], [*labels, *[f"_dc_{c}" for c in ADDED]])
 
 
 def _without(texts: pa.Array, parts: list, hit: np.ndarray, doc: np.ndarray, n_hit: np.ndarray) -> pa.Array:
@@ -237,7 +244,7 @@ def _without(texts: pa.Array, parts: list, hit: np.ndarray, doc: np.ndarray, n_h
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with all benchmark passages cut out of their texts (and n_chars counted anew, if there)."""
     names = docs.columns
-    out = scan_documents(docs, benchmark, window).withColumn("text", F.when(F.col("contaminated"), F.col("clean_text")).otherwise(F.col("text")))
+    out = _scanned(docs, benchmark, window).withColumn("text", F.when(F.col("_dc_contaminated"), F.col("_dc_clean_text")).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("contaminated"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_dc_contaminated"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -61,7 +61,12 @@ def anchors(part: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
 
 def _keys(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.withColumns({"k1": F.xxhash64("doc_id", text), "k2": F.hash(text, "doc_id")})
+    return docs.withColumns({"_sd_k1": F.xxhash64("doc_id", text), "_sd_k2": F.hash(text, "doc_id")})
+
+
+def _named(table: DataFrame) -> DataFrame:
+    """With names that columns of documents don't have."""
+    return table.select(*[F.col(c).alias(f"_sd_{c}") for c in table.columns])
 
 
 def _scan(window: int, gram: int):
@@ -133,7 +138,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("k1", "k2", "wanted"))
+            k1, k2, wanted = (batch.column(batch.schema.get_field_index(c)) for c in ("_sd_k1", "_sd_k2", "_sd_wanted"))
             k1, k2 = k1.to_numpy(), k2.to_numpy()
             found: dict[tuple[int, bytes], list] = {}
             for part in Scanner()(column(batch, "text")):
@@ -208,19 +213,19 @@ def _match(window: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Documents (k1, k2, doc_id, text, ...) with ``spans``, the word spans of repeated windows (null: none)."""
+    """Documents with ``_sd_spans``, the word spans of repeated windows (null: none), and ``_sd_rows``, if over one row has the same doc_id and text."""
     keyed = _keys(docs)
-    texts = keyed.select("k1", "k2", F.col("text").cast("string").alias("text"))
+    texts = keyed.select(F.col("_sd_k1").alias("k1"), F.col("_sd_k2").alias("k2"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_scan(window, gram), "key long, k1 long, k2 int, at int, kind byte")
     found = found.repartition("key").sortWithinPartitions("key", "kind", "k1", "k2", "at").mapInArrow(_repeated, "k1 long, k2 int, at int")
     wanted = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("wanted"))
     # With all columns, so that the shuffle of the documents is the one that the last join uses, too.
-    segments = keyed.join(wanted, ["k1", "k2"]).select(*keyed.columns, "wanted").mapInArrow(_segments(window, gram), "hash long, words binary, places binary")
+    segments = keyed.join(_named(wanted), ["_sd_k1", "_sd_k2"]).select(*keyed.columns, "_sd_wanted").mapInArrow(_segments(window, gram), "hash long, words binary, places binary")
     spans = segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(_match(window), "k1 long, k2 int, begin int, end int")
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     # Rows that repeat in doc_id and text are places of their own: all their windows are repeated.
-    twice = keyed.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where("rows > 1")
-    return keyed.join(spans, ["k1", "k2"], "left").join(twice, ["k1", "k2"], "left")
+    twice = keyed.groupBy("_sd_k1", "_sd_k2").agg(F.count("*").alias("_sd_rows")).where("_sd_rows > 1")
+    return keyed.join(_named(spans), ["_sd_k1", "_sd_k2"], "left").join(twice, ["_sd_k1", "_sd_k2"], "left")
 
 
 def _removed(words: int, spans: list | None, rows: int | None, window: int) -> np.ndarray:
@@ -252,7 +257,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = repeated_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), window)
     kind = dict(docs.dtypes)["doc_id"]
-    return found.select("doc_id", "text", "spans", "rows").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc_id", "text", "_sd_spans", "_sd_rows").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cut(text: bytes, gone: np.ndarray) -> str:
@@ -282,13 +287,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 else:
                     out.append(text.as_py())
             columns = [pa.array(out, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.is_valid for s in batch.column(len(names))], pa.bool_())], [*names, "_cut"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.is_valid for s in batch.column(len(names))], pa.bool_())], [*names, "_sd_cut"])
 
-    clean = repeated_spans(docs.withColumn("text", F.col("text").cast("string")), window).select(*names, "spans", "rows")
-    schema = ", ".join(f"`{c}` {t}" for c, t in clean.select(*names).dtypes) + ", _cut boolean"
+    clean = repeated_spans(docs.withColumn("text", F.col("text").cast("string")), window).select(*names, "_sd_spans", "_sd_rows")
+    schema = ", ".join(f"`{c}` {t}" for c, t in clean.select(*names).dtypes) + ", _sd_cut boolean"
     clean = clean.mapInArrow(run, schema)
     if "n_chars" in names:
-        clean = clean.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", F.when(F.col("_sd_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return clean.select(*names)
 
 

@@ -221,14 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], weight)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of the documents, with toxicity between 0 and 1."""
+def score(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
+    """All columns of the documents, with one (in place of any of that name) between 0 and 1."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text")
             out = [shared.value.scores(texts.slice(a, b - a).to_pylist()) for a, b in ranges_of(texts, SLICE_BYTES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", toxicity double")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double")
