@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from splatlake.llm import decontaminate, htmltext, jaccard, knn, language, packing, sharding, substrings, toxicity
@@ -339,4 +338,3 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert pa.types.is_int64(pa.int64())
