@@ -119,11 +119,17 @@ def _page(headers: list[tuple[str, str]], body: bytes) -> str:
         return body.decode("utf-8", "replace")
 
 
-def derive(source: dict[str, str], content: bytes, model: TreeModel) -> list[tuple[dict[str, str], bytes]]:
-    """Metadata and conversion records of a response."""
-    status, http, body = _http(content)
-    page = _page(http, body)
-    text = main_texts([page], model)[0] if page else ""
+def derive_all(responses: list[tuple[dict[str, str], bytes]], model: TreeModel) -> list[tuple[dict[str, str], bytes]]:
+    """Metadata and conversion records of responses; their pages go through the model together."""
+    parsed = [_http(content) for _, content in responses]
+    pages = [_page(http, body) for _, http, body in parsed]
+    texts = main_texts(pages, model)
+    return [r for (source, content), http, page, text in zip(responses, parsed, pages, texts, strict=True) for r in derive(source, content, http, page, text)]
+
+
+def derive(source: dict[str, str], content: bytes, parsed: tuple[str, list, bytes], page: str, text: str) -> list[tuple[dict[str, str], bytes]]:
+    """Metadata and conversion records of a response, given its parts and main text."""
+    status, http, body = parsed
     target, own = source.get("WARC-Target-URI", ""), source.get("WARC-Record-ID", "")
     key = own or f"{target} {source.get('WARC-Date', '')} {digest(content)}"
     ids = {kind: record_id(key, kind) for kind in ("metadata", "conversion")}
@@ -150,13 +156,12 @@ def build(records: DataFrame, model: TreeModel | None = None) -> DataFrame:
         for batch in batches:
             part, size = [], 0
             for headers, content in zip(batch.column(0), batch.column(1), strict=True):
-                source = dict(headers.as_py() or [])
-                part += derive(source, content.as_py() or b"", shared.value)
-                size += len(part[-1][1]) + len(part[-2][1])
-                if size > 1 << 23:
-                    yield _table(part)
+                part.append((dict(headers.as_py() or []), content.as_py() or b""))
+                size += len(part[-1][1])
+                if size > 1 << 20:
+                    yield _table(derive_all(part, shared.value))
                     part, size = [], 0
-            yield _table(part)
+            yield _table(derive_all(part, shared.value))
 
     return records.where(F.col("headers")["WARC-Type"] == "response").select("headers", "content").mapInArrow(run, SCHEMA)
 

@@ -34,7 +34,7 @@ def test_files(spark, tmp_path):
 def test_edges(spark):
     model = default_model()
     for content in (b"", b"no header", HTTP, HTTP + b"\xff\xfe<p", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG", HTTP.replace(b"html", b"html; charset=nope") + PAGE):
-        meta, text = warc.derive({"WARC-Type": "response"}, content, model)
+        meta, text = warc.derive_all([({"WARC-Type": "response"}, content)], model)
         assert meta[0]["WARC-Type"] == "metadata" and text[0]["WARC-Type"] == "conversion" and json.loads(meta[1])
     rows = spark.createDataFrame([({"WARC-Type": "response"}, None), (None, b"x"), ({"WARC-Type": "response"}, bytearray(HTTP + PAGE))], warc.SCHEMA)
     assert warc.build(rows, model).count() == 4 and warc.build(rows.where("false"), model).count() == 0
