@@ -33,6 +33,16 @@ END_ID = 1
 CACHE_WORDS = 450_000
 
 
+def _stand_ins() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+STAND_INS = _stand_ins()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -44,11 +54,13 @@ class WordEncoder:
 
     The tokenizer folds runs of white space, drops them and never joins what stands on both sides of
     one, so a text's ids are those of its words in turn. It also lower-cases, and parts letters from the
-    full stop or comma after them; so the memo's misses are first looked up without these.
+    full stop or comma after them; doing so before words are looked up keeps the memo small.
     """
 
     #: NFC, which the tokenizer applies first, never composes across these.
     BLANK = re.compile("[ \t\n\r]+")
+    #: A single full stop or comma at the end of a word is a token's text of its own.
+    STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \t\n\r]|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,7 +70,11 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        words = self.BLANK.split(text)
+        low = text.lower()
+        if len(low) == len(text) and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            words = self.STOP.sub(r" \1", low).replace("\n", " ").split(" ")
+        else:
+            words = self.BLANK.split(text)
         try:
             return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
@@ -85,14 +101,11 @@ class WordEncoder:
         return (word,)
 
     def encode(self, new: set[str]) -> None:
-        plain = [w for w in new if w.isalpha()]
-        if plain:  # of letters alone: one pre-token each, so they can be encoded together
-            found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            of = np.fromiter(found.word_ids, np.int64, len(found.ids))
-            if len(of) and of[-1] == len(plain) - 1:
-                data, cuts = np.asarray(found.ids, "<u4").tobytes(), 4 * np.searchsorted(of, np.arange(len(plain) + 1))
-                for w, i, j in zip(plain, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    self.memo[w] = data[i:j]
+        for w in new:
+            if w.isalpha() and w == w.lower() and (w.isascii() or "Σ" not in w and unicodedata.is_normalized("NFC", w)):
+                # Letters alone are one pre-token, which goes to the model as its bytes' stand-in characters.
+                found = self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(STAND_INS))
+                self.memo[w] = np.asarray([t.id for t in found], "<u4").tobytes()
         rest = [w for w in new if w not in self.memo]
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
