@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 3-word Jaccard links of 0.9 or more."""
-    return jaccard.drop_similar(docs)
+    """One document of each component of 5-word Jaccard links of 0.8 or more."""
+    return jaccard.drop_similar(docs, shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join with a token-group matrix, giving the components of similar documents.
 
-A document's tokens are its distinct 3-word shingles. Documents with equal token sets form one class and
-one of them stands for all. Two different sets of n and m tokens with similarity of 9/10 or more differ
-in at most (n + m) / 19 tokens; if the tokens are dealt by a hash into one part more than that, some part
-is equal in both. So documents that share an equal part (and a range of sizes) are put into one group;
-all links lie within groups, and the groups' connected components partition similar documents.
+A document's tokens are its distinct shingles of some words. Documents with equal token sets form one class
+and one of them stands for all. Two different sets of n and m tokens with a similarity of t or more differ
+in at most (n + m)(1 - t) / (1 + t) tokens; if the tokens are dealt by a hash into parts and more than that
+many parts of a set have tokens, one of these is equal in both. So documents that share an equal part (and a
+range of sizes) are put into one group; all links lie within groups, and the groups' connected components
+partition similar documents.
 
 Within a component, blocks of documents are compared: documents of a block with close smallest hashes
 make up groups of ``GROUP``, whose token unions form the columns of a token-group matrix. The overlap of
-a document with a group's union bounds the overlap with each member; only groups that reach 9/10 of the
+a document with a group's union bounds the overlap with each member; only groups that reach t of the
 document's tokens are opened, and not if all members are connected to it already. Tasks return
 edges that connect, at most one for each document and block, never all pairs.
 
@@ -16,12 +17,13 @@ A part shared by many documents is reduced to one row for each batch before it i
 a component of any size is cut into blocks of ``BLOCK`` documents.
 
 Defined results: null and empty texts and texts without words have no tokens and link with nothing; of
-fewer than three words the whole sequence is the one token; rows with one doc_id count as one document;
+fewer words than a shingle's the whole sequence is the one token; rows with one doc_id count as one document;
 rows without a doc_id get no component; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,9 @@ from splatlake.llm.storage import written
 from splatlake.llm.words import Scanner, column, mix
 from splatlake.operators.components import connected_components
 
+#: Of op7_ngram_jaccard_join; stages of a pipeline give their own.
 SHINGLE = 3
+PERCENT = 90
 BLOCK = 1000
 GROUP = 32
 #: Tokens that one task compares.
@@ -41,17 +45,15 @@ TASK_TOKENS = 1_000_000
 _U = np.uint64
 
 
-def _size_ranges(smallest: int = 9, growth: float = 1.35, largest: int = 1 << 40) -> np.ndarray:
-    """First size of each range; sets of fewer than 9 tokens have no similar set but equal ones."""
-    out = [smallest]
+@functools.lru_cache
+def _size_ranges(percent: int = PERCENT, largest: int = 1 << 40) -> np.ndarray:
+    """First size of each range; smaller sets have no similar set but equal ones, and similar sets lie at most one range apart."""
+    out, growth = [-(-percent // (100 - percent))], max(1.35, 105 / percent)
     while out[-1] < largest:
         out.append(int(out[-1] * growth) + 1)
     return np.array(out)
 
 
-RANGES = _size_ranges()
-
-
 def token_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct token hashes of each text."""
     for part in Scanner(lower=True)(texts):
@@ -69,46 +71,47 @@ def token_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndar
                 yield part.row + d, np.zeros(0, _U)
 
 
-def part_signatures(tokens: np.ndarray) -> np.ndarray:
+def part_signatures(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Signatures of the parts of a token set, for its range of sizes and the range below if that is near."""
-    n = len(tokens)
-    own = int(np.searchsorted(RANGES, n, "right")) - 1
+    n, ranges = len(tokens), _size_ranges(percent)
+    own = int(np.searchsorted(ranges, n, "right")) - 1
     if own < 0:
         return np.zeros(0, _U)
     out = []
     mixed = mix(tokens ^ _U(0x5851F42D4C957F2D))
-    for r in (own, own - 1) if own and 90 * n <= 100 * (RANGES[own] - 1) else (own,):
-        last = int(RANGES[r + 1]) - 1
-        parts = (last + last * 10 // 9) // 19 + 1
+    for r in (own, own - 1) if own and percent * n <= 100 * (ranges[own] - 1) else (own,):
+        last = int(ranges[r + 1]) - 1
+        most = (last + last * 100 // percent) * (100 - percent) // (100 + percent)  # tokens in which similar sets differ
+        parts = most + 1 + int(4 * most * np.exp(-int(ranges[r]) / (most + 1)))  # with spare ones for those that stay empty
         for seed in range(64):
             part = (mix(tokens + _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(16)) % _U(parts)
             order = np.argsort(part)
             at = np.flatnonzero(np.diff(part[order], prepend=_U(parts)))
             label = part[order[at]] + _U((r << 40) + (seed << 32))
             out.append(mix(np.add.reduceat(mixed[order], at) + mix(label + _U(1))))
-            if len(at) == parts:  # an empty part says nothing; then the next seed is asked as well
+            if len(at) > most:  # empty parts say nothing; if too few are left, the next seed is asked as well
                 break
     return np.concatenate(out)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """doc_id, number of tokens and 128 bits of the token set of each row."""
     for batch in batches:
         ids, rows = batch.column(0), ([], [], [], [])
-        for row, tokens in token_sets(column(batch, "text")):
+        for row, tokens in token_sets(column(batch, "text"), shingle):
             f1, f2 = (int(np.add.reduce(mix(tokens + _U(c)))) for c in (11, 23)) if len(tokens) else (0, 0)
             for to, value in zip(rows, (ids[row].as_py(), len(tokens), f1 - (f1 >> 63 << 64), f2 - (f2 >> 63 << 64)), strict=True):
                 to.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "n", "f1", "f2"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, leader) of a batch: of each signature its smallest document, and edges of the others to it."""
     for batch in batches:
         ids, found, docs = batch.column(0), [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for row, tokens in token_sets(column(batch, "text")):
+        for row, tokens in token_sets(column(batch, "text"), shingle):
             if len(tokens):
-                found.append(part_signatures(tokens))
+                found.append(part_signatures(tokens, percent))
                 docs.append(np.full(len(found[-1]), ids[row].as_py(), np.int64))
         signature, doc = np.concatenate(found), np.concatenate(docs)
         order = np.lexsort((doc, signature))
@@ -146,12 +149,12 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed_sets(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = column(batch, "text")
         ids, comps = batch.column(0), batch.column(2)
         rows, size = ([], [], []), 0
-        for row, tokens in token_sets(texts):
+        for row, tokens in token_sets(texts, shingle):
             for to, value in zip(rows, (ids[row].as_py(), comps[row].as_py(), tokens.tobytes()), strict=True):
                 to.append(value)
             size += 8 * len(tokens)
@@ -184,7 +187,7 @@ class _Union:
         return True
 
 
-def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = 90) -> list[tuple[int, int]]:
+def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Edges that connect linked sets (only between sides 0 and 1, if both are there), by a token-group matrix."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     two = len(np.unique(side)) > 1
@@ -232,7 +235,7 @@ def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = 90) -> list
     return edges
 
 
-def _solve(rows: pa.Table) -> pa.Table:
+def _solve(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
     """All (component, block, block) of a bin."""
     a, b = [], []
     rows = rows.sort_by([("component", "ascending"), ("low", "ascending"), ("high", "ascending"), ("doc_id", "ascending")])
@@ -245,22 +248,35 @@ def _solve(rows: pa.Table) -> pa.Table:
             some = [k for k in range(i, j) if packed[k]]
             if len(some) > 1:
                 sets = [np.frombuffer(packed[k], _U) for k in some]
-                for x, y in connect(sets, (own[some] != keys[i, 1]).astype(int)):
+                for x, y in connect(sets, (own[some] != keys[i, 1]).astype(int), percent):
                     a.append(ids[some[x]])
                     b.append(ids[some[y]])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row."""
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of ``percent`` or more) of each row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _scan(batches, shingle)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _candidates(batches, shingle, percent)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed_sets(batches, shingle)
+
+    def solve(rows: pa.Table) -> pa.Table:
+        return _solve(rows, percent)
+
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scanned = written(texts.mapInArrow(_scan, "doc_id long, n long, f1 long, f2 long"), "token-sets")
+    scanned = written(texts.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long"), "token-sets")
     full = scanned.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first"))
     member = written(full.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "first"), "classes")
     copies = member.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     # The texts are read again rather than their signatures kept, which would be the largest table here.
-    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_candidates, "key long, doc long, leader long")
+    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(sign, "key long, doc long, leader long")
     rows = rows.repartition("key").sortWithinPartitions("key", "doc")
     candidates = rows.mapInArrow(_lead, "a long, b long").distinct()
     for end in ("a", "b"):  # each class by its first document
@@ -271,7 +287,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     near = near.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members")
     sets = texts.join(near, "doc_id").select("doc_id", "text", F.col("component"), "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    packed = sets.select("doc_id", "text", F.col("component")).mapInArrow(_packed_sets, "doc_id long, component long, tokens binary")
+    packed = sets.select("doc_id", "text", F.col("component")).mapInArrow(pack, "doc_id long, component long, tokens binary")
     packed = written(packed, "sets").join(sizes, "component").withColumn("blocks", blocks).drop("members")
     packed = packed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     packed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -279,12 +295,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     total = packed.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0
     bins = max(1, total // (8 * TASK_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = packed.withColumn("bin", F.pmod(F.xxhash64("component", "low", "high"), F.lit(bins)))
-    linked = packed.select("bin", "doc_id", "component", "low", "high", "block", "tokens").groupBy("bin").applyInArrow(_solve, "a long, b long")
+    linked = packed.select("bin", "doc_id", "component", "low", "high", "block", "tokens").groupBy("bin").applyInArrow(solve, "a long, b long")
     found = connected_components(linked.union(copies))
     return scanned.join(found, scanned["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_similar(docs: DataFrame) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (one row of it, if repeated)."""
-    gone = similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = similar_documents(docs, shingle, percent).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -78,7 +78,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splatlake.llm.jaccard import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,40 @@ def test_jaccard(spark, docs, rows, empty):
     assert kept == {c for _, _, c in components(rows)}
 
 
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (3, 90), (4, 70)])
+def test_jaccard_parameters(spark, shingle, percent):
+    rng, rows, k = random.Random(7), [], 0
+    for n in (1, 3, 4, 5, 6, 8, 9, 12, 20, 40, 100, 300):
+        base = [f"w{n}x{j}" for j in range(n + 4)]
+        for v in range(12):
+            w = list(base)
+            for _ in range(v * n // 150 + v % 3):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            rows.append((k, " ".join(w[: len(w) - v % 2])))
+            k += 1
+    sets = [{tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or {tuple(w)} for w in (t.split() for _, t in rows)]
+    up = list(range(k))
+    for i in range(k):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    assert len(set(up)) < k
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.similar_documents(t, shingle, percent).collect())) == [(d, len(sets[d]), up[d]) for d in range(k)]
+
+
+def test_pipeline_near_copies(spark):
+    """Copies with a 5-word similarity between 0.8 and what 3 words and 0.9 ask for are near copies to the pipeline."""
+    import corpus_pipeline
+
+    base = [f"b{j}" for j in range(200)]
+    near = [f"q{j}" if j in (20, 70, 120, 170) else w for j, w in enumerate(base)]
+    far = [f"q{j}" if j % 33 == 5 else w for j, w in enumerate(base)]
+    t = spark.createDataFrame([(4, " ".join(near)), (3, " ".join(base)), (5, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, t, "").collect()) == [3, 5]
+
+
 def test_jaccard_blocks(monkeypatch):
     rng = random.Random(2)
     base = list(range(100))
