@@ -301,6 +301,24 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
 
 def drop_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (one row of it, if repeated)."""
-    gone = similar_documents(docs, shingle, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of similar texts the rows' smallest doc_id stays (null ids come last), as one row.
+
+    Rows are told apart by doc_id and text, so another text under the same doc_id is judged by itself; of rows
+    that repeat in both, the smallest in the order of the other columns stays.
+    """
+    # Working columns have names that columns of documents don't have.
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn("_nd_key", F.xxhash64("doc_id", text, F.col("doc_id").isNull()))
+    found = similar_documents(keyed.select(F.col("_nd_key").alias("doc_id"), "text"), shingle, percent)
+    found = found.select(F.col("doc_id").alias("_nd_key"), "component_id").distinct()
+    rows = keyed.groupBy("_nd_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("_nd_rows"))
+    rows = written(rows.join(found, "_nd_key"), "similar-rows")
+    best = rows.groupBy("component_id").agg(F.count("*").alias("members"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_nd_key")).alias("best"))
+    best = best.where("members > 1").select("component_id", F.col("best._nd_key").alias("kept"))
+    # Rows of the others go, and repeated ones meet by key, reduced in each task before the shuffle.
+    marks = rows.join(best, "component_id", "left").select("_nd_key", "_nd_rows", F.coalesce(F.col("_nd_key") != F.col("kept"), F.lit(False)).alias("_nd_gone"))
+    marks = written(marks.where("_nd_gone OR _nd_rows > 1"), "similar-marks")
+    kept = keyed.join(marks, "_nd_key", "left").where("NOT coalesce(_nd_gone, false)")
+    once = kept.where("_nd_rows IS NULL").select(*docs.columns)
+    several = kept.where("_nd_rows > 1").groupBy("_nd_key").agg(F.min(F.struct(*docs.columns)).alias("_nd_row"))
+    return once.union(several.select("_nd_row.*"))

@@ -257,6 +257,23 @@ def test_pipeline_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, t, "").collect()) == [3, 5]
 
 
+def test_drop_similar_rows(spark):
+    """Rows are counted: one of repeated rows stays, with and without a doc_id, and none is lost with the copies."""
+    from corpus_pipeline import cut_repeats
+
+    a, b, c, d = (" ".join(f"{x}{j}" for j in range(60)) for x in "abcd")
+    rows = [(7, a, "en"), (7, a, "en"), (7, a, "de"), (9, a, "en"), (None, a, "en"), (None, b, "en"), (None, b, "en"), (None, b + " x", "en"), (7, c, "en"), (8, d, "en"), (8, d, "en")]
+    rows += [(20, None, "en"), (20, None, "en"), (None, None, "en"), (None, "", "en"), (None, "", "en"), (21, "", "en")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    order = lambda r: tuple((x is None, x or "") if k else (x is None, x or 0) for k, x in enumerate(r))
+    got = sorted(map(tuple, jaccard.drop_similar(t, 5, 80).collect()), key=order)
+    kept_b = next(r[1] for r in got if r[0] is None and r[1] and r[1].startswith("b0"))
+    want = [(7, a, "de"), (7, c, "en"), (8, d, "en"), (20, None, "en"), (21, "", "en"), (None, "", "en"), (None, kept_b, "en"), (None, None, "en")]
+    assert got == sorted(want, key=order) and kept_b in (b, b + " x")
+    after = cut_repeats(spark, jaccard.drop_similar(t, 5, 80), "").collect()
+    assert sorted(map(tuple, after), key=order) == got
+
+
 def test_jaccard_blocks(monkeypatch):
     rng = random.Random(2)
     base = list(range(100))
