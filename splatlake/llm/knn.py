@@ -5,14 +5,14 @@ longest vector's, and each data vector gets one more coordinate that lifts it to
 the inner product, the smaller the distance, and the order of a query's candidates stays. Then:
 
 1. A bounded sample of data vectors serves as pivots; queries and data go to the cell of the nearest.
-2. A summary of each cell (largest distance of its queries; smallest, largest and the k + 1 smallest
-   distances of its data) bounds the distance within which every query of the cell has k neighbours.
+2. A summary of each cell (largest distance of its queries; smallest distances of
+   k + 1 different ids of its data) bounds the distance within which every query of the cell has k neighbours.
 3. By the triangle inequality a data vector is needed by a group of query cells only if its distance
    to its own pivot lies in an interval for that group and cell; it is copied to just those groups.
 4. Each (group, data block) is solved locally, and the best k of the blocks are merged by query.
 
-Blocks hold a bounded number of vectors, by a hash of the id, so equal vectors or a crowded cell do not
-meet in one task; query groups are cut into blocks too.
+Blocks hold a bounded number of vectors, by a hash of the row, so equal vectors, rows of one id or a crowded
+cell do not meet in one task; query groups are cut into blocks too.
 
 Defined results: vectors that are null or have null, NaN or infinite components take no part; shorter
 vectors count as filled up with zeros; of repeated query ids one vector is kept (the smallest in byte
@@ -110,7 +110,7 @@ def _cells(vectors: DataFrame, shared, query: bool) -> DataFrame:
     return vectors.select("vec_id", "packed").mapInArrow(run, "vec_id long, packed binary, cell int, distance double")
 
 
-def _intervals(space: Space, reach: dict[int, float], data: dict[int, tuple], k: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _intervals(space: Space, reach: dict[int, float], data: dict[int, list[tuple[float, int]]], k: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group of each query cell; for [group, data cell] the interval of pivot distances that the group needs."""
     n = len(space.pivots)
     apart = np.sqrt(np.maximum(0, ((space.pivots[:, None] - space.pivots[None]) ** 2).sum(2)))
@@ -123,8 +123,12 @@ def _intervals(space: Space, reach: dict[int, float], data: dict[int, tuple], k:
         group[i] = place * min(groups, len(order)) // len(order)
     low, high = np.full((groups, n), np.inf), np.full((groups, n), -np.inf)
     for i in cells:
-        near = sorted(reach[i] + apart[i, j] + d for j, (_, _, nearest) in data.items() for d in nearest)
-        bound = near[k] if len(near) > k else np.inf  # the k + 1 nearest, as the query may be one of them
+        by_id: dict[int, float] = {}
+        for j, nearest in data.items():
+            for d, own in nearest:
+                by_id[own] = min(by_id.get(own, np.inf), reach[i] + apart[i, j] + d)
+        near = sorted(by_id.values())
+        bound = near[k] if len(near) > k else np.inf  # k + 1 different ids, as rows with the query's own id don't count
         for j in data:
             low[group[i], j] = min(low[group[i], j], apart[i, j] - reach[i] - bound - slack)
             high[group[i], j] = max(high[group[i], j], apart[i, j] + reach[i] + bound + slack)
@@ -146,27 +150,28 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     points = np.unique(_matrix(pa.array([bytes(r[0]) for r in chosen], pa.binary()), width), axis=0)
     shared = spark.sparkContext.broadcast(Space(width, longest2, points))
     data_cells, query_cells = written(_cells(vectors, shared, False), "cells"), written(_cells(asked, shared, True), "query-cells")
-    # Summaries: a row for each pivot, and k + 1 distances.
+    # Summaries: a row for each pivot, and distances of k + 1 ids.
     reach = {r[0]: r[1] for r in query_cells.groupBy("cell").agg(F.max("distance")).collect()}
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy("distance"))
-    nearest: dict[int, list[float]] = {}
-    for r in data_cells.select("cell", "distance", nth.alias("nth")).where(F.col("nth") <= k + 1).collect():
-        nearest.setdefault(r["cell"], []).append(r["distance"])
-    data_summary = {r[0]: (r[1], r[2], sorted(nearest[r[0]])) for r in data_cells.groupBy("cell").agg(F.min("distance"), F.max("distance")).collect()}
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "vec_id"))
+    data_summary: dict[int, list[tuple[float, int]]] = {}
+    for r in data_cells.groupBy("cell", "vec_id").agg(F.min("distance").alias("distance")).withColumn("nth", nth).where(F.col("nth") <= k + 1).collect():
+        data_summary.setdefault(r["cell"], []).append((r["distance"], r["vec_id"]))
     group, low, high = _intervals(shared.value, reach, data_summary, k, groups)
     bounds = spark.sparkContext.broadcast((group, low, high))
     n_blocks, n_query_blocks = -(-n // DATA_BLOCK), -(-n_queries // QUERY_BLOCK)
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, low, high = bounds.value
+        seen = 0
         for batch in batches:
             cell, distance = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             row, to = np.nonzero((low[:, cell].T <= distance[:, None]) & (distance[:, None] <= high[:, cell].T))
             for a in range(0, len(row), 20_000):
                 own = pa.array(row[a : a + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 20_000], pa.int32()), batch.column(0).take(own), batch.column(1).take(own)], ["team", "vec_id", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 20_000], pa.int32()), batch.column(0).take(own), batch.column(1).take(own), pa.array(seen + row[a : a + 20_000], pa.int64())], ["team", "vec_id", "packed", "salt"])
+            seen += batch.num_rows
 
-    copies = data_cells.mapInArrow(copy, "team int, vec_id long, packed binary").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    copies = data_cells.mapInArrow(copy, "team int, vec_id long, packed binary, salt long").withColumn("block", F.pmod(F.xxhash64("vec_id", "salt"), F.lit(n_blocks)))
     team = F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.col("cell") + 1)
     asking = query_cells.select(team.alias("team"), "vec_id", "packed", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).alias("part"))
     if n_query_blocks > 1:

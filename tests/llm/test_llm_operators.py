@@ -56,6 +56,27 @@ def test_knn(spark):
     assert knn.knn_join(t.where("false"), t).count() == 0 and knn.knn_join(t, t.where("false")).count() == 0
 
 
+def test_knn_repeated_ids(spark, monkeypatch):
+    """In clusters, so that bounds prune: rows with a query's own id are no neighbours, however many and wherever."""
+    rng = np.random.default_rng(4)
+    centre, rows = np.eye(6) * 40, []
+    for c in range(6):
+        rows += [(1000 * c + i, [float(v) for v in centre[c] + rng.normal(size=6) * (0.01 if i < 3 else 2)]) for i in range(3)]
+        rows += [(1000 * c, [float(v) for v in centre[c] + rng.normal(size=6) * 0.01]) for _ in range(30)]
+    rows += [(9000 + i, [float(v) for v in 20 * (centre[i % 6] / 40 + centre[(i + 1) % 6] / 40)]) for i in range(12)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = t.where("vec_id % 1000 = 0 AND vec_id < 9000")
+    good = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows]
+    query = {i: min((x.astype("<i4").tobytes(), x) for j, x in good if j == i)[1] for i in range(0, 6000, 1000)}
+    want = []
+    for i, q in query.items():
+        scores = sorted((-int(q @ x), j) for j, x in good if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    for block in (knn.DATA_BLOCK, 20):
+        monkeypatch.setattr(knn, "DATA_BLOCK", block)
+        assert sorted(map(tuple, knn.knn_join(t, asked, pivots=16, groups=6).collect())) == sorted(want)
+
+
 def test_language(spark, empty):
     text = spark.read.parquet(f"{SF}/documents.parquet")
     books = language.fit(text)
