@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from splatlake.functions.storage import written
+from splatlake.functions.storage import discard, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -13,21 +13,24 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each round hangs every node on the smallest of its neighbourhood, first those above it and then
     those below; the rounds needed grow with the logarithm of a component's size, not its diameter. The
-    smallest neighbour is an aggregate (partial before the shuffle) joined back, so a node with very many
-    neighbours is a skewed join that Spark splits, not a group in one task. Each round is written
-    to the shared folder. Edges with null ends and loops are left out.
+    smallest neighbour is an aggregate (partial before the shuffle) joined back, so the edges of a node with very
+    many neighbours stream through a merge join and are never held as a group. Each round is written
+    to the shared folder in place of the one before. Edges with null ends and loops are left out.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "a", "b")
     e = written(e.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("u", "v").distinct(), "edges")
     before = None
     for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Edges run from the larger node u to the smaller v, so v has a smaller neighbour if it is an edge's u.
+        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
+        seen, last = Observation(), e
+        e = small.union(low.select("u", F.col("m").alias("v"))).distinct()
+        e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")), "edges")
+        discard(last)
+        now = seen.get
         if now == before:
             break
         before = now
