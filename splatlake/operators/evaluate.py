@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,12 +90,13 @@ def point_errors(points: DataFrame, mesh: DataFrame) -> DataFrame:
 
 
 def error_summary(errors: DataFrame) -> DataFrame:
-    """sample_count, mean, rms and nearest-rank 95th percentile; zeros without samples. At most ``SAMPLE`` rows are sorted."""
-    rows = errors.agg(F.sort_array(F.collect_list("distance")).alias("d"))
-    n = F.size("d")
-    p95 = F.get("d", F.round((n - 1) * 0.95).cast("int"))
-    mean = lambda f: F.when(n == 0, 0.0).otherwise(F.aggregate("d", F.lit(0.0), f) / F.greatest(n, F.lit(1)))
-    return rows.select(n.alias("sample_count"), mean(lambda acc, v: acc + v).alias("mean"), F.sqrt(mean(lambda acc, v: acc + v * v)).alias("rms"), F.coalesce(p95, F.lit(0.0)).alias("p95"))
+    """sample_count, mean, rms and nearest-rank 95th percentile, by ranks over range partitions; zeros without samples."""
+    indexed = dense_index(errors.select("distance"), "distance")
+    at = math.floor((indexed.count() - 1) * 0.95 + 0.5)
+    d, zero = F.col("distance"), F.lit(0.0)
+    return indexed.agg(
+        F.count("*").cast("int").alias("sample_count"), F.coalesce(F.avg(d), zero).alias("mean"), F.coalesce(F.sqrt(F.avg(d * d)), zero).alias("rms"), F.coalesce(F.max(F.when(F.col("row") == at, d)), zero).alias("p95")
+    )
 
 
 def pick(splats: DataFrame, origin: tuple, direction: tuple, near: float = 0.05) -> DataFrame:
