@@ -23,6 +23,8 @@ ROW = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 3), ("a", "u1"), (
 # Scalar types of the PLY format.
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
 BATCH = 1 << 16
+#: Rows of a part of a file.
+PART_ROWS = 1 << 20
 
 
 class SourceError(ValueError):
@@ -41,14 +43,20 @@ def _unit(q: np.ndarray) -> np.ndarray:
     return np.where(good[:, None], q / np.where(good, n, 1)[:, None], np.array([1.0, 0, 0, 0]))
 
 
-def splat_batches(data: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows of a .splat file: linear scales and bytes become logarithms, harmonics and logits."""
-    if not data:
+def splat_count(size: int) -> int:
+    """Rows of a .splat file of so many bytes."""
+    if not size:
         raise SourceError("the .splat file is empty")
-    if len(data) % ROW.itemsize:
-        raise SourceError(f"the .splat file's length {len(data)} is not divisible by {ROW.itemsize}")
-    for k in range(0, len(data) // ROW.itemsize, BATCH):
-        r = np.frombuffer(data, ROW, min(BATCH, len(data) // ROW.itemsize - k), k * ROW.itemsize)
+    if size % ROW.itemsize:
+        raise SourceError(f"the .splat file's length {size} is not divisible by {ROW.itemsize}")
+    return size // ROW.itemsize
+
+
+def splat_batches(data: bytes, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of a .splat file, or of a part of it that begins at row ``first``: linear scales and bytes become logarithms, harmonics and logits."""
+    count = splat_count(len(data))
+    for k in range(0, count, BATCH):
+        r = np.frombuffer(data, ROW, min(BATCH, count - k), k * ROW.itemsize)
         s = r["s"].astype(np.float64)
         if not (s > 0).all():
             raise SourceError("a scale is not positive")
@@ -56,7 +64,7 @@ def splat_batches(data: bytes) -> Iterator[pa.RecordBatch]:
         q = _unit(r["q"] / 255.0 * 2 - 1)
         dc = (r["c"] / 255.0 - 0.5) / X.SH_C0
         cols = {c: r["p"][:, i] for i, c in enumerate("xyz")} | {f"scale_{i}": np.log(s[:, i]) for i in range(3)} | {"opacity": np.log(a / (1 - a))} | {f"f_dc_{i}": dc[:, i] for i in range(3)} | {f"rot_{i}": q[:, i] for i in range(4)}
-        yield _batch(k, cols)
+        yield _batch(first + k, cols)
 
 
 def ply_header(data: bytes) -> tuple[int, np.dtype, int]:
@@ -86,16 +94,27 @@ def ply_header(data: bytes) -> tuple[int, np.dtype, int]:
     return count, np.dtype(names), end + skip
 
 
-def ply_batches(data: bytes) -> Iterator[pa.RecordBatch]:
-    count, row, at = ply_header(data)
+def _ply_rows(data: bytes, row: np.dtype, first: int) -> Iterator[pa.RecordBatch]:
+    """Whole rows of the body of a PLY file, from row ``first`` on."""
+    for k in range(0, len(data) // row.itemsize, BATCH):
+        r = np.frombuffer(data, row, min(BATCH, len(data) // row.itemsize - k), k * row.itemsize)
+        q = _unit(np.stack([r[f"rot_{i}"].astype(np.float64) for i in range(4)], 1))
+        yield _batch(first + k, {c: r[c] for c in X.SCALARS if not c.startswith("rot_")} | {f"rot_{i}": q[:, i] for i in range(4)})
+
+
+def ply_layout(head: bytes, size: int) -> tuple[int, np.dtype, int]:
+    """As ``ply_header``, of a file of so many bytes that holds all rows and columns."""
+    count, row, at = ply_header(head)
     if missing := [c for c in X.SCALARS if c not in row.names]:
         raise SourceError(f"missing column {missing[0]}")
-    if len(data) < at + count * row.itemsize:
+    if size < at + count * row.itemsize:
         raise SourceError("the PLY file is cut off")
-    for k in range(0, count, BATCH):
-        r = np.frombuffer(data, row, min(BATCH, count - k), at + k * row.itemsize)
-        q = _unit(np.stack([r[f"rot_{i}"].astype(np.float64) for i in range(4)], 1))
-        yield _batch(k, {c: r[c] for c in X.SCALARS if not c.startswith("rot_")} | {f"rot_{i}": q[:, i] for i in range(4)})
+    return count, row, at
+
+
+def ply_batches(data: bytes) -> Iterator[pa.RecordBatch]:
+    count, row, at = ply_layout(data, len(data))
+    yield from _ply_rows(data[at : at + count * row.itemsize], row, 0)
 
 
 def ply_metadata(path: str) -> tuple[int, int]:
@@ -114,11 +133,39 @@ def _binary(spark: SparkSession, path: str, decode) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
 
 
+def _local(path: str) -> str | None:
+    """The path of a single file that driver and tasks can open and seek in; None for others, which Spark reads whole."""
+    plain = path.removeprefix("file://")
+    return plain if "://" not in plain and os.path.isfile(plain) else None
+
+
+def _by_parts(spark: SparkSession, path: str, count: int, row: int, at: int, decode) -> DataFrame:
+    """Rows of fixed size after byte ``at``, a range of them for each task. decode: bytes and first row to batches."""
+    starts = spark.range(0, count, PART_ROWS, numPartitions=max(1, -(-count // PART_ROWS)))
+
+    def run(batches):
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    f.seek(at + first * row)
+                    yield from decode(f.read(min(PART_ROWS, count - first) * row), first)
+
+    return starts.mapInArrow(run, SCHEMA)
+
+
 def read_splat(spark: SparkSession, path: str) -> DataFrame:
+    """Ranges of rows are read side by side where tasks can open the file; in other stores a file is one task's."""
+    if plain := _local(path):
+        return _by_parts(spark, plain, splat_count(os.path.getsize(plain)), ROW.itemsize, 0, splat_batches)
     return _binary(spark, path, splat_batches)
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_splat``; the driver reads the header."""
+    if plain := _local(path):
+        with open(plain, "rb") as f:
+            count, row, at = ply_layout(f.read(1 << 20), os.path.getsize(plain))
+        return _by_parts(spark, plain, count, row.itemsize, at, lambda data, first: _ply_rows(data, row, first))
     return _binary(spark, path, ply_batches)
 
 
