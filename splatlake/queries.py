@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -297,9 +298,9 @@ def nearest_unblocked(spark, sf):
 REACH = f"{WALLS}, {BLOCKED}, {{flood}}".replace("{flood}", FLOOD.format(solid="bl", start="(cx, cy, cz) = (SELECT (s.cx, s.cy, s.cz) FROM (SELECT * FROM (SELECT * FROM grid EXCEPT SELECT * FROM bl) WHERE cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14 ORDER BY cz, cy, cx LIMIT 1) s)"))
 
 
-def _seed(spark: SparkSession, cells: DataFrame) -> tuple:
-    blocked = morph.capsule_solid(cells, GRID, 1, 1)
-    free = voxel.expand_runs(morph.empty_runs(blocked, GRID, (1, 1, 1))).where("cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14")
+def _seed(spark: SparkSession, cells: DataFrame, radius: int = 1) -> tuple:
+    blocked = morph.capsule_solid(cells, GRID, radius, 1)
+    free = voxel.expand_runs(morph.empty_runs(blocked, GRID, (radius, 1, radius))).where("cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14")
     r = free.orderBy("cz", "cy", "cx").head()
     return (r["cx"] + 0.5, r["cy"] + 0.5, r["cz"] + 0.5)
 
@@ -310,10 +311,15 @@ def carve_reachable(spark, sf):
     return voxel.expand_runs(morph.carve(cells, GRID, 2.0, 1.0, _seed(spark, cells)).reachable)
 
 
-@query(f"WITH RECURSIVE {REACH} SELECT DISTINCT c.cx, c.cy, c.cz FROM c, d, fl WHERE fl.cx = c.cx + dx AND fl.cy = c.cy + dy AND fl.cz = c.cz + dz")
+# A thin agent: of radius 0 it can stand beside what is solid, so that its room has a border.
+THIN = "bl AS (SELECT * FROM grid g WHERE cy < 1 OR EXISTS (SELECT 1 FROM c WHERE g.cx = c.cx AND g.cz = c.cz AND abs(g.cy - c.cy) <= 1))"
+THIN_REACH = f"{WALLS}, {THIN}, {{flood}}".replace("{flood}", FLOOD.format(solid="bl", start="(cx, cy, cz) = (SELECT (s.cx, s.cy, s.cz) FROM (SELECT * FROM (SELECT * FROM grid EXCEPT SELECT * FROM bl) WHERE cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14 ORDER BY cz, cy, cx LIMIT 1) s)"))
+
+
+@query(f"WITH RECURSIVE {THIN_REACH} SELECT DISTINCT c.cx, c.cy, c.cz FROM c, d, fl WHERE fl.cx = c.cx + dx AND fl.cy = c.cy + dy AND fl.cz = c.cz + dz")
 def carve_border(spark, sf):
     cells = walls(spark, sf)
-    return morph.carve(cells, GRID, 2.0, 1.0, _seed(spark, cells)).cells
+    return morph.carve(cells, GRID, 2.0, 0.0, _seed(spark, cells, 0)).cells
 
 
 @query(f"WITH {ISL} SELECT cx, cy, cz FROM c ORDER BY (cx - 11) * (cx - 11) + (cy - 7) * (cy - 7) + (cz - 9) * (cz - 9), cz, cy, cx LIMIT 1")
@@ -450,6 +456,49 @@ def sog_roundtrip_error(spark, sf):
     return both.agg(F.count_if(F.greatest(*[F.abs(v - F.col(c)) for c, v in back.items()]) > 0.001).alias("over"))
 
 
+# Files, written to the shared folder and read again
+
+
+def _again(spark: SparkSession, splats: DataFrame, kind: str) -> DataFrame:
+    """The scene as it is read from a file of the format."""
+    from splatlake.functions.storage import shared_dir
+    from splatlake.sinks import files
+    from splatlake.sources.readers import read_source
+
+    path = f"{shared_dir(spark)}/scene-{uuid.uuid4().hex}.{kind}"
+    {"splat": files.write_splat, "ply": files.write_ply, "sog": files.write_sog}[kind](splats, path.removeprefix("file://"))
+    return read_source(spark, path)[0]
+
+
+_NTH = "row_number() OVER (ORDER BY splat_id) - 1 AS splat_id"
+_BYTE = lambda v: f"CAST(round(greatest(0, least(1, {v})) * 255) AS INTEGER)"
+
+
+@query(f"SELECT {_NTH}, x, y, z, {', '.join(q6(f'scale_{i}', f'scale_{i}').replace(', 6)', ', 5)') for i in range(3))}, {_BYTE('1 / (1 + exp(-opacity))')} AS alpha, {', '.join(_BYTE(f'f_dc_{i} * 0.2820948 + 0.5') + f' AS c{i}' for i in range(3))} FROM ({EMB})")
+def splat_file_roundtrip(spark, sf):
+    byte = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 255).cast("int")
+    t = _again(spark, emb(spark, sf), "splat")
+    return t.select("splat_id", "x", "y", "z", *[(F.round(f"scale_{i}", 5) + 0.0).alias(f"scale_{i}") for i in range(3)], byte(1 / (1 + F.exp(-F.col("opacity")))).alias("alpha"), *[byte(F.col(f"f_dc_{i}") * 0.2820948 + 0.5).alias(f"c{i}") for i in range(3)])
+
+
+@query(f"SELECT {_NTH}, x, y, z, scale_0, scale_1, scale_2, opacity, f_dc_0, f_dc_1, f_dc_2 FROM ({EMB})")
+def ply_file_roundtrip(spark, sf):
+    return _again(spark, emb(spark, sf), "ply").select("splat_id", "x", "y", "z", "scale_0", "scale_1", "scale_2", "opacity", "f_dc_0", "f_dc_1", "f_dc_2")
+
+
+@query(f"SELECT {_NTH}, true AS place, true AS scale, true AS alpha, true AS turn FROM ({EMB})")
+def sog_file_roundtrip(spark, sf):
+    """Within the tolerances of the format: 0.001, 0.01, 0.005, and a dot product of quaternions over 0.999."""
+    from splatlake.operators.evaluate import dense_index
+
+    source = dense_index(emb(spark, sf), "splat_id").select(F.col("row").alias("splat_id"), *[F.col(c).alias(f"s_{c}") for c in X.SCALARS], F.array(*X.unit_quaternion()).alias("s_q"))
+    t = _again(spark, emb(spark, sf), "sog").join(source, "splat_id")
+    near = lambda names, most: F.greatest(*[F.abs(X.d(c) - F.col(f"s_{c}")) for c in names]) <= most
+    alpha = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    dot = sum((F.get("s_q", F.lit(i)) * v for i, v in enumerate(X.unit_quaternion())), F.lit(0.0))
+    return t.select("splat_id", near("xyz", 0.001).alias("place"), near([f"scale_{i}" for i in range(3)], 0.01).alias("scale"), (F.abs(alpha("opacity") - alpha("s_opacity")) <= 0.005).alias("alpha"), (F.abs(dot) > 0.999).alias("turn"))
+
+
 # Navigation, scenes, settings
 
 
@@ -470,18 +519,18 @@ def navmesh_walkable_triangles(spark, sf):
     return navmesh.walkable_triangles(terrain(spark, sf), 45.0).select("tid")
 
 
-@query(f"WITH {ISL}, e AS (SELECT cx, cz, cy, cy - row_number() OVER (PARTITION BY cx, cz ORDER BY cy) AS r FROM c) SELECT CAST(cx AS INTEGER) AS gx, CAST(cz AS INTEGER) AS gz, CAST(min(cy) AS INTEGER) AS bottom, CAST(max(cy) + 1 AS INTEGER) AS top FROM e GROUP BY cx, cz, r")
+# Each face that looks up or down makes a span of one height from its own up; what touches is merged, and the highest face says if one can walk.
+FACES = "f AS (SELECT cx AS gx, cz AS gz, cy + 1 AS bottom, true AS up FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.cx = c.cx AND o.cz = c.cz AND o.cy = c.cy + 1) UNION ALL SELECT cx, cz, cy, false FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.cx = c.cx AND o.cz = c.cz AND o.cy = c.cy - 1))"
+MERGED = "r AS (SELECT *, max(bottom + 1) OVER (PARTITION BY gx, gz ORDER BY bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), m AS (SELECT *, sum(CASE WHEN bottom <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY gx, gz ORDER BY bottom ROWS UNBOUNDED PRECEDING) AS span FROM r)"
+
+
+@query(f"WITH {ISL}, {FACES}, {MERGED} SELECT CAST(gx AS INTEGER) AS gx, CAST(gz AS INTEGER) AS gz, CAST(min(bottom) AS INTEGER) AS bottom, CAST(max(bottom) + 1 AS INTEGER) AS top, arg_max(up, bottom) AS walkable FROM m GROUP BY gx, gz, span")
 def navmesh_spans(spark, sf):
-    # Top and bottom faces of cell runs are their spans' ends; the sides fill what is between.
-    cells = T.island_cells(spark, sf)
-    m = mesh.face_mesh(cells, GRID).where("ay = by AND by = cy")
-    p = navmesh.NavmeshParams(cell_size=1.0, cell_height=1.0)
-    s = navmesh.spans(m.select("tid", *[(F.col(c) * 0.999 + 0.0005 if c[1] != "y" else F.col(c)).alias(c) for c in mesh.CORNERS]), p)
-    side = cells.select(F.col("cx").alias("gx"), F.col("cz").alias("gz"), F.col("cy").alias("bottom"), (F.col("cy") + 1).alias("top"))
-    both = s.select("gx", "gz", F.col("bottom").alias("at")).join(side, ["gx", "gz"]).where("at BETWEEN bottom AND top").select("gx", "gz", "bottom", "top").distinct()
-    runs = voxel.x_runs(cells.select(F.col("cy").alias("cx"), F.col("cx").alias("cy"), "cz"))
-    ends = both.select("gx", "gz", "bottom").distinct()
-    return runs.select(F.col("cy").alias("gx"), F.col("cz").alias("gz"), F.col("x0").alias("bottom"), (F.col("x1") + 1).alias("top")).join(ends, ["gx", "gz", "bottom"], "left_semi")
+    m = mesh.face_mesh(T.island_cells(spark, sf), GRID).where("ay = by AND by = cy")
+    low = {k: F.least(*[F.col(f"{v}{k}") for v in "abc"]) for k in "xz"}
+    # A little smaller, so that a face lies in one cell.
+    inner = m.select("tid", *[(low[c[1]] + 0.05 + 0.9 * (F.col(c) - low[c[1]]) if c[1] != "y" else F.col(c)).alias(c) for c in mesh.CORNERS])
+    return navmesh.spans(inner, navmesh.NavmeshParams(cell_size=1.0, cell_height=1.0)).select("gx", "gz", "bottom", "top", "walkable")
 
 
 @query()
