@@ -11,8 +11,9 @@ elements are marked may be used instead.
 
 Defined results: null, empty and text-free pages give an empty text; character references are decoded,
 white space inside a block becomes one space and blocks are joined by a blank line; broken markup is
-read as browsers mostly do (a block closes an open paragraph, stray end tags are dropped, an open script
-runs to the end); repeated rows give equal results; extra columns are ignored.
+read as browsers mostly do (a block closes an open paragraph, stray end tags are dropped, an open script,
+comment or tag runs to the end; a quote that is never closed is a character like others); elements nested
+deeper than ``DEPTH`` become children of the last one; repeated rows give equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,19 +34,28 @@ from splatlake.llm.words import column, ranges_of
 
 # Element names of HTML, and name parts that sites give to parts of pages.
 BLOCKS = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
-RAW = "script style textarea title noscript template iframe svg select button option object canvas audio video head math".split()
+RAW = "script style textarea title iframe noembed noframes xmp".split()  # up to the end tag, whatever stands inside
+HIDDEN = "noscript template svg button canvas audio video select datalist option optgroup".split()
+CHOICES = frozenset("select datalist option optgroup".split())  # of these, that no block can be in
 VOID = "hr br img input link meta area base col embed source track wbr".split()
 NAMES = "ad ads advert advertisement sponsor sponsored promo banner cookie consent notice notification alert popup modal overlay comment comments reply discussion disqus sidebar widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright legal share social related recommended more newsletter subscribe signup login search form tag tags toolbar toc pagination pager skip article content main post entry story body text".split()
 
 _BLOCK = {t: k for k, t in enumerate(BLOCKS)}
 _NAME = {t: k for k, t in enumerate(NAMES)}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = frozenset(HIDDEN)
+#: Quotes count only after an equals sign and if they are closed. Nothing is tried twice, so that time grows with length.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_HIDDEN_END = re.compile(rf"</({'|'.join(HIDDEN)})(?=[\s/>])", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_NAMING = frozenset(["class", "id", "role", "aria-label"])
 _PART = re.compile(r"[a-z]+")
 _ENDS: dict[str, frozenset] = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table", "tbody", "thead", "tfoot"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"])}
 #: Kinds of child for pairwise potentials: each block tag, and runs of text.
 RUN = len(BLOCKS)
 SIZES = 8
+#: Open elements of a page.
+DEPTH = 256
 N_FEATURES = len(BLOCKS) + 1 + len(NAMES) + 3 * SIZES + 8
 
 
@@ -71,74 +82,121 @@ class Forest:
         return len(self.parent) - 1
 
     def add(self, source: str, page: int) -> None:
-        """Parse a page."""
+        """Parse a page in one pass."""
         stack = [("", self.node(-1, _BLOCK["html"], (), "", 0, page))]
+        opened: Counter[str] = Counter()
         run: list[str] = []
+        inside: list[str] = []  # open elements from the outermost one on whose text isn't shown
+        last: dict[str, int] | None = None  # last end tag of each kind of these
         linked, in_link, at, n = 0, False, 0, len(source)
 
+        def say(text: str) -> None:
+            nonlocal linked
+            if not inside:
+                run.append(html.unescape(text) if "&" in text else text)
+                linked += len(text) if in_link else 0
+
         def flush() -> None:
             nonlocal linked
             if run:
-                text = " ".join(html.unescape("".join(run)).split())
+                text = " ".join("".join(run).split())
                 if text:
                     self.node(stack[-1][1], RUN, (), text, min(linked, len(text)), page)
                 run.clear()
             linked = 0
 
+        def shut(k: int) -> None:
+            for name, _ in stack[k:]:
+                opened[name] -= 1
+            del stack[k:]
+
         while at < n:
-            m = _TAG.search(source, at)
-            text = source[at : m.start() if m else n]
-            if text:
-                run.append(text)
-                linked += len(text) if in_link else 0
-            if not m:
+            begin = source.find("<", at)
+            if begin != at:
+                say(source[at : begin if begin >= 0 else n])
+            if begin < 0:
                 break
-            at, name = m.end(), (m[2] or "").lower()
-            if not name:
+            m = _TAG.match(source, begin)
+            if not m:
+                at = self._past(source, begin)
+                if at == begin + 1:
+                    say("<")
                 continue
+            at, name = m.end(), m[2].lower()
             if m[1]:
+                if inside:
+                    if name in inside:
+                        del inside[len(inside) - 1 - inside[::-1].index(name) :]
+                        continue
+                    if not (name in _BLOCK and opened[name]):
+                        continue
+                    inside.clear()
                 if name in _BLOCK:
                     flush()
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
+                    if opened[name]:
+                        shut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
                 elif name == "a":
                     in_link = False
-            elif name in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at) if name != "head" else None
-                if name != "head":
-                    at = end.end() if end else n
-                    run.append(" ")
+            elif name in _RAW_END:
+                end = _RAW_END[name].search(source, at)
+                at = end.end() if end else n
+                say(" ")
+            elif name in _HIDDEN:
+                if last is None:
+                    last = {e[1].lower(): e.start() for e in _HIDDEN_END.finditer(source)}
+                if inside and name in CHOICES and inside[-1] == name:
+                    continue  # an open choice ends at the next one
+                if not inside:
+                    say(" ")
+                # If it is never closed, only choices end somewhere: at the next block or with what holds them.
+                if not m[3].endswith("/") and len(inside) < DEPTH and (name in CHOICES or last.get(name, 0) >= at):
+                    inside.append(name)
             elif name in _BLOCK:
+                if inside:
+                    if not CHOICES.issuperset(inside):
+                        if name not in VOID and len(inside) < DEPTH:
+                            inside.append(name)
+                        continue
+                    inside.clear()
                 flush()
-                self._close(stack, name)
-                names = ()
-                if m[3]:
-                    names = tuple({_NAME[p] for a in _ATTRIBUTE.finditer(m[3]) for p in _PART.findall((a[2] or a[3] or a[4] or "").lower()) if p in _NAME})
+                k = self._closed(stack, name)
+                if k:
+                    shut(k)
                 if name in ("html", "body") and len(stack) > 1:
                     continue
-                node = self.node(stack[-1][1], _BLOCK[name], names, "", 0, page)
-                if name not in VOID:
+                names = {_NAME[p] for a in _ATTRIBUTE.finditer(m[3]) if a[1].lower() in _NAMING for p in _PART.findall((a[2] or a[3] or a[4] or "").lower()) if p in _NAME} if m[3] else ()
+                node = self.node(stack[-1][1], _BLOCK[name], tuple(names), "", 0, page)
+                if name not in VOID and len(stack) < DEPTH:
                     stack.append((name, node))
+                    opened[name] += 1
             elif name == "a":
                 in_link = True
             elif name in ("br", "img", "input"):
-                run.append(" ")
+                say(" ")
+        inside.clear()
         flush()
 
     @staticmethod
-    def _close(stack: list, name: str) -> None:
+    def _past(source: str, at: int) -> int:
+        """Where to go on after a "<" that begins no whole tag: after the next character, if it is text."""
+        for mark, end, least in (("<!--", "-->", 2), ("<![CDATA[", "", 9), ("<!", ">", 2), ("<?", ">", 2), ("</", ">", 2)):
+            if source.startswith(mark, at):
+                if not end:
+                    return at + least
+                found = source.find(end, at + least)
+                return found + len(end) if found >= 0 else len(source)
+        return len(source) if source[at + 1 : at + 2].isalpha() and source[at + 1 : at + 2].isascii() else at + 1
+
+    @staticmethod
+    def _closed(stack: list, name: str) -> int:
+        """From which place on the start of an element closes open ones (0: none)."""
         for k in range(len(stack) - 1, 0, -1):
             open_ = stack[k][0]
-            if open_ == "p":
-                del stack[k:]
-                return
-            if name in _ENDS and open_ == name or name in ("dt", "dd") and open_ in ("dt", "dd") or name in ("td", "th") and open_ in ("td", "th"):
-                del stack[k:]
-                return
-            if name in _ENDS and open_ in _ENDS[name] or name not in _ENDS and open_ not in ("p",):
-                return
+            if open_ == "p" or name in _ENDS and open_ == name or name in ("dt", "dd") and open_ in ("dt", "dd") or name in ("td", "th") and open_ in ("td", "th"):
+                return k
+            if name not in _ENDS or open_ in _ENDS[name]:
+                break
+        return 0
 
     def features(self) -> np.ndarray:
         """0/1 features of all nodes."""
@@ -254,7 +312,14 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 90, rate: float = 0.25
     return model
 
 
-def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
+#: What the main part of a generated page is wrapped in; the first ones are met more often.
+WRAPS = (
+    "<article>{}</article>", "<article class='{post}'>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="{content}">{}</div>', '<div id="{main}">{}</div>', "<div>{}</div>",
+    '<div class="page"><div>{}</div></div>', "<section>{}</section>", '<div id="wrap"><div class="row"><article>{}</article></div></div>', '<article><div class="{content}">{}</div></article>', '<main role="main"><section class="{post}">{}</section></main>', "<table><tr><td>{}</td></tr></table>",
+)
+
+
+def labelled_pages(count: int = 450, seed: int = 11, wraps: tuple[str, ...] = WRAPS) -> list[tuple[str, set[str]]]:
     """Pages in random layouts with what is content known: articles under several kinds of element, among page furniture."""
     rng = np.random.default_rng(seed)
     syllables = "ba co di fu ge hi jo ka lu me ni po ra si to va we xi yo za".split()
@@ -291,19 +356,25 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, set[str]
             if kind == "comments":
                 said = "".join(f'<{(t := pick("div", "li", "article", "p"))} class="{pick("comment", "reply", "comment-body")}">{pick("<p>", "")}{say(4, 40, keep=False)}</{t}>' for _ in range(rng.integers(1, 5)))
                 return f'<{(t := pick("section", "div"))} {pick("class", "id")}="{pick("comments", "comment-list", "discussion")}">{pick("", f"<h2>{words(1, 3)}</h2>")}{said}</{t}>'
+            if kind == "comment":
+                return f'<div class="{pick("comment", "reply", "comment-box")}">{pick("", "<p>")}{say(2, 30, keep=False)}</div>'
             if kind == "header":
                 return f'<header><{(t := pick("h1", "div", "p", "h2"))}>{words(1, 5)}</{t}>{pick("", f"<nav><ul>{links(3)}</ul></nav>")}</header>'
             if kind == "share":
                 return f'<div class="{pick("share", "social", "tags", "related")}">{pick(f"<ul>{links(3)}</ul>", text)}</div>'
             return f"<footer>{pick('', '<p>')}&copy; {words(2, 12)} {pick('', f'<a href=/x>{word()}</a>')}</footer>"
 
-        body, most = [], pick(6, 30, 90)
+        body, most = [], pick(6, 30, 90, 250)
+        named = f' class="{pick("text", "body-text", "story-text", "entry", "content", "lead", "para")}"' if rng.random() < 0.2 else ""
         if rng.random() < 0.85:
-            body.append(f"<h1>{say(1, 12, end='')}</h1>")
+            head = f"<{(t := pick('h1', 'h1', 'h2'))}>{say(1, 12, end='')}</{t}>"
+            if rng.random() < 0.25:
+                head = f"<header>{head}{'' if rng.random() < 0.5 else f'<p>{say(2, 9, end=pick("", "."))}</p>'}</header>"
+            body.append(head)
         for _ in range(rng.integers(1, 9)):
-            kind = rng.random()
+            kind = rng.random() * 1.15
             if kind < 0.7:
-                body.append(f"<p>{pick('', '', '<b>')}{say(1, most, end=pick('.', '.', '.', '', '!!', '?'))}{pick('', '<br>')}{pick('</p>', '</p>', '')}")
+                body.append(f"<p{named}>{pick('', '', '<b>')}{say(1, most, end=pick('.', '.', '', '', '!!', '?'))}{pick('', '<br>')}{pick('</p>', '</p>', '')}")
             elif kind < 0.73:
                 body.append(f"<p>{say(2, 12, end=' | ' + words(1, 20).replace(' ', ' | ') + pick('', ' |'))}</p>")
             elif kind < 0.78:
@@ -316,15 +387,28 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, set[str]
                 body.append(f"<table><tr><td>{say(1, 6, end='')}</td><td>{say(1, 6, end='')}</td></tr></table>")
             elif kind < 0.95:
                 body.append(f"<pre>{say(3, 20, end='')}</pre>")
+            elif kind > 1.12:
+                body.append(f"<section><h2>{say(2, 7, end='')}</h2><p>{say(5, most + 5)}</p></section>")
+            elif kind > 1.07:
+                body.append(f"<figure>{pick('', '<img src=x>')}<figcaption>{say(1, 15, end=pick('', '.'))}</figcaption></figure>")
+            elif kind > 1.02:
+                body.append("<dl>" + "".join(f"<dt>{say(1, 4, end='')}<dd>{say(2, 20, end=pick('', '.'))}" for _ in range(rng.integers(1, 4))) + "</dl>")
+            elif kind > 1.0:
+                body.append(f"<details><summary>{say(1, 6, end='')}</summary><p>{say(4, 20)}</p></details>")
             else:
                 body.append(junk(("ad", "share", "notice")))
+        if rng.random() < 0.12:
+            body.append(junk(("comments", "comment", "footer", "share", "form")))
         before = [junk(("nav", "ad", "notice", "header", "form", "aside")) for _ in range(rng.integers(0, 5))]
-        after = [junk(("aside", "comments", "footer", "ad", "form", "share", "nav")) for _ in range(rng.integers(0, 4))] + [junk(("footer",))]
+        after = [junk(("aside", "comments", "footer", "ad", "form", "share", "nav")) for _ in range(rng.integers(0, 4))] + [junk(("footer",))] * (rng.random() < 0.85)
+        if rng.random() < 0.1:
+            before, after = [], []
         inner = "".join(body)
-        main = pick(
-            f"<article>{inner}</article>", f"<article>{inner}</article>", f"<article class='{pick('post', 'entry', 'story')}'>{inner}</article>", f"<main><article>{inner}</article></main>", f"<main>{inner}</main>",
-            f'<div class="{pick("content", "post-content", "article-body", "entry", "story", "main-text")}">{inner}</div>', f'<div id="{pick("content", "main", "article")}">{inner}</div>', f"<div>{inner}</div>", f'<div class="page"><div>{inner}</div></div>', f"<section>{inner}</section>",
-        )
+        wrap = wraps[int(len(wraps) * rng.random() ** 1.5)]
+        names = {"{post}": pick("post", "entry", "story"), "{content}": pick("content", "post-content", "article-body", "entry", "story", "main-text"), "{main}": pick("content", "main", "article")}
+        for name, chosen in names.items():
+            wrap = wrap.replace(name, chosen)
+        main = wrap.replace("{}", inner)
         out.append((f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}</body></html>", content))
     return out
 
