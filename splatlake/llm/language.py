@@ -4,18 +4,22 @@ A text is cut into blocks of ``BLOCK`` bytes at character boundaries; each block
 every language's dictionary, and the language with the smallest total wins. The relative margin to the
 runner-up gives the score; ``confident`` is false where the margin is narrow, which is the rejection.
 
-Dictionaries are made of a bounded sample: of each language up to ``SAMPLE_DOCS`` labelled texts in the
-order of a hash, up to ``SNIPPET`` characters of each, at most ``DICTIONARY`` bytes together. Prediction
-reads whole texts in the tasks that scan them, without a shuffle.
+Dictionaries are made of a bounded sample: of each language some ``SAMPLE_DOCS`` labelled texts, taken by a
+hash; of the ``PIECE``-byte pieces that these whole texts are cut into, ``PIECES`` by a hash again. With very many
+languages each has fewer pieces, one at least, so that all dictionaries together hold ``TOTAL`` bytes;
+more than ``TOTAL`` / ``PIECE`` languages are refused. Prediction reads whole texts in the tasks that scan
+them, without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and all texts are if
-nothing is labelled; of equal sizes the first language in order of its name wins, with score 0 margin;
-repeated rows get equal results; null languages are not learned; extra columns are ignored.
+nothing is labelled; of equal sizes the first language in order of its name wins, with score 0.5;
+repeated rows get equal results; null languages are not learned; null ids are not held out; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +30,62 @@ from pyspark.sql import functions as F
 from splatlake.llm.words import column, ranges_of
 
 SAMPLE_DOCS = 400
-SNIPPET = 400
-DICTIONARY = 100_000
+PIECES, PIECE = 200, 512
 BLOCK = 2048
+TOTAL = 32 << 20
 LEVEL = 6
 #: Relative margin below which a prediction is rejected.
 NARROW = 0.02
-MAX_LANGUAGES = 200
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and other characters of words, such as numerals in circles.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
+def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """Pieces of about ``size`` bytes, cut between characters."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            pieces = list(blocks(text.as_py().encode("utf-8", "replace"), PIECE))
+            order = [zlib.crc32(p) for p in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(pieces), pa.string()), pa.array(pieces, pa.binary()), pa.array(order, pa.int64())], ["lang", "piece", "order"])
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionary of each language, from labelled documents that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    snippet = known.select("lang", F.substring("text", 1, SNIPPET).alias("snippet"), F.xxhash64("doc_id", "text").alias("order"))
-    # Ranking with a bound is done in each task first, so at most that many rows of a language are shuffled.
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "snippet"))
-    rows = snippet.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("lang", "nth").select("lang", "snippet").take(MAX_LANGUAGES * per_language)
-    out: dict[str, bytes] = {}
-    for lang, text in rows:
-        out[lang] = (out.get(lang, b"") + text.encode("utf-8", "replace") + b"\n")[:DICTIONARY]
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    counts = dict(known.groupBy("lang").count().collect())
+    if len(counts) * PIECE > TOTAL:
+        raise ValueError(f"{len(counts)} languages are more than dictionaries of {TOTAL} bytes have pieces for")
+    if not counts:
+        return {}
+    # Each text is taken with a probability that gives the wanted number in the mean, so no task gathers a language.
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in counts.items()], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    chosen = known.join(F.broadcast(share), "lang").where(drawn).select("lang", F.col("text").cast("string"))
+    each = min(PIECES, TOTAL // PIECE // len(counts))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
+    rows = chosen.mapInArrow(_cut, "lang string, piece binary, order long").withColumn("nth", nth).where(F.col("nth") <= each).collect()
+    out = dict.fromkeys(sorted(counts), b"")
+    for r in sorted(rows, key=lambda r: (r["lang"], r["nth"])):
+        out[r["lang"]] += bytes(r["piece"]) + b"\n"
     return out
 
 
@@ -69,19 +104,13 @@ class Classifier:
 
     def sizes(self, data: bytes) -> list[int]:
         total = [0] * len(self.names)
-        at = 0
-        while at < len(data):
-            end = at + BLOCK
-            while end < len(data) and data[end] & 0xC0 == 0x80:
-                end += 1
-            block = data[at:end]
+        for block in blocks(data):
             for k, compress in enumerate(self.compressors):
                 total[k] += len(compress(block))
-            at = end
         return total
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not has_letter(text):
             return "und", 0.0, False
         data = text.encode("utf-8", "replace")
         sizes = self.sizes(data)
@@ -95,7 +124,7 @@ class Classifier:
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score and confident of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES x DICTIONARY bytes
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most some TOTAL bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shared.value)
