@@ -87,7 +87,7 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = build(pages_as_responses(table(spark, sf_dir, "pages")))
     h = lambda name: F.col("headers")[name]
     names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "refers_to_digest": "WARC-Refers-To-Digest", "block_digest": "WARC-Block-Digest"}
-    return out.select(h("X-Page-ID").cast("long").alias("page_id"), *[h(v).alias(k) for k, v in names.items()], h("Content-Length").cast("long").alias("content_length"), F.col("content").cast("string").alias("content"))
+    return out.select(h("X-Page-ID").try_cast("long").alias("page_id"), *[h(v).alias(k) for k, v in names.items()], h("Content-Length").cast("long").alias("content_length"), F.col("content").cast("string").alias("content"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ HTTP), links of the page and the source digests; the conversion record holds the
 own block digest.
 
 Records are rows: headers (map of strings) and content (bytes). ``read_warc`` cuts whole .warc or .warc.gz
-files into rows in the tasks that read them; ``build`` works on rows of any source, without a shuffle.
+files into rows in the tasks that read them; what can't be read is a row of type ``unreadable`` with a reason,
+and reading goes on at the next record that begins a gzip member or a line. ``build`` works on rows of any
+source, without a shuffle.
 
 Defined results: records of other types than response are left out; responses without an id, with null
 content or without an HTTP header block give a metadata record with what there is and an empty
@@ -18,15 +20,13 @@ columns are ignored. Headers that begin with X- are carried over.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,29 +49,64 @@ def record_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{kind} {source}')}>"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file, gzip members or plain; a record that is cut off ends the file."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while True:
+_BEGIN = re.compile(rb"(?:^|(?<=\n))WARC/[0-9.]+\r?\n")
+_MEMBER = b"\x1f\x8b\x08"
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """What gzip members hold; of a broken one what comes before the fault, then the next that can be begun."""
+    at = 0
+    while at < len(data):
+        inflate = zlib.decompressobj(31)
+        out, end = [], 0
         try:
-            line = stream.readline()
-            while line in (b"\r\n", b"\n"):
-                line = stream.readline()
-            if not line.startswith(b"WARC/"):
-                return
-            headers: dict[str, str] = {}
-            for raw in iter(stream.readline, b""):
-                if raw in (b"\r\n", b"\n"):
+            for k in range(at, len(data), 1 << 16):
+                part = data[k : k + (1 << 16)]
+                out.append(inflate.decompress(part))
+                if inflate.eof:
+                    end = k + len(part) - len(inflate.unused_data)
                     break
+        except zlib.error:
+            pass
+        yield b"".join(out)
+        found = data.find(_MEMBER, end if inflate.eof else at + 1)
+        at = found if found >= 0 else len(data)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a WARC file, gzip members or plain; odd parts become records of type unreadable."""
+    parts: Iterable[bytes] = _members(data) if data[:2] == b"\x1f\x8b" else [data]
+    for part in parts:
+        at, n = 0, len(part)
+        while at < n:
+            begin = _BEGIN.search(part, at)
+            start = begin.start() if begin else n
+            if odd := part[at:start].lstrip(b"\r\n"):
+                yield _unreadable("no record begins here", odd)
+            if not begin:
+                break
+            edge = re.compile(rb"\r?\n\r?\n").search(part, begin.end() - 1)
+            if not edge:
+                yield _unreadable("headers don't end", part[start:])
+                break
+            headers: dict[str, str] = {}
+            for raw in part[begin.end() : edge.start()].split(b"\n"):
                 name, _, value = raw.decode("utf-8", "replace").partition(":")
-                headers[name.strip()] = value.strip()
-            size = int(headers.get("Content-Length", "0"))
-            content = stream.read(size)
-        except (EOFError, OSError, ValueError, zlib.error):
-            return
-        if len(content) < size:
-            return
-        yield headers, content
+                if name.strip():
+                    headers[name.strip()] = value.strip()
+            size = headers.get("Content-Length", "")
+            at = edge.end()
+            if size.isascii() and size.isdigit() and at + int(size) <= n:
+                yield headers, part[at : at + int(size)]
+                at += int(size)
+            else:
+                after = _BEGIN.search(part, at)
+                yield _unreadable("cut off" if size.isdigit() else "no length", part[start : after.start() if after else n])
+                at = after.start() if after else n
+
+
+def _unreadable(reason: str, data: bytes) -> tuple[dict[str, str], bytes]:
+    return {"WARC-Type": "unreadable", "X-Reason": reason, "Content-Length": str(len(data))}, data
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -172,7 +207,7 @@ def serialize(headers: dict[str, str], content: bytes) -> bytes:
 
 
 def pages_as_responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """A table of pages (page_id, url, html) as response records."""
+    """A table of pages (page_id, url, html) as response records; those without a page_id have no X-Page-ID."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +215,8 @@ def pages_as_responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") ->
             for page, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 body = (source or "").encode()
                 content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
-                out.append(({"WARC-Type": "response", "WARC-Record-ID": record_id(f"{page} {url}", "response"), "WARC-Target-URI": url or "", "WARC-Date": date, "WARC-Block-Digest": digest(content), "WARC-Payload-Digest": digest(body), "Content-Length": str(len(content)), "X-Page-ID": str(page)}, content))
+                headers = {"WARC-Type": "response", "WARC-Record-ID": record_id(f"{page} {url}", "response"), "WARC-Target-URI": url or "", "WARC-Date": date, "WARC-Block-Digest": digest(content), "WARC-Payload-Digest": digest(body), "Content-Length": str(len(content))}
+                out.append((headers if page is None else headers | {"X-Page-ID": str(page)}, content))
             yield _table(out)
 
     return pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(run, SCHEMA)
