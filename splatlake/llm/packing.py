@@ -1,11 +1,12 @@
 """Best-fit decreasing packing of tokenised documents into sequences of bounded length.
 
 Best-fit decreasing looks only at lengths, so it is run on the histogram of piece lengths (at most
-``capacity`` counts, whatever the input): equal pieces are placed together into runs of equally full
+``capacity`` counts, whatever the input, which is all that the driver sees): equal pieces are placed together into runs of equally full
 open sequences. A segment tree over remaining capacities finds the tightest open sequences in
 logarithmic time. The plan says for the r-th piece of each length where it lies; pieces get their rank
-by counting per (length, bucket) before ranking inside a bucket, so a length that holds a third of all
-pieces is still ranked by many tasks.
+by counting per (length, bucket) before ranking inside a bucket. Buckets grow in number with the pieces and are
+dealt by a hash of the piece and its place in the task that made it, so neither a length with a third of all
+pieces nor equal rows are ranked by one task.
 
 Defined results: null and empty texts are the end-of-document id alone; repeated rows are packed one by
 one; an empty table gives no rows; other columns are ignored.
@@ -31,6 +32,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a task.
 CACHE_WORDS = 450_000
+#: Pieces of one length that a task ranks.
+BUCKET_ROWS = 100_000
 
 
 def _stand_ins() -> dict[int, str]:
@@ -118,33 +121,37 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Tokenised pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    """Tokenised pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, salt (and ids).
+
+    The salt tells equal rows of a task apart.
+    """
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, salt = encoder(path), 0
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             size = 0
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                salt = salt + 1 & 0x7FFFFFFF
                 ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc.as_py(), k, at // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None), strict=True):
+                    for column, value in zip(rows, (doc.as_py(), k, at // 4, len(piece) // 4, zlib.crc32(piece), salt, piece if with_ids else None), strict=True):
                         column.append(value)
                     size += len(piece) if with_ids else 0
                 if size > 1 << 24:
                     yield table(rows)
-                    rows, size = ([], [], [], [], [], []), 0
+                    rows, size = ([], [], [], [], [], [], []), 0
             yield table(rows)
 
     def table(rows) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         arrays = [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        return pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:5], names if with_ids else names[:5])
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
+        return pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:6], names if with_ids else names[:6])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
@@ -223,26 +230,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 7)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = 16) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (doc_id, piece, start, length, ...)."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add sequence_id and offset to a table of pieces, as ``pieces`` makes it; the salt goes."""
     spark = cut.sparkSession
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    cut = cut.withColumn("bucket", key)
+    histogram = dict(cut.groupBy("length").count().collect())  # at most capacity counts
+    if not histogram:
+        return cut.drop("salt").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    buckets = -(-max(histogram.values()) // bucket_rows)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(buckets)).cast("int"))
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    # At most capacity x buckets counts, however large the input.
-    found = sorted((r[0], r[1], r[2]) for r in counts.collect())
-    histogram: dict[int, int] = {}
-    begins = []
-    for length, bucket, n in found:
-        begins.append((length, bucket, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    if not begins:
-        return cut.drop("bucket").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     placed = plan(histogram, capacity)
-    begin = spark.createDataFrame(begins, "length long, bucket int, begin long")
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(begin), ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("begin") + F.col("nth")).drop("begin", "nth", "bucket")
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")
+    ranked = cut.withColumn("nth", F.row_number().over(order) - 1).join(begin, ["length", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("begin") + F.col("nth")).drop("begin", "nth", "bucket", "salt")
     step = int(placed[:, 1].max()) + int(placed[:, 2].max()) + 1
     shared = spark.sparkContext.broadcast(placed)
     at = [ranked.columns.index(c) for c in ("length", "rank")]
