@@ -221,8 +221,15 @@ def mismatch_count(spark, sf):
 
 ISL = f"c AS ({T.ISLAND_SQL})"
 NEAR = "d(dx, dy, dz) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))"
-GRID = voxel.Grid((0.0, 0.0, 0.0), 1.0, (24, 16, 20))
-GRID_SQL = "grid AS (SELECT CAST(x AS INTEGER) AS cx, CAST(y AS INTEGER) AS cy, CAST(z AS INTEGER) AS cz FROM range(24) a(x), range(16) b(y), range(20) e(z))"
+#: Events in a layer of the sparse lattice, in which a capsule has room.
+FEW = 12
+
+
+def lattice(spark: SparkSession, sf: str, per: int = 60) -> voxel.Grid:
+    return voxel.Grid((0.0, 0.0, 0.0), 1.0, (T.island_layers(spark, sf, per), 16, 20))
+
+
+GRID_SQL = "grid AS (SELECT CAST(x AS INTEGER) AS cx, CAST(y AS INTEGER) AS cy, CAST(z AS INTEGER) AS cz FROM range((SELECT max(event_id) // {per} + 1 FROM events)) a(x), range(16) b(y), range(20) e(z))"
 
 
 @query(f"WITH {ISL}, {NEAR} SELECT c.cx, c.cy, c.cz, count(o.cx) AS degree FROM c, d LEFT JOIN c o ON o.cx = c.cx + dx AND o.cy = c.cy + dy AND o.cz = c.cz + dz GROUP BY ALL")
@@ -244,38 +251,43 @@ def floor_fill(spark, sf):
 
 
 DILATED = "dil AS (SELECT DISTINCT g.* FROM grid g, c WHERE abs(g.cx - c.cx) <= 1 AND abs(g.cy - c.cy) <= 1 AND abs(g.cz - c.cz) <= 1)"
-SPARSE = f"c AS (SELECT * FROM ({T.ISLAND_SQL}) WHERE (cx + 2 * cy + 3 * cz) % 17 = 0)"
+SPARSE = f"c AS ({T.island_sql(FEW)}), {GRID_SQL.format(per=FEW)}"
 
 
 def sparse(spark: SparkSession, sf: str) -> DataFrame:
-    return T.island_cells(spark, sf).where("(cx + 2 * cy + 3 * cz) % 17 = 0")
+    return T.island_cells(spark, sf, FEW)
+
+
+def _all_cells(spark: SparkSession, layers: int) -> DataFrame:
+    at = F.col("id")
+    return spark.range(layers * 16 * 20).select((at % layers).cast("int").alias("cx"), (F.floor(at / layers) % 16).cast("int").alias("cy"), F.floor(at / (16 * layers)).cast("int").alias("cz"))
 
 
 def walls(spark: SparkSession, sf: str) -> DataFrame:
     """A closed room in the lattice, and the sparse cells."""
-    room = spark.range(24 * 16 * 20).select((F.col("id") % 24).cast("int").alias("cx"), (F.floor(F.col("id") / 24) % 16).cast("int").alias("cy"), F.floor(F.col("id") / 384).cast("int").alias("cz"))
+    room = _all_cells(spark, 24)
     shell = "cx BETWEEN 4 AND 19 AND cy BETWEEN 2 AND 13 AND cz BETWEEN 3 AND 16 AND (cx IN (4, 19) OR cy IN (2, 13) OR cz IN (3, 16))"
     return room.where(shell).union(sparse(spark, sf)).distinct()
 
 
-WALLS = f"c0 AS (SELECT * FROM ({T.ISLAND_SQL}) WHERE (cx + 2 * cy + 3 * cz) % 17 = 0), {GRID_SQL}, c AS (SELECT * FROM grid WHERE cx BETWEEN 4 AND 19 AND cy BETWEEN 2 AND 13 AND cz BETWEEN 3 AND 16 AND (cx IN (4, 19) OR cy IN (2, 13) OR cz IN (3, 16)) UNION SELECT * FROM c0)"
-FACE = "(cx IN (0, 23) OR cy IN (0, 15) OR cz IN (0, 19))"
+WALLS = f"c0 AS ({T.island_sql(FEW)}), {GRID_SQL.format(per=FEW)}, c AS (SELECT * FROM grid WHERE cx BETWEEN 4 AND 19 AND cy BETWEEN 2 AND 13 AND cz BETWEEN 3 AND 16 AND (cx IN (4, 19) OR cy IN (2, 13) OR cz IN (3, 16)) UNION SELECT * FROM c0)"
+FACE = f"(cx = 0 OR cx = (SELECT max(event_id) // {FEW} FROM events) OR cy IN (0, 15) OR cz IN (0, 19))"
 FLOOD = f"{NEAR}, free AS (SELECT * FROM grid EXCEPT SELECT * FROM {{solid}}), fl AS (SELECT * FROM free WHERE {{start}} UNION SELECT f.cx, f.cy, f.cz FROM fl, d, free f WHERE f.cx = fl.cx + dx AND f.cy = fl.cy + dy AND f.cz = fl.cz + dz)"
 
 
-@query(f"WITH {SPARSE}, {GRID_SQL}, {DILATED} SELECT * FROM dil")
+@query(f"WITH {SPARSE}, {DILATED} SELECT * FROM dil")
 def dilate_cells(spark, sf):
-    return morph.dilate(sparse(spark, sf), GRID, 1)
+    return morph.dilate(sparse(spark, sf), lattice(spark, sf, FEW), 1)
 
 
 @query(f"WITH RECURSIVE {WALLS}, {FLOOD.format(solid='c', start=FACE)} SELECT * FROM fl")
 def exterior_outside(spark, sf):
-    return voxel.expand_runs(morph.outside_runs(walls(spark, sf), GRID))
+    return voxel.expand_runs(morph.outside_runs(walls(spark, sf), lattice(spark, sf, FEW)))
 
 
 @query(f"WITH RECURSIVE {WALLS}, {FLOOD.format(solid='c', start=FACE)} SELECT * FROM fl UNION SELECT * FROM c")
 def exterior_fill(spark, sf):
-    return morph.exterior_fill(walls(spark, sf), GRID, 0.0, (6.5, 4.5, 5.5)).cells
+    return morph.exterior_fill(walls(spark, sf), lattice(spark, sf, FEW), 0.0, (6.5, 4.5, 5.5)).cells
 
 
 # A capsule of radius 1 and half height 1; the low sides are blocked.
@@ -284,31 +296,31 @@ BLOCKED = "bl AS (SELECT * FROM grid g WHERE cx < 1 OR cy < 1 OR cz < 1 OR EXIST
 
 @query(f"WITH {WALLS}, {BLOCKED} SELECT * FROM bl")
 def capsule_blocked(spark, sf):
-    inside = morph.capsule_solid(walls(spark, sf), GRID, 1, 1)
-    edge = spark.range(GRID.cell_count).select((F.col("id") % 24).cast("int").alias("cx"), (F.floor(F.col("id") / 24) % 16).cast("int").alias("cy"), F.floor(F.col("id") / 384).cast("int").alias("cz")).where("cx < 1 OR cy < 1 OR cz < 1")
+    inside = morph.capsule_solid(walls(spark, sf), lattice(spark, sf, FEW), 1, 1)
+    edge = _all_cells(spark, T.island_layers(spark, sf, FEW)).where("cx < 1 OR cy < 1 OR cz < 1")
     return inside.union(edge).distinct()
 
 
 @query(f"WITH {WALLS}, {BLOCKED}, free AS (SELECT * FROM grid EXCEPT SELECT * FROM bl) SELECT cx, cy, cz FROM free WHERE (cx, cy, cz) <> (4, 6, 8) AND greatest(abs(cx - 4), abs(cy - 6), abs(cz - 8)) <= 4 ORDER BY greatest(abs(cx - 4), abs(cy - 6), abs(cz - 8)), cz - 8, cy - 6, cx - 4 LIMIT 1")
 def nearest_unblocked(spark, sf):
-    found = morph.nearest_free(morph.capsule_solid(walls(spark, sf), GRID, 1, 1), GRID, (4, 6, 8), 1, 1)
+    found = morph.nearest_free(morph.capsule_solid(walls(spark, sf), lattice(spark, sf, FEW), 1, 1), lattice(spark, sf, FEW), (4, 6, 8), 1, 1)
     return spark.createDataFrame([found] if found else [], "cx int, cy int, cz int")
 
 
 REACH = f"{WALLS}, {BLOCKED}, {{flood}}".replace("{flood}", FLOOD.format(solid="bl", start="(cx, cy, cz) = (SELECT (s.cx, s.cy, s.cz) FROM (SELECT * FROM (SELECT * FROM grid EXCEPT SELECT * FROM bl) WHERE cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14 ORDER BY cz, cy, cx LIMIT 1) s)"))
 
 
-def _seed(spark: SparkSession, cells: DataFrame, radius: int = 1) -> tuple:
-    blocked = morph.capsule_solid(cells, GRID, radius, 1)
-    free = voxel.expand_runs(morph.empty_runs(blocked, GRID, (radius, 1, radius))).where("cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14")
+def _seed(cells: DataFrame, grid: voxel.Grid, radius: int = 1) -> tuple:
+    blocked = morph.capsule_solid(cells, grid, radius, 1)
+    free = voxel.expand_runs(morph.empty_runs(blocked, grid, (radius, 1, radius))).where("cx BETWEEN 6 AND 16 AND cy BETWEEN 4 AND 11 AND cz BETWEEN 5 AND 14")
     r = free.orderBy("cz", "cy", "cx").head()
     return (r["cx"] + 0.5, r["cy"] + 0.5, r["cz"] + 0.5)
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT * FROM fl")
 def carve_reachable(spark, sf):
-    cells = walls(spark, sf)
-    return voxel.expand_runs(morph.carve(cells, GRID, 2.0, 1.0, _seed(spark, cells)).reachable)
+    cells, grid = walls(spark, sf), lattice(spark, sf, FEW)
+    return voxel.expand_runs(morph.carve(cells, grid, 2.0, 1.0, _seed(cells, grid)).reachable)
 
 
 # A thin agent: of radius 0 it can stand beside what is solid, so that its room has a border.
@@ -318,8 +330,8 @@ THIN_REACH = f"{WALLS}, {THIN}, {{flood}}".replace("{flood}", FLOOD.format(solid
 
 @query(f"WITH RECURSIVE {THIN_REACH} SELECT DISTINCT c.cx, c.cy, c.cz FROM c, d, fl WHERE fl.cx = c.cx + dx AND fl.cy = c.cy + dy AND fl.cz = c.cz + dz")
 def carve_border(spark, sf):
-    cells = walls(spark, sf)
-    return morph.carve(cells, GRID, 2.0, 0.0, _seed(spark, cells, 0)).cells
+    cells, grid = walls(spark, sf), lattice(spark, sf, FEW)
+    return morph.carve(cells, grid, 2.0, 0.0, _seed(cells, grid, 0)).cells
 
 
 @query(f"WITH {ISL} SELECT cx, cy, cz FROM c ORDER BY (cx - 11) * (cx - 11) + (cy - 7) * (cy - 7) + (cz - 9) * (cz - 9), cz, cy, cx LIMIT 1")
@@ -333,7 +345,7 @@ GROW = f"{NEAR}, sd AS (SELECT cx, cy, cz FROM cells ORDER BY (cx - {{x}}) * (cx
 @query(f"WITH RECURSIVE cells AS ({T.ISLAND_SQL}), {GROW.format(x=11, y=7, z=9)} SELECT * FROM fl")
 def cluster_component(spark, sf):
     c = T.island_cells(spark, sf)
-    return voxel.component_of(c, GRID, voxel.nearest_solid(c, (11, 7, 9)))
+    return voxel.component_of(c, lattice(spark, sf), voxel.nearest_solid(c, (11, 7, 9)))
 
 
 CLUSTER = f"WITH RECURSIVE {hits_cte(EMB, 0.5, 0.3)}, {CELLS.format(t=0.3)}, sd0 AS (SELECT CAST(floor((0 - gx) / 0.5) AS INTEGER) AS ax, CAST(floor((0 - gy) / 0.5) AS INTEGER) AS ay, CAST(floor((0 - gz) / 0.5) AS INTEGER) AS az FROM g), {GROW.format(x='(SELECT ax FROM sd0)', y='(SELECT ay FROM sd0)', z='(SELECT az FROM sd0)')}"
@@ -363,7 +375,7 @@ def exposed_faces(spark, sf):
 
 @query(EXPOSED + " SELECT 2 * count(*) AS triangles, CAST(count(*) AS DOUBLE) AS area FROM f")
 def face_triangle_count(spark, sf):
-    m = mesh.with_area(mesh.face_mesh(T.island_cells(spark, sf), GRID))
+    m = mesh.with_area(mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf)))
     return m.agg(F.count("*").alias("triangles"), F.round(F.sum("area"), 6).alias("area"))
 
 
@@ -377,22 +389,22 @@ def mc_case_index(spark, sf):
 
 @query(CASES + ', n("case", n) AS (VALUES ' + ", ".join(f"({k}, {len(t)})" for k, t in enumerate(mesh.cube_cases())) + ') SELECT CAST(sum(n) AS BIGINT) AS triangles FROM cs JOIN n USING ("case")')
 def mc_triangles(spark, sf):
-    return mesh.smooth_mesh(T.island_cells(spark, sf), GRID).agg(F.count("*").alias("triangles"))
+    return mesh.smooth_mesh(T.island_cells(spark, sf), lattice(spark, sf)).agg(F.count("*").alias("triangles"))
 
 
 @query(EXPOSED + ", v AS (SELECT DISTINCT cx + CASE side WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE u END AS x, cy + CASE side WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 0 THEN u WHEN 1 THEN u ELSE w END AS y, cz + CASE side WHEN 4 THEN 0 WHEN 5 THEN 1 WHEN 2 THEN u WHEN 3 THEN u ELSE w END AS z FROM (SELECT f.*, a.u, b.w FROM f, range(2) a(u), range(2) b(w)) WHERE side IN (0, 1) OR side IN (4, 5)), h AS (SELECT DISTINCT cx + a AS x, cy + side - 2 AS y, cz + b AS z FROM f, range(2) p(a), range(2) q(b) WHERE side IN (2, 3)) SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM v UNION SELECT CAST(x AS DOUBLE), CAST(y AS DOUBLE), CAST(z AS DOUBLE) FROM h")
 def weld_vertices(spark, sf):
-    return mesh.weld(mesh.face_mesh(T.island_cells(spark, sf), GRID))[0].select("x", "y", "z")
+    return mesh.weld(mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf)))[0].select("x", "y", "z")
 
 
 @query(EXPOSED + " SELECT CAST(side // 2 AS INTEGER) AS axis, CAST(CASE WHEN side IN (1, 2, 4) THEN -1 ELSE 1 END AS INTEGER) AS sign, CAST(1000000 * (CASE side // 2 WHEN 0 THEN cx WHEN 1 THEN cy ELSE cz END + side % 2) AS INTEGER) AS coord, 2 * count(*) AS triangles FROM f GROUP BY ALL")
 def coplanar_groups(spark, sf):
-    return mesh.planes(mesh.face_mesh(T.island_cells(spark, sf), GRID)).groupBy("axis", "sign", "coord").agg(F.count("*").alias("triangles"))
+    return mesh.planes(mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf))).groupBy("axis", "sign", "coord").agg(F.count("*").alias("triangles"))
 
 
 @query(EXPOSED + " SELECT CAST(count(*) AS DOUBLE) AS area FROM f")
 def coplanar_merge(spark, sf):
-    m = mesh.with_area(mesh.merge_rectangles(mesh.face_mesh(T.island_cells(spark, sf), GRID)))
+    m = mesh.with_area(mesh.merge_rectangles(mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf))))
     return m.agg(F.round(F.sum("area"), 6).alias("area"))
 
 
@@ -526,7 +538,7 @@ MERGED = "r AS (SELECT *, max(bottom + 1) OVER (PARTITION BY gx, gz ORDER BY bot
 
 @query(f"WITH {ISL}, {FACES}, {MERGED} SELECT CAST(gx AS INTEGER) AS gx, CAST(gz AS INTEGER) AS gz, CAST(min(bottom) AS INTEGER) AS bottom, CAST(max(bottom) + 1 AS INTEGER) AS top, arg_max(up, bottom) AS walkable FROM m GROUP BY gx, gz, span")
 def navmesh_spans(spark, sf):
-    m = mesh.face_mesh(T.island_cells(spark, sf), GRID).where("ay = by AND by = cy")
+    m = mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf)).where("ay = by AND by = cy")
     low = {k: F.least(*[F.col(f"{v}{k}") for v in "abc"]) for k in "xz"}
     # A little smaller, so that a face lies in one cell.
     inner = m.select("tid", *[(low[c[1]] + 0.05 + 0.9 * (F.col(c) - low[c[1]]) if c[1] != "y" else F.col(c)).alias(c) for c in mesh.CORNERS])
@@ -535,8 +547,8 @@ def navmesh_spans(spark, sf):
 
 @query()
 def navmesh_bake(spark, sf):
-    floor_ = morph.floor_fill(T.island_cells(spark, sf).where("cy < 4"))
-    out = navmesh.bake_navmesh(mesh.face_mesh(floor_, GRID), navmesh.NavmeshParams(agent_height=1.0, agent_radius=0.1, cell_size=0.5, cell_height=0.5, walkable_climb=1.0))
+    floor_ = morph.floor_fill(T.island_cells(spark, sf))
+    out = navmesh.bake_navmesh(mesh.face_mesh(floor_, lattice(spark, sf)), navmesh.NavmeshParams(agent_height=1.0, agent_radius=0.1, cell_size=0.5, cell_height=0.5, walkable_climb=1.0))
     return out if out is not None else spark.createDataFrame([], "tid long, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
 
 

@@ -48,13 +48,21 @@ LINE_SPLATS_SQL = (
 )
 
 
-def island_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solid cells in a lattice of 24 x 16 x 20, from events; a third of them, in many clusters."""
+def island_cells(spark: SparkSession, sf_dir: str, per: int = 60) -> DataFrame:
+    """Solid cells, one for each event, in a lattice of 16 by 20 that grows in length with the table: a layer for every ``per`` events."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return t.select((F.col("event_id") % 24).cast("int").alias("cx"), (F.col("user_id") % 16).cast("int").alias("cy"), ((F.col("event_id") + 7 * F.col("user_id")) % 20).cast("int").alias("cz")).where("(cx * 5 + cy * 3 + cz * 7) % 8 < 2").distinct()
+    return t.select(F.floor(F.col("event_id") / per).cast("int").alias("cx"), (F.col("user_id") % 16).cast("int").alias("cy"), ((F.col("event_id") + 7 * F.col("user_id")) % 20).cast("int").alias("cz")).distinct()
 
 
-ISLAND_SQL = "SELECT DISTINCT * FROM (SELECT CAST(event_id % 24 AS INTEGER) AS cx, CAST(user_id % 16 AS INTEGER) AS cy, CAST((event_id + 7 * user_id) % 20 AS INTEGER) AS cz FROM events) WHERE (cx * 5 + cy * 3 + cz * 7) % 8 < 2"
+def island_layers(spark: SparkSession, sf_dir: str, per: int = 60) -> int:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.floor(F.max("event_id") / per).cast("int") + 1).head()[0] or 1
+
+
+def island_sql(per: int = 60) -> str:
+    return f"SELECT DISTINCT CAST(event_id // {per} AS INTEGER) AS cx, CAST(user_id % 16 AS INTEGER) AS cy, CAST((event_id + 7 * user_id) % 20 AS INTEGER) AS cz FROM events"
+
+
+ISLAND_SQL = island_sql()
 
 
 def bench_scene(spark: SparkSession, count: int) -> DataFrame:
