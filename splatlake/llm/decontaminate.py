@@ -7,12 +7,13 @@ sampled suffix positions and merges them to removal spans. A neighbourhood of tw
 has cannot lie inside an occurrence, so the shard's text is cut there before it is indexed and what is
 shorter than the shortest phrase is left out; this is exact and keeps indexes small.
 
-Items are read in blocks of at most ``BLOCK_BYTES`` of text, each with its own pass over the documents,
-so what is broadcast is bounded whatever the size of the benchmark.
+Items are read in blocks of some ``BLOCK_BYTES`` of text, each with its own pass over the documents, which
+is written to the shared folder before the next block is broadcast; so what is broadcast at a time is
+bounded whatever the size of the benchmark.
 
 Defined results: null or empty documents have no words; items without words or without an id have no
 phrases; repeated rows count for themselves; empty tables give no rows or no hits; extra columns are
-kept, and working columns have names that begin with ``_dc_``.
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splatlake.llm.columns import shielded
 from splatlake.llm.fmindex import FMIndex
+from splatlake.llm.storage import discard, written
 from splatlake.llm.words import NOT_ALNUM, Scanner, column, offsets_of, ranges_of, sub_ranges
 
 WINDOW = 10
@@ -126,7 +129,8 @@ ADDED = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256":
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with n_words, n_hit, n_items, items_sha256, contaminated and clean_text (hit spans removed) in place of columns of these names."""
-    return _scanned(docs, benchmark, window).select(*[c for c in docs.columns if c not in ADDED], *[F.col(f"_dc_{c}").alias(c) for c in ADDED])
+    plain, _, safe = shielded(docs, "text")
+    return _scanned(plain, benchmark, window).select(*[F.col(s).alias(c) for c, s in safe.items() if c not in ADDED], *[F.col(f"_dc_{c}").alias(c) for c in ADDED])
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -142,7 +146,12 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
         if last:
             schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", _dc_{c} {t}" for c, t in ADDED.items())
-        out = out.mapInArrow(_pass(phrases, last), schema)
+        before, out = out, out.mapInArrow(_pass(phrases, last), schema)
+        if not last:
+            out = written(out, "hits")
+            phrases.destroy()
+        if block and not last:
+            discard(before)
     return out
 
 
@@ -244,7 +253,8 @@ def _without(texts: pa.Array, parts: list, hit: np.ndarray, doc: np.ndarray, n_h
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with all benchmark passages cut out of their texts (and n_chars counted anew, if there)."""
     names = docs.columns
-    out = _scanned(docs, benchmark, window).withColumn("text", F.when(F.col("_dc_contaminated"), F.col("_dc_clean_text")).otherwise(F.col("text")))
+    plain, restored, _ = shielded(docs, "text", "n_chars")
+    out = _scanned(plain, benchmark, window).withColumn("text", F.when(F.col("_dc_contaminated"), F.col("_dc_clean_text")).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("_dc_contaminated"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return restored(out)
