@@ -1,5 +1,5 @@
 """Intermediate tables of this subpackage's operators."""
 
-from splatlake.functions.storage import shared_dir, written
+from splatlake.functions.storage import discard, shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["discard", "shared_dir", "written"]
