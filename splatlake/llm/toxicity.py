@@ -8,10 +8,12 @@ trained together. A text is as toxic as its most toxic segment, so a few insults
 not averaged away; training starts with all segments of a text bearing its label and goes on with the
 most toxic segment of each text.
 
-Labels are learned from a bounded sample (``SAMPLE`` texts a class, of those of at most ``SAMPLE_BYTES``);
-scoring covers whole texts in the tasks that read them, without a shuffle.
+Labels are learned from a bounded sample: ``SAMPLE`` documents a class, taken by a hash; a text of more than
+``PIECES`` pieces of ``PIECE_BYTES`` bytes gives so many of its pieces, taken by a hash, too. In training a clean text
+gives ``CLEAN_SEGMENTS`` segments at most, drawn at random; all segments of toxic ones are used. Scoring covers
+whole texts in the tasks that read them, without a shuffle.
 
-Defined results: a null or empty text, or one without words, has no feature and scores the softmax of
+Defined results: null ids are neither learned nor held out; a null or empty text, or one without words, has no feature and scores the softmax of
 its bias; repeated rows score alike; of several labels of a document the majority counts (ties: not
 toxic), null labels do not; if there are no labels of both kinds, every score is the share of toxic
 labels (0 without labels); extra columns are ignored.
@@ -28,16 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splatlake.llm.storage import written
 from splatlake.llm.words import NOT_ALNUM, Scanner, column, mix, ranges_of, sub_ranges
 
 SAMPLE = 2000
-SAMPLE_BYTES = 4096
+PIECE_BYTES = 16384
+PIECES = 4
+CLEAN_SEGMENTS = 48
 SEGMENT = 6
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
 #: Text scored at once; its features take some two hundred times as many bytes.
 SLICE_BYTES = 1 << 17
+#: Texts learned from at once.
+TEXTS = 40
 _U = np.uint64
 
 
@@ -125,7 +132,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Toxi
     model = _fit([t for k, t in enumerate(texts) if k % 5], [int(v) for k, v in enumerate(y) if k % 5])
     rest, own = texts[::5], y[::5]
     if len(rest) >= 50 and own.sum() >= 10:
-        p = np.clip(np.concatenate([model.scores(rest[k : k + 200]) for k in range(0, len(rest), 200)]), 1e-12, 1 - 1e-12)
+        p = np.clip(np.concatenate([model.scores(rest[k : k + TEXTS]) for k in range(0, len(rest), TEXTS)]), 1e-12, 1 - 1e-12)
         logit = np.log(p / (1 - p))
         order = np.argsort(-logit, kind="stable")
         cost = np.concatenate([[0], np.cumsum(np.where(own[order] > 0, -1.0, clean_weight))])
@@ -136,21 +143,34 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Toxi
     return model
 
 
-def _joined(texts: list[str]) -> tuple[Features, np.ndarray]:
-    """Features of all texts, made a few texts at a time; which buckets more than one text has."""
-    parts, seen = [], np.zeros(BUCKETS, np.int32)
-    for k in range(0, len(texts), 100):
-        part = features(texts[k : k + 100])
-        parts.append(part)
-        owner = np.repeat(np.arange(len(part.doc) - 1), np.diff(np.append(part.word, len(part.bucket))[part.doc]))
-        seen += np.bincount(np.unique(owner * BUCKETS + part.bucket[: len(owner)]) % BUCKETS, minlength=BUCKETS).astype(np.int32)
-    words, size = 0, 0
-    doc, word = [np.zeros(1, np.int64)], []
-    for part in parts:
-        doc.append(part.doc[1:] + words)
-        word.append(part.word[:-1] + size)
-        words, size = words + len(part.word) - 1, size + len(part.bucket)
-    return Features(np.concatenate([p.bucket for p in parts]), np.append(np.concatenate(word), size), np.concatenate(doc)), seen > 1
+def _segments(texts: list[str], y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the segments to train on, feature offsets of segments, segment offsets of texts, and which buckets more than one text has."""
+    seen = np.zeros(BUCKETS, np.int32)
+    buckets, sizes, counts = [], [], []
+    for k in range(0, len(texts), TEXTS):
+        part = features(texts[k : k + TEXTS])
+        edges, at = part.segments()
+        size, owner = np.diff(edges), np.repeat(np.arange(len(at) - 1), np.diff(at))
+        # Segments in a random order within each text, of which clean texts keep the first ones.
+        order = np.lexsort((rng.random(len(owner)), owner))
+        kept = np.sort(order[(y[k + owner] > 0) | (np.arange(len(owner)) - at[owner] < CLEAN_SEGMENTS)])
+        bucket = part.bucket[sub_ranges(edges[kept], size[kept])]
+        seen += np.bincount(np.unique(np.repeat(owner[kept], size[kept]) * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        buckets.append(bucket)
+        sizes.append(size[kept])
+        counts.append(np.bincount(owner[kept], minlength=len(at) - 1))
+    whole = [np.concatenate([[0], np.cumsum(np.concatenate(x))]) for x in (sizes, counts)]
+    return np.concatenate(buckets), *whole, seen > 1
+
+
+def _logits(weight: np.ndarray, bucket: np.ndarray, edges: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+    """Mean weight of each segment's features, some segments at a time."""
+    out = []
+    for k in range(0, len(edges) - 1, step):
+        at = edges[k : k + step + 1]
+        total = np.concatenate([[0], np.cumsum(weight[bucket[at[0] : at[-1]]])])
+        out.append((total[at[1:] - at[0]] - total[at[:-1] - at[0]]) / np.maximum(1, np.diff(at)))
+    return np.concatenate(out)
 
 
 def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epochs: int = 6) -> ToxicityModel:
@@ -159,8 +179,7 @@ def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epo
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0, 1e-9, 1 - 1e-9))
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    f, known = _joined(texts)
-    edges, at = f.segments()
+    bucket_of, edges, at, known = _segments(texts, y, np.random.default_rng(seed + 1))
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS))
@@ -171,7 +190,7 @@ def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epo
     embedding[~known] = 0
     for turn in range(rounds):
         weight = embedding @ direction
-        logit, _ = ToxicityModel(weight, bias).logits(f)
+        logit = _logits(weight, bucket_of, edges) + bias
         logit = logit + (rng.random(len(logit)) * (1e9 if turn == 0 else 1e-9))
         best = np.lexsort((-logit, owner))
         nth = np.arange(len(best)) - at[owner[best]]
@@ -181,7 +200,7 @@ def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epo
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(chosen), max(min(40, len(chosen)), len(chosen) // 256)):
                 size = edges[batch + 1] - edges[batch]
-                bucket = f.bucket[sub_ranges(edges[batch], size)]
+                bucket = bucket_of[sub_ranges(edges[batch], size)]
                 row = np.repeat(np.arange(len(batch)), size)
                 mean = np.stack([np.bincount(row, embedding[bucket, d], len(batch)) for d in range(DIMENSIONS)], 1) / np.maximum(1, size)[:, None]
                 p = 1 / (1 + np.exp(-np.clip(mean @ direction + bias, -60, 60)))
@@ -200,22 +219,35 @@ def _fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4, epo
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def _pieces(text: str) -> str:
+    """The text, or the pieces of it that are learned from."""
+    data = text.encode("utf-8", "replace")
+    if len(data) <= PIECES * PIECE_BYTES:
+        return text
+    parts = [data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)]
+    return b" ".join(sorted(parts, key=zlib.crc32)[:PIECES]).decode("utf-8", "ignore")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learn from labelled documents that are not held out: a bounded sample in the order of a hash."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.when(F.avg("toxic") > 0.5, 1).otherwise(0).alias("toxic"))
-    # Some labelled texts are too long for the sample, so that four times as many are looked up.
-    order = F.xxhash64("doc_id")
+    known = written(known.groupBy("doc_id").agg(F.when(F.avg("toxic") > 0.5, 1).otherwise(0).alias("toxic")), "labels")
     counts = dict(known.groupBy("toxic").count().collect())
-    picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(4 * sample) for c in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]))  # 8 x sample rows of two numbers
-    texts = docs.select("doc_id", F.col("text").cast("string")).where(F.octet_length("text") <= SAMPLE_BYTES).join(chosen, "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    rows = [r for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample).collect()]
-    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()[::-1]))
+    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # 2 x sample rows of two numbers
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([_pieces(one.column(2)[0].as_py() or "")], pa.string())], ["doc_id", "toxic", "text"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = texts.select(F.col("doc_id").cast("string"), F.col("toxic").cast("int"), "text").mapInArrow(cut, "doc_id string, toxic int, text string").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r["doc_id"].encode()[::-1]), r["doc_id"]))
     n = np.bincount([r["toxic"] for r in rows], minlength=2)
     weight = counts.get(0, 0) / max(1, n[0]) / max(1, counts.get(1, 0) / max(1, n[1]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], weight)
