@@ -1,11 +1,15 @@
 """N-gram Jaccard self-join with a token-group matrix, giving the components of similar documents.
 
 A document's tokens are its distinct shingles of some words. Documents with equal token sets form one class
-and one of them stands for all. Two different sets of n and m tokens with a similarity of t or more differ
-in at most (n + m)(1 - t) / (1 + t) tokens; if the tokens are dealt by a hash into parts and more than that
-many parts of a set have tokens, one of these is equal in both. So documents that share an equal part (and a
-range of sizes) are put into one group; all links lie within groups, and the groups' connected components
-partition similar documents.
+and one of them stands for all. All tokens are put into one order, the rare ones first: their
+frequencies are counted over all documents in a table of ``SLOTS`` hashed counters. If a set of n tokens has a
+similarity of t or more with another, some token that both have is among the first n - ceil(tn) + 1 of its
+order; the i-th of these (from 0) can be the first common one only with sets of at most
+(n - i)(1 + t) / t - n tokens. Any order gives all links; in this one, texts that only
+share frequent passages seldom meet. Documents that meet at a token within these sizes form a run. In runs of at
+most ``SMALL`` documents, pairs are left out whose parity bitmaps (a bit for each slot that holds an odd
+number of the set's tokens) differ in more bits than similar sets in tokens; larger runs stay together. The
+connected components of what is left partition similar documents.
 
 Within a component, blocks of documents are compared: documents of a block with close smallest hashes
 make up groups of ``GROUP``, whose token unions form the columns of a token-group matrix. The overlap of
@@ -13,8 +17,10 @@ a document with a group's union bounds the overlap with each member; only groups
 document's tokens are opened, and not if all members are connected to it already. Tasks return
 edges that connect, at most one for each document and block, never all pairs.
 
-A part shared by many documents is reduced to one row for each batch before it is shuffled, and
-a component of any size is cut into blocks of ``BLOCK`` documents.
+A component of several blocks goes through them once with some ``REPRESENTATIVES`` of its documents in every
+block, which connects what is similar to them. Then only documents outside the component's largest cluster
+are compared with the other blocks. Large runs are reduced to their first document before the shuffle, and
+to edges to it after it.
 
 Defined results: null and empty texts and texts without words have no tokens and link with nothing; of
 fewer words than a shingle's the whole sequence is the one token; rows with one doc_id count as one document;
@@ -23,7 +29,8 @@ rows without a doc_id get no component; empty tables give no rows; extra columns
 
 from __future__ import annotations
 
-import functools
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,29 +38,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splatlake.llm.columns import shielded
 from splatlake.llm.storage import written
-from splatlake.llm.words import Scanner, column, mix
+from splatlake.llm.words import Scanner, column, mix, sub_ranges
 from splatlake.operators.components import connected_components
 
 #: Of op7_ngram_jaccard_join; stages of a pipeline give their own.
 SHINGLE = 3
 PERCENT = 90
+#: Documents and tokens of a block.
 BLOCK = 1000
+BLOCK_TOKENS = 400_000
 GROUP = 32
+REPRESENTATIVES = 32
 #: Tokens that one task compares.
 TASK_TOKENS = 1_000_000
+#: Counters of token frequencies, in parts that are added up one by one, ``FAN`` tables at a time.
+SLOTS, PARTS, FAN = 1 << 20, 32, 64
+#: Tokens counted, or candidates reduced, at a time.
+HELD = 400_000
+SMALL = 64
 _U = np.uint64
 
 
-@functools.lru_cache
-def _size_ranges(percent: int = PERCENT, largest: int = 1 << 40) -> np.ndarray:
-    """First size of each range; smaller sets have no similar set but equal ones, and similar sets lie at most one range apart."""
-    out, growth = [-(-percent // (100 - percent))], max(1.35, 105 / percent)
-    while out[-1] < largest:
-        out.append(int(out[-1] * growth) + 1)
-    return np.array(out)
-
-
 def token_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct token hashes of each text."""
     for part in Scanner(lower=True)(texts):
@@ -71,102 +78,238 @@ def token_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndar
                 yield part.row + d, np.zeros(0, _U)
 
 
-def part_signatures(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of the parts of a token set, for its range of sizes and the range below if that is near."""
-    n, ranges = len(tokens), _size_ranges(percent)
-    own = int(np.searchsorted(ranges, n, "right")) - 1
-    if own < 0:
-        return np.zeros(0, _U)
-    out = []
-    mixed = mix(tokens ^ _U(0x5851F42D4C957F2D))
-    for r in (own, own - 1) if own and percent * n <= 100 * (ranges[own] - 1) else (own,):
-        last = int(ranges[r + 1]) - 1
-        most = (last + last * 100 // percent) * (100 - percent) // (100 + percent)  # tokens in which similar sets differ
-        parts = most + 1 + int(4 * most * np.exp(-int(ranges[r]) / (most + 1)))  # with spare ones for those that stay empty
-        for seed in range(64):
-            part = (mix(tokens + _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(16)) % _U(parts)
-            order = np.argsort(part)
-            at = np.flatnonzero(np.diff(part[order], prepend=_U(parts)))
-            label = part[order[at]] + _U((r << 40) + (seed << 32))
-            out.append(mix(np.add.reduceat(mixed[order], at) + mix(label + _U(1))))
-            if len(at) > most:  # empty parts say nothing; if too few are left, the next seed is asked as well
-                break
-    return np.concatenate(out)
-
-
-def _scan(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of tokens and 128 bits of the token set of each row."""
-    for batch in batches:
-        ids, rows = batch.column(0), ([], [], [], [])
-        for row, tokens in token_sets(column(batch, "text"), shingle):
-            f1, f2 = (int(np.add.reduce(mix(tokens + _U(c)))) for c in (11, 23)) if len(tokens) else (0, 0)
-            for to, value in zip(rows, (ids[row].as_py(), len(tokens), f1 - (f1 >> 63 << 64), f2 - (f2 >> 63 << 64)), strict=True):
-                to.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "n", "f1", "f2"])
+def _mixed(tokens: np.ndarray) -> np.ndarray:
+    """Hashes whose high bits are a token's slot among the counters."""
+    return mix(tokens ^ _U(0x5851F42D4C957F2D))
+
+
+def _slot(mixed: np.ndarray) -> np.ndarray:
+    return (mixed >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
 
+def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens in the common order (as numbers in that order) and for each the largest size of a set that it may be the first in common with."""
+    n = len(tokens)
+    if percent >= 100 or n < -(-percent // (100 - percent)):  # only equal sets are similar
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    keep = n - -(-percent * n // 100) + 1
+    mixed = _mixed(tokens)
+    order = levels[_slot(mixed)].astype(_U) << _U(56) | mixed >> _U(8)
+    order = np.sort(np.partition(order, keep - 1)[:keep])
+    return order, (n - np.arange(keep)) * (100 + percent) // percent - n
 
-def _candidates(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, leader) of a batch: of each signature its smallest document, and edges of the others to it."""
+
+def bitmap(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
+    """Parities of the counts of tokens in slots: some two and a half times as many as tokens in which similar sets can differ."""
+    bits = 1 << max(6, (2 * len(tokens) * (100 - percent) // (100 + percent) * 12 // 5).bit_length())
+    slots = np.bincount((mix(tokens ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(slots & 1, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> int:
+    """The bitmap over so many bytes, as a number."""
+    value, n = int.from_bytes(bits, "little"), len(bits)
+    while n > size:
+        n //= 2
+        value = value >> 8 * n ^ value & (1 << 8 * n) - 1
+    return value
+
+
+def _scan(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """doc_id, number of tokens, 128 bits and the bitmap of the token set of each row; at the end the task's counters in parts."""
+    names = ["doc_id", "n", "f1", "f2", "bits", "part", "counts"]
+    total, held, size = np.zeros(SLOTS, np.int64), [np.zeros(0, _U)], 0
     for batch in batches:
-        ids, found, docs = batch.column(0), [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        ids, rows = batch.column(0), ([], [], [], [], [])
         for row, tokens in token_sets(column(batch, "text"), shingle):
-            if len(tokens):
-                found.append(part_signatures(tokens, percent))
-                docs.append(np.full(len(found[-1]), ids[row].as_py(), np.int64))
-        signature, doc = np.concatenate(found), np.concatenate(docs)
-        order = np.lexsort((doc, signature))
-        signature, doc = signature[order], doc[order]
-        first = np.flatnonzero(np.diff(signature, prepend=_U(0)) != 0) if len(signature) else np.zeros(0, int)
-        if len(signature) and (not len(first) or first[0] != 0):
-            first = np.concatenate([[0], first])
-        leader = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
-        edges = np.unique(np.column_stack([doc, leader])[doc != leader], axis=0)
-        key = np.concatenate([signature[first].view(np.int64), mix(edges[:, 0].astype(_U)).view(np.int64)])
-        leaders = pa.array(np.concatenate([np.zeros(len(first), np.int64), edges[:, 1]]), mask=np.arange(len(key)) < len(first))
-        columns = [pa.array(key), pa.array(np.concatenate([doc[first], edges[:, 0]])), leaders]
-        for k in range(0, len(key), 200_000):
-            yield pa.RecordBatch.from_arrays([c.slice(k, 200_000) for c in columns], ["key", "doc", "leader"])
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to the first document of each signature; rows come sorted by (key, doc)."""
-    key_now = leader_now = None
-    for batch in batches:
-        key, doc = (batch.column(i).to_numpy() for i in (0, 1))
-        leader, edge = batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        a, b = [doc[edge]], [leader[edge]]
-        key, doc = key[~edge], doc[~edge]
+            f1, f2 = (int(np.add.reduce(mix(tokens + _U(c)))) for c in (11, 23)) if len(tokens) else (0, 0)
+            for to, value in zip(rows, (ids[row].as_py(), len(tokens), f1 - (f1 >> 63 << 64), f2 - (f2 >> 63 << 64), bitmap(tokens, percent)), strict=True):
+                to.append(value)
+            held.append(tokens)
+            size += len(tokens)
+            if size > HELD:
+                total += np.bincount(_slot(_mixed(np.concatenate(held))), minlength=SLOTS)
+                held, size = [np.zeros(0, _U)], 0
+        n = len(rows[0])
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows[:4]], pa.array(rows[4], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+    total += np.bincount(_slot(_mixed(np.concatenate(held))), minlength=SLOTS)
+    if total.any():
+        counts = [zlib.compress(x.tobytes(), 1) for x in np.split(total, PARTS)]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(counts, pa.binary())], names)
+
+
+def _levels(counts: DataFrame) -> np.ndarray:
+    """A byte for each slot that grows with the logarithm of its count; from rows (part, counts) of all tasks."""
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(SLOTS // PARTS, np.int64)
+        for data in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+    left = counts.where("part = 0").count()
+    while left > 1:
+        left = -(-left // FAN)
+        counts = counts.withColumn("team", F.pmod(F.xxhash64("counts"), F.lit(left))).groupBy("part", "team").applyInArrow(add, "part int, counts binary")
+    out = np.zeros((PARTS, SLOTS // PARTS), np.uint8)
+    for part, data in counts.collect():  # SLOTS counters, however large the input
+        out[part] = np.minimum(255, 8 * np.log2(1 + np.frombuffer(zlib.decompress(data), np.int64)))
+    return out.ravel()
+
+
+def _runs(key: np.ndarray, size: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in the order of (key, size): the first row of each run, and the largest ``upto`` of the key so far.
+
+    A run ends with its key, or where the next size is larger than all before it may meet.
+    """
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    team = np.cumsum(first) << 40
+    most = np.maximum.accumulate(team + upto) - team
+    first[1:] |= size[1:] > most[:-1]
+    return np.flatnonzero(first), most
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different numbers."""
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _candidates(levels, shingle: int = SHINGLE, percent: int = PERCENT):
+    """Rows (key, size, upto, doc, leader): documents at a token; of large runs the first document, and edges of the others to it."""
+
+    def reduced(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, size, upto, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((doc, size, key))
+        key, size, upto, doc = key[order], size[order], upto[order], doc[order]
+        first, most = _runs(key, size, upto)
+        ends = np.append(first[1:], len(key))
+        large = np.repeat(ends - first > SMALL, ends - first)
+        a, b = _distinct(doc[large], np.repeat(doc[first], ends - first)[large])
+        upto[first[ends - first > SMALL]] = most[ends - 1][ends - first > SMALL]
+        large[first] = False
+        rows, none = [x[~large] for x in (key.view(np.int64), size, upto, doc)], np.zeros(len(a), np.int64)
+        n = len(rows[0])
+        leader = pa.array(np.concatenate([np.zeros(n, np.int64), b]), mask=np.arange(n + len(a)) < n)
+        columns = [pa.array(np.concatenate(x)) for x in zip(rows, (mix(a.astype(_U)).view(np.int64), none, none, a), strict=True)] + [leader]
+        for k in range(0, n + len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([c.slice(k, 100_000) for c in columns], ["key", "size", "upto", "doc", "leader"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            ids = batch.column(0)
+            for row, tokens in token_sets(column(batch, "text"), shingle):
+                order, upto = prefix(tokens, levels.value, percent)
+                if len(order):
+                    found.append((order, np.full(len(order), len(tokens)), upto, np.full(len(order), ids[row].as_py(), np.int64)))
+                    held += len(order)
+                if held > HELD:
+                    yield from reduced(found)
+                    found, held = [], 0
+        if found:
+            yield from reduced(found)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (docs, a, b): the documents of each small run, or edges to the first of a large one; rows come sorted by (key, size, doc)."""
+    held, far = [np.zeros(0, np.int64)] * 4, False  # rows of the run that the last batch ended in; far: it is large, and this is its first
+    for batch in itertools.chain(batches, [None]):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows = held
+        if batch is not None:
+            edge = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            a.append(columns[3][edge])
+            b.append(batch.column(4).fill_null(0).to_numpy()[edge])
+            rows = [np.concatenate([x, y[~edge]]) for x, y in zip(held, columns, strict=True)]
+        key, size, upto, doc = rows
+        lists = np.zeros(0, bool)
         if len(key):
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lead = doc[first].copy()
-            if key_now == key[0]:
-                lead[0] = leader_now
-            lead = np.repeat(lead, np.diff(np.append(first, len(key))))
-            a.append(doc[doc != lead])
-            b.append(lead[doc != lead])
-            key_now, leader_now = key[-1], lead[-1]
-        pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            first, most = _runs(key, size, upto)
+            count = np.diff(np.append(first, len(key)))
+            large = count > SMALL
+            large[0] |= far
+            open_ = np.arange(len(first)) == len(first) - 1 if batch is not None else np.zeros(len(first), bool)
+            own = np.repeat(large, count)
+            a.append(doc[own])
+            b.append(np.repeat(doc[first], count)[own])
+            lists = ~large & ~open_ & (count > 1)
+            far = bool(large[-1])
+            k = first[-1]
+            held = [x[k : k + 1] for x in (key, size, most, doc)] if far else [x[k:] for x in rows]
+            if far:
+                held[2] = most[-1:]
+        pairs = _distinct(np.concatenate(a), np.concatenate(b))
+        n, values = int(lists.sum()), np.zeros(0, np.int64)
+        offsets = np.zeros(1, np.int64)
+        if n:
+            values, offsets = doc[sub_ranges(first[lists], count[lists])], np.concatenate([[0], np.cumsum(count[lists])])
+        docs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        none = pa.nulls(len(pairs[0]), docs.type)
+        ends = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in pairs]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([docs, none]), *ends], ["docs", "a", "b"])
+
+
+def _may_be_similar(percent: int = PERCENT):
+    """Edges between documents of a run (run, doc_id, n, bits) whose bitmaps allow for similarity; rows come sorted by run."""
+
+    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        least = min(len(x[2]) for x in group)
+        bits = [folded(x[2], least) for x in group]
+        for i in range(1, len(group)):
+            for j in range(i):
+                if (bits[i] ^ bits[j]).bit_count() * (100 + percent) <= (group[i][1] + group[j][1]) * (100 - percent):
+                    yield group[i][0], group[j][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for batch in itertools.chain(batches, [None]):
+            found = []
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None)]:
+                if key != now:
+                    found += pairs(group) if len(group) > 1 else ()
+                    now, group = key, []
+                group.append(row)
+            both = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return run
 
 
 def _packed_sets(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+    """The rows, with a column of token sets in place of texts."""
     for batch in batches:
-        texts = column(batch, "text")
-        ids, comps = batch.column(0), batch.column(2)
-        rows, size = ([], [], []), 0
-        for row, tokens in token_sets(texts, shingle):
-            for to, value in zip(rows, (ids[row].as_py(), comps[row].as_py(), tokens.tobytes()), strict=True):
-                to.append(value)
+        place = batch.schema.get_field_index("text")
+        others = [i for i in range(batch.num_columns) if i != place]
+        rows, sets, size = [], [], 0
+
+        def table(batch=batch, others=others) -> pa.RecordBatch:
+            own = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*[batch.column(i).take(own) for i in others], pa.array(sets, pa.binary())], [*[batch.schema.names[i] for i in others], "tokens"])
+
+        for row, tokens in token_sets(column(batch, "text"), shingle):
+            rows.append(row)
+            sets.append(tokens.tobytes())
             size += 8 * len(tokens)
             if size > 1 << 24:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["doc_id", "component", "tokens"])
-                rows, size = ([], [], []), 0
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["doc_id", "component", "tokens"])
+                yield table()
+                rows, sets, size = [], [], 0
+        yield table()
 
 
 class _Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    def __init__(self, known: np.ndarray):
+        """Of things in known sets, by the name of each one's set."""
+        _, first, own = np.unique(known, return_index=True, return_inverse=True)
+        self.up = first[own]
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -187,8 +330,11 @@ class _Union:
         return True
 
 
-def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that connect linked sets (only between sides 0 and 1, if both are there), by a token-group matrix."""
+def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect linked sets (only between sides 0 and 1, if both are there), by a token-group matrix.
+
+    known: names of the clusters in which sets are connected already.
+    """
     n, sizes = len(sets), np.array([len(s) for s in sets])
     two = len(np.unique(side)) > 1
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
@@ -196,7 +342,7 @@ def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
     # Similar sets mostly share their smallest hash and have about as many tokens.
     order = np.lexsort((sizes, [s[0] for s in sets]))
     groups = [g for v in (0, 1) for own in [order[side[order] == v]] for g in np.array_split(own, -(-len(own) // GROUP) or 1) if len(g)]
-    n_tokens, union, edges = int(token.max()) + 1, _Union(n), []
+    n_tokens, union, edges = int(token.max()) + 1, _Union(np.arange(n) if known is None else known), []
     matrix = np.zeros((n_tokens, len(groups)), bool)
     for g, own in enumerate(groups):
         for d in own:
@@ -236,67 +382,96 @@ def connect(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
 
 
 def _solve(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """All (component, block, block) of a bin."""
+    """All (component, low, high) of a bin."""
     a, b = [], []
-    rows = rows.sort_by([("component", "ascending"), ("low", "ascending"), ("high", "ascending"), ("doc_id", "ascending")])
+    rows = rows.sort_by([(c, "ascending") for c in ("component", "low", "high", "side", "doc_id")])
     if rows.num_rows:
         keys = np.column_stack([rows[c].to_numpy() for c in ("component", "low", "high")])
         cuts = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])), len(keys))
-        ids, own = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+        ids, side, known = (rows[c].to_numpy() for c in ("doc_id", "side", "known"))
         packed = rows["tokens"].to_pylist()
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             some = [k for k in range(i, j) if packed[k]]
             if len(some) > 1:
                 sets = [np.frombuffer(packed[k], _U) for k in some]
-                for x, y in connect(sets, (own[some] != keys[i, 1]).astype(int), percent):
+                for x, y in connect(sets, side[some], percent, known[some]):
                     a.append(ids[some[x]])
                     b.append(ids[some[y]])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    """Edges of (doc_id, tokens, component, low, high, side, known): documents that are together in (component, low, high) are compared."""
+
+    def solve(rows: pa.Table) -> pa.Table:
+        return _solve(rows, percent)
+
+    total = compared.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0
+    bins = max(1, total // (8 * TASK_TOKENS), int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    compared = compared.withColumn("bin", F.pmod(F.xxhash64("component", "low", "high"), F.lit(bins)))
+    return compared.select("bin", "doc_id", "component", "low", "high", "side", "known", "tokens").groupBy("bin").applyInArrow(solve, "a long, b long")
+
+
+def _from_others(packed: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
+    """Edges between blocks that are not yet known; None if each component of several blocks is one cluster."""
+    several = packed.where("blocks > 1").select("doc_id", "component", "blocks")
+    clusters = several.join(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left")
+    clusters = written(clusters.withColumn("known", F.coalesce("own", "doc_id")).drop("own").distinct(), "clusters")
+    largest = clusters.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
+    each = clusters.join(largest, "component").groupBy("component", "blocks").agg(F.count("*").alias("n"), F.count_if(F.expr("known <> main")).alias("rest"))
+    counts = written(each.where("rest > 0").select("component", F.ceil(F.col("blocks") * F.col("rest") / F.col("n")).cast("int").alias("parts")), "clusters-left")
+    if counts.isEmpty():
+        return None
+    clusters = clusters.join(counts, "component").join(largest, "component").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+    sets = written(packed.select("doc_id", "tokens", "block").join(clusters, "doc_id"), "sets-left")
+    left = sets.where("known <> main").withColumn("side", F.lit(0)).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.col("part"))
+    right = sets.withColumn("side", F.lit(1)).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("high", F.col("block"))
+    names = ("doc_id", "tokens", "component", "low", "high", "side", "known")
+    return _linked(left.select(*names).union(right.select(*names)), percent)
+
+
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of ``percent`` or more) of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scan(batches, shingle)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _candidates(batches, shingle, percent)
+        return _scan(batches, shingle, percent)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _packed_sets(batches, shingle)
 
-    def solve(rows: pa.Table) -> pa.Table:
-        return _solve(rows, percent)
-
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scanned = written(texts.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long"), "token-sets")
+    scanned = written(texts.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long, bits binary, part int, counts binary"), "token-sets")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(scanned.where("part IS NOT NULL").select("part", "counts")))  # SLOTS bytes
+    scanned = scanned.where("part IS NULL").drop("part", "counts")
     full = scanned.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first"))
-    member = written(full.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "first"), "classes")
+    member = written(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "first", "n"), "classes")
     copies = member.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    # The texts are read again rather than their signatures kept, which would be the largest table here.
-    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(sign, "key long, doc long, leader long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "doc")
-    candidates = rows.mapInArrow(_lead, "a long, b long").distinct()
+    # The texts are read again rather than their tokens kept, which would be the largest table here.
+    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_candidates(levels, shingle, percent), "key long, size long, upto long, doc long, leader long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "size", "doc")
+    met = written(rows.mapInArrow(_meet, "docs array<long>, a long, b long").distinct(), "runs")
+    runs = met.where("docs IS NOT NULL").select(F.xxhash64("docs").alias("run"), F.explode("docs").alias("doc_id"))
+    runs = runs.join(full.select("doc_id", "n", "bits").distinct(), "doc_id").select("run", "doc_id", "n", "bits").repartition("run").sortWithinPartitions("run", "doc_id")
+    candidates = met.where("docs IS NULL").select("a", "b").union(runs.mapInArrow(_may_be_similar(percent), "a long, b long")).distinct()
     for end in ("a", "b"):  # each class by its first document
         candidates = candidates.join(member.select(F.col("doc_id").alias(end), F.col("first").alias(f"{end}1")).distinct(), end)
     candidates = candidates.where("a1 <> b1").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
-    near = written(connected_components(candidates), "candidates")
-    sizes = near.groupBy("component").agg(F.count("*").alias("members"))
-    near = near.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members")
-    sets = texts.join(near, "doc_id").select("doc_id", "text", F.col("component"), "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    packed = sets.select("doc_id", "text", F.col("component")).mapInArrow(pack, "doc_id long, component long, tokens binary")
-    packed = written(packed, "sets").join(sizes, "component").withColumn("blocks", blocks).drop("members")
-    packed = packed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    packed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    packed = packed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    total = packed.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0
-    bins = max(1, total // (8 * TASK_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = packed.withColumn("bin", F.pmod(F.xxhash64("component", "low", "high"), F.lit(bins)))
-    linked = packed.select("bin", "doc_id", "component", "low", "high", "block", "tokens").groupBy("bin").applyInArrow(solve, "a long, b long")
-    found = connected_components(linked.union(copies))
+    near = connected_components(candidates).select(F.col("node").alias("doc_id"), "component")
+    near = written(near.join(member.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "candidates")
+    sizes = near.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    near = near.join(sizes, "component").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
+    near = near.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # About so many documents of each component of several blocks go to all of its blocks.
+    everywhere = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("members") / REPRESENTATIVES)) == 0)
+    near = near.select("doc_id", "component", "blocks", "block", everywhere.alias("everywhere"))
+    packed = texts.join(near, "doc_id").mapInArrow(pack, "doc_id long, component long, blocks int, block int, everywhere boolean, tokens binary")
+    packed = written(packed, "sets")
+    to = F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+    once = packed.select("doc_id", "tokens", "component", to.alias("low")).withColumns({"high": F.col("low"), "side": F.lit(0), "known": F.col("doc_id")})
+    links = written(_linked(once, percent), "links")
+    more = _from_others(packed, links, percent) if not packed.where("blocks > 1").isEmpty() else None
+    found = connected_components((links if more is None else links.union(more)).union(copies))
     return scanned.join(found, scanned["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -306,7 +481,7 @@ def drop_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     Rows are told apart by doc_id and text, so another text under the same doc_id is judged by itself; of rows
     that repeat in both, the smallest in the order of the other columns stays.
     """
-    # Working columns have names that columns of documents don't have.
+    docs, restored, _ = shielded(docs, "doc_id", "text")
     text = F.col("text").cast("string")
     keyed = docs.withColumn("_nd_key", F.xxhash64("doc_id", text, F.col("doc_id").isNull()))
     found = similar_documents(keyed.select(F.col("_nd_key").alias("doc_id"), "text"), shingle, percent)
@@ -321,4 +496,4 @@ def drop_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     kept = keyed.join(marks, "_nd_key", "left").where("NOT coalesce(_nd_gone, false)")
     once = kept.where("_nd_rows IS NULL").select(*docs.columns)
     several = kept.where("_nd_rows > 1").groupBy("_nd_key").agg(F.min(F.struct(*docs.columns)).alias("_nd_row"))
-    return once.union(several.select("_nd_row.*"))
+    return restored(once.union(several.select("_nd_row.*")))

@@ -67,10 +67,10 @@ def test_knn_repeated_ids(spark, monkeypatch):
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     asked = t.where("vec_id % 1000 = 0 AND vec_id < 9000")
     good = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows]
-    query = {i: min((x.astype("<i4").tobytes(), x) for j, x in good if j == i)[1] for i in range(0, 6000, 1000)}
+    query = {i: min((x.astype("<f8").tobytes(), tuple(x)) for j, x in good if j == i)[1] for i in range(0, 6000, 1000)}
     want = []
     for i, q in query.items():
-        scores = sorted((-int(q @ x), j) for j, x in good if j != i)[:5]
+        scores = sorted((-int(np.array(q) @ x), j) for j, x in good if j != i)[:5]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     for block in (knn.DATA_BLOCK, 20):
         monkeypatch.setattr(knn, "DATA_BLOCK", block)
@@ -174,6 +174,9 @@ def test_known_reference(spark):
     t = spark.createDataFrame([(1, "x y " + " ".join(f"k{i}" for i in range(10, 60)) + " z"), (2, "k1 k2"), (3, None)], "doc_id long, text string")
     out = {r.doc_id: [tuple(s) for s in r.spans] for r in substrings.remove_known(t, spark.createDataFrame([(ref,)], "text string")).collect()}
     assert out == {1: [(2, 52)], 2: [], 3: []}
+    parts = substrings.remove_known(t, spark.createDataFrame([(ref,), (None,), ("x y " + ref[:3],)], "text string"), part_words=20, block_bytes=900)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in parts.collect()} == out
+    assert {len(r.spans) for r in substrings.remove_known(t, spark.createDataFrame([], "text string")).collect()} == {0}
 
 
 def test_automaton():
@@ -314,7 +317,7 @@ def test_jaccard_blocks(monkeypatch):
                 if (not two or side[i] != side[j]) and 190 * c >= 90 * (len(sets[i]) + len(sets[j])):
                     up[root(i)] = root(j)
         want = {frozenset(k for k in range(90) if root(k) == r) for r in {root(k) for k in range(90)}}
-        u = jaccard._Union(90)
+        u = jaccard._Union(np.arange(90))
         for a, b in jaccard.connect(sets, side if two else np.zeros(90, int)):
             u.join(a, b)
         assert {frozenset(k for k in range(90) if u.root(k) == r) for r in {u.root(k) for k in range(90)}} == want
@@ -399,7 +402,11 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
     odd = ["It's 3,4 x.y. don't...", "<|endoftext|> a<|startoftext|>b", "é,\tÀ. ΑΣ. ß", "ﬁ Ǆ", ""]
     encode = packing.encoder(path)
-    assert all(encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd)
+    assert encode.by_words
+    for by_words in (True, False):
+        encode.by_words = by_words
+        assert all(encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd)
+    encode.by_words = True
 
 
 def test_pipeline(spark):
@@ -410,3 +417,60 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_jaccard_large_components(spark, monkeypatch):
+    """Chains of links over many blocks: representatives, then what they left apart; frequent passages in unlike texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    monkeypatch.setattr(jaccard, "REPRESENTATIVES", 2)
+    rng = random.Random(11)
+    passage = [f"p{j}" for j in range(30)]
+    rows = [(k, " ".join([f"u{rng.randrange(10**6)}" for _ in range(60)] + passage)) for k in range(60)]
+    base = [f"b{j}" for j in range(80)]
+    for k in range(100, 220):  # each near the one before it, the ends far apart
+        base = list(base)
+        base[(3 * k) % 80] = f"c{rng.randrange(10**6)}"
+        rows.append((k, " ".join(base)))
+    for k in range(300, 360):
+        w = list(base)
+        w[rng.randrange(80)] = f"d{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w[: 80 - rng.randrange(3)])))
+    rng.shuffle(rows)
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(map(tuple, jaccard.similar_documents(t).collect()))
+    assert out == components(rows) and len({c for _, _, c in out}) < 130
+
+
+def test_jaccard_prefixes():
+    """Similar sets meet at a token within the sizes that both give, under any counts; a long text has no more keys than its share."""
+    rng = np.random.default_rng(5)
+    levels = rng.integers(0, 256, jaccard.SLOTS).astype(np.uint8)
+    for percent in (70, 80, 90):
+        for n in (4, 9, 10, 25, 100, 400):
+            for _ in range(30):
+                a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+                b = np.concatenate([a[rng.random(n) > 0.08], rng.integers(0, 1 << 60, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)])
+                a, b = np.unique(a), np.unique(b)
+                common = len(np.intersect1d(a, b))
+                if 0 < common and 100 * common >= percent * (len(a) + len(b) - common) and (len(a) != common or len(b) != common):
+                    (x, up_x), (y, up_y) = jaccard.prefix(a, levels, percent), jaccard.prefix(b, levels, percent)
+                    meet = [(i, j) for i, v in enumerate(x) for j in np.flatnonzero(y == v)]
+                    assert any(len(b) <= up_x[i] and len(a) <= up_y[j] for i, j in meet)
+                    x, y = jaccard.bitmap(a, percent), jaccard.bitmap(b, percent)
+                    least = min(len(x), len(y))
+                    assert (jaccard.folded(x, least) ^ jaccard.folded(y, least)).bit_count() <= len(a) + len(b) - 2 * common
+    assert len(jaccard.prefix(np.arange(10**6, dtype=np.uint64), levels, 80)[0]) == 200_001
+
+
+def test_jaccard_counts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAN", 2)
+    rows = [(k, "the same five words here " + " ".join(f"x{k}y{j}" for j in range(4))) for k in range(400)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    scanned = t.mapInArrow(lambda b: jaccard._scan(b, 3), "doc_id long, n long, f1 long, f2 long, bits binary, part int, counts binary").where("part IS NOT NULL")
+    levels = jaccard._levels(scanned.select("part", "counts"))
+    want = np.zeros(jaccard.SLOTS, int)
+    import pyarrow as pa
+
+    for _, tokens in jaccard.token_sets(pa.array([r[1] for r in rows]), 3):
+        want += np.bincount(jaccard._slot(jaccard._mixed(tokens)), minlength=jaccard.SLOTS)
+    assert want.max() >= 400 and (levels == np.minimum(255, 8 * np.log2(1 + want)).astype(np.uint8)).all()
