@@ -14,11 +14,12 @@ be broadcast nor each document meet every shard. So both go to shards by content
    twice or more is repeated. Spans of such windows return to their documents and are removed, merged.
 
 Automata are of at most about ``AUTOMATON_WORDS`` words; a shard holds one at a time. ``remove_known``
-is the plain form, for a given small reference: broadcast automata of its parts and a single pass.
+is the plain form, for a given reference: automata of its parts are broadcast, as many at a time as a bound
+allows, and documents are streamed once for each such block.
 
 Defined results: null and empty texts have no words; rows that repeat in doc_id and text count as
 places each; a null doc_id is a value like others; empty tables give no rows; extra columns are kept by
-``drop_repeats`` and ignored else.
+``drop_repeats``, whatever their names, and ignored else.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splatlake.llm.automaton import SuffixAutomaton
+from splatlake.llm.columns import shielded
+from splatlake.llm.storage import discard, written
 from splatlake.llm.words import Scanner, Words, column, mix, sliding_min
 
 WINDOW = 35
@@ -65,7 +68,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _named(table: DataFrame) -> DataFrame:
-    """With names that columns of documents don't have."""
+    """With names that shielded columns don't have."""
     return table.select(*[F.col(c).alias(f"_sd_{c}") for c in table.columns])
 
 
@@ -273,6 +276,7 @@ def _cut(text: bytes, gone: np.ndarray) -> str:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the words of repeated windows (and n_chars counted anew, if there)."""
+    docs, restored, _ = shielded(docs, "doc_id", "text", "n_chars")
     names = docs.columns
     place = names.index("text")
 
@@ -294,49 +298,87 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     clean = clean.mapInArrow(run, schema)
     if "n_chars" in names:
         clean = clean.withColumn("n_chars", F.when(F.col("_sd_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*names)
+    return restored(clean)
 
 
-def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, part_words: int = AUTOMATON_WORDS, most_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id and spans of words that the texts of a small ``reference`` share in runs of at least ``window`` words.
+class Shards:
+    """Automata of word sequences, made once in each worker that holds the broadcast."""
 
-    The reference is refused beyond ``most_bytes``; its automata are broadcast and documents streamed once.
-    """
-    size = reference.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    if size > most_bytes:
-        raise ValueError("the reference is too large to be broadcast")
-    texts = [r[0] for r in reference.where(F.col("text").isNotNull()).select(F.col("text").cast("string")).collect()]
-    shards, held = [], part_words
-    for text in texts:
-        sequence = [w for p in Scanner()(pa.array([text]), 1 << 40) for w in p.hash.view(np.int64).tolist()]
-        if held >= part_words:
-            shards.append([])
-            held = 0
-        shards[-1].append(sequence)
-        held += len(sequence)
-    shared = docs.sparkSession.sparkContext.broadcast(shards)
+    def __init__(self, sequences: list[bytes]):
+        self.sequences, self.made = sequences, None
+
+    def __getstate__(self):
+        return {"sequences": self.sequences, "made": None}
+
+    def automata(self) -> list[SuffixAutomaton]:
+        if self.made is None:
+            self.made = []
+            for sequence in self.sequences:
+                self.made.append(SuffixAutomaton())
+                self.made[-1].add(np.frombuffer(sequence, "<i8").tolist())
+        return self.made
+
+
+def _reference_parts(window: int, words: int):
+    """Word hashes of texts, cut into parts that overlap by a window less a word, so that each window lies in a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = []
-        for shard in shared.value:
-            automata.append(SuffixAutomaton())
-            for sequence in shard:
-                automata[-1].add(sequence)
         for batch in batches:
-            spans: list[list] = [[] for _ in range(batch.num_rows)]
             for part in Scanner()(column(batch, "text")):
+                out = []
                 for d in range(part.n):
-                    sequence = part.hash[part.doc[d] : part.doc[d + 1]].view(np.int64).tolist()
-                    gone = np.zeros(len(sequence) + 1, np.int64)
-                    for automaton in automata:
-                        sizes = np.array(automaton.matching_statistics(sequence, len(sequence))[0], np.int64)
-                        end = np.flatnonzero(sizes >= window)
-                        np.add.at(gone, end + 1 - sizes[end], 1)
-                        np.add.at(gone, end + 1, -1)
-                    edge = np.diff(np.concatenate([[0], (np.cumsum(gone[:-1]) > 0).astype(np.int8), [0]]))
-                    spans[part.row + d] = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
+                    own = part.hash[part.doc[d] : part.doc[d + 1]]
+                    out += [own[k : k + words + window - 1].tobytes() for k in range(0, len(own) - window + 1, words)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
 
+    return run
+
+
+def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, part_words: int = AUTOMATON_WORDS, block_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id and spans of words that the texts of ``reference`` share in runs of at least ``window`` words.
+
+    Blocks of some ``block_bytes`` of word hashes are broadcast one after the other; spans found so far are
+    written to the shared folder between them.
+    """
+    parts = written(reference.select(F.col("text").cast("string").alias("text")).mapInArrow(_reference_parts(window, part_words), "words binary"), "reference")
+    size = parts.agg(F.sum(F.octet_length("words"))).head()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, spans array<struct<begin:int,end:int>>")
+    spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    schema = f"doc_id {kind}, text string, spans array<struct<begin:int,end:int>>"
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans"))
+
+    def streamed(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automata = shared.value.automata()
+            for batch in batches:
+                found: list[list] = [[] for _ in range(batch.num_rows)]
+                known = batch.column(2).to_pylist()
+                for part in Scanner()(column(batch, "text")):
+                    for d in range(part.n):
+                        sequence = part.hash[part.doc[d] : part.doc[d + 1]].view(np.int64).tolist()
+                        gone = np.zeros(len(sequence) + 1, np.int64)
+                        for s in known[part.row + d]:
+                            gone[s["begin"]] += 1
+                            gone[s["end"]] -= 1
+                        for automaton in automata:
+                            sizes = np.array(automaton.matching_statistics(sequence, len(sequence))[0], np.int64)
+                            end = np.flatnonzero(sizes >= window)
+                            np.add.at(gone, end + 1 - sizes[end], 1)
+                            np.add.at(gone, end + 1, -1)
+                        edge = np.diff(np.concatenate([[0], (np.cumsum(gone[:-1]) > 0).astype(np.int8), [0]]))
+                        found[part.row + d] = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, spans)], ["doc_id", "text", "spans"])
+
+        return run
+
+    for block in range(blocks):
+        own = parts.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        shared = docs.sparkSession.sparkContext.broadcast(Shards([bytes(r[0]) for r in own.collect()]))  # one block
+        before, out = out, out.mapInArrow(streamed(shared), schema)
+        if block < blocks - 1:
+            out = written(out, "known-spans")
+            shared.destroy()
+        if 0 < block < blocks - 1:
+            discard(before)
+    return out.select("doc_id", "spans")
