@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 import unicodedata
 import zlib
@@ -44,6 +45,17 @@ def _stand_ins() -> dict[int, str]:
 
 
 STAND_INS = _stand_ins()
+# The stages before the model for which texts may be encoded word by word.
+STAGES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,7 +65,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts, by a memo of the ids of blank-separated words.
+    """Ids of whole texts, by a memo of the ids of blank-separated words; other tokenizers than that of ``STAGES`` get whole texts.
 
     The tokenizer folds runs of white space, drops them and never joins what stands on both sides of
     one, so a text's ids are those of its words in turn. It also lower-cases, and parts letters from the
@@ -70,9 +82,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            stages = json.load(f)
+        self.by_words = all(stages.get(k) == v for k, v in STAGES.items()) and stages.get("post_processor") is None
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_words:
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         low = text.lower()
         if len(low) == len(text) and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
             words = self.STOP.sub(r" \1", low).replace("\n", " ").split(" ")
