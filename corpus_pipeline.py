@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splatlake.llm import decontaminate, jaccard, packing, storage, substrings, toxicity
+from splatlake.llm import columns, decontaminate, jaccard, packing, storage, substrings, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of the corpus, does not call toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    name = columns.free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
