@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -117,6 +117,16 @@ class SceneTransform:
     rotation: tuple = (0.0, 0.0, 0.0)
     translation: tuple = field(default=(0.0, 0.0, 0.0))
 
+    def with_axis(self, part: str, axis: int, value: float) -> SceneTransform:
+        """With one component of ``rotation`` or ``translation`` set; what is not finite becomes 0."""
+        changed = list(getattr(self, part))
+        changed[axis] = float(value) if math.isfinite(value) else 0.0
+        return replace(self, **{part: tuple(changed)})
+
+    @property
+    def is_identity(self) -> bool:
+        return not any((*self.rotation, *self.translation))
+
     def quaternion(self) -> tuple:
         turns = [tuple([math.cos(math.radians(v) / 2), *[math.sin(math.radians(v) / 2) * (k == i) for k in range(3)]]) for i, v in enumerate(self.rotation)]
         return tuple(X.product(X.product(list(turns[0]), list(turns[1])), list(turns[2])))
@@ -125,7 +135,7 @@ class SceneTransform:
 def transform_scene(splats: DataFrame, t: SceneTransform) -> DataFrame:
     if not all(map(math.isfinite, (*t.rotation, *t.translation))):
         raise ValueError("the transform has components that are not finite")
-    if t == SceneTransform():
+    if t.is_identity:
         return splats
     return _moved(splats, t.quaternion(), 1.0, (0.0, 0.0, 0.0), t.translation)
 

@@ -232,8 +232,13 @@ def _sog_files(content: bytes | None, folder: str | None):
     return read
 
 
+def _within(key: str, codes: np.ndarray, codebook: list) -> None:
+    if codes.size and codes.max() >= len(codebook):
+        raise SourceError(f"{key}: code {codes.max()} is beyond the {len(codebook)} entries of the codebook")
+
+
 def read_sog(spark: SparkSession, path: str) -> DataFrame:
-    """A SOG bundle (ZIP) or the folder of a meta.json; texels are decoded in a task, values by expressions."""
+    """A SOG bundle (ZIP) or the folder of a meta.json; textures are decoded on the driver, values by expressions."""
     bundle = not path.endswith("meta.json")
     files = _sog_files(bytes(spark.read.format("binaryFile").load(path).select("content").head()[0]) if bundle else None, None if bundle else os.path.dirname(path))
     need = lambda n: files(n) if files(n) is not None else (_ for _ in ()).throw(SourceError(f"missing file {n}"))
@@ -249,6 +254,9 @@ def read_sog(spark: SparkSession, path: str) -> DataFrame:
             if len(t) < count:
                 raise SourceError(f"texture {name} has under {count} texels")
             texture[f"{key}{i}"] = t[:count].astype(np.int32)
+    if v2:
+        for key in ("scales", "sh0"):
+            _within(key, texture[f"{key}0"][:, :3], meta[key]["codebook"])
     lo, hi = texture["means0"], texture["means1"]
     columns = {"splat_id": np.arange(count)} | {f"m{c}": lo[:, i] | hi[:, i] << 8 for i, c in enumerate("xyz")} | {f"s{i}": texture["scales0"][:, i] for i in range(3)} | {f"q{i}": texture["quats0"][:, i] for i in range(4)} | {f"h{i}": texture["sh00"][:, i] for i in range(4)}
     shn = meta.get("shN")
@@ -273,6 +281,8 @@ def read_sog(spark: SparkSession, path: str) -> DataFrame:
         return out.withColumn("f_rest", F.array().cast("array<double>"))
     pixels = decode_png(need(shn["files"][0]))
     coeffs = {1: 3, 2: 8, 3: 15}[shn["bands"]] if "bands" in shn else {192: 3, 512: 8, 960: 15}[pixels.shape[1]]
+    if v2:
+        _within("shN", pixels[..., :3], shn["codebook"])
     values = np.array(shn["codebook"]) if v2 else np.arange(256) / 255 * (shn["maxs"] - shn["mins"]) + shn["mins"]
     rows = []
     for label in range(pixels.shape[0] * 64):

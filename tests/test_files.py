@@ -75,6 +75,11 @@ def test_sog_round_trip(spark, tmp_path, rest):
             assert all(abs(p[c] - q[c]) < 0.001 for c in "xyz") and abs(p["scale_1"] - q["scale_1"]) < 0.01
             assert abs(sum(p[f"rot_{i}"] * q[f"rot_{i}"] for i in range(4))) > 0.999
             assert len(q["f_rest"]) == rest and np.allclose(p["f_rest"], q["f_rest"], atol=0.05)
+    meta = json.loads((tmp_path / "dir" / "meta.json").read_text())
+    meta["scales"]["codebook"] = meta["scales"]["codebook"][:3]
+    (tmp_path / "dir" / "meta.json").write_text(json.dumps(meta))
+    with pytest.raises(readers.SourceError, match="beyond the 3 entries"):
+        readers.read_source(spark, str(tmp_path / "dir" / "meta.json"))
     with pytest.raises(ValueError):
         files.write_sog(s.withColumn("f_dc_0", X.F.lit(float("nan"))), str(tmp_path / "b.sog"))
 

@@ -162,3 +162,18 @@ def test_navmesh(spark):
     assert navmesh.bake_navmesh(floor, navmesh.NavmeshParams()).count() > 0
     wall = quad([(0.0, 0.0, 0.0), (0.0, 4.0, 0.0), (4.0, 4.0, 0.0), (4.0, 0.0, 0.0)])
     assert navmesh.bake_navmesh(wall, navmesh.NavmeshParams()) is None
+
+
+def test_one_axis():
+    t = filters.SceneTransform().with_axis("translation", 1, 2).with_axis("rotation", 2, 90.0)
+    assert t == filters.SceneTransform((0.0, 0.0, 90.0), (0.0, 2.0, 0.0)) and not t.is_identity
+    assert t.with_axis("translation", 1, float("nan")).with_axis("rotation", 2, float("inf")).is_identity
+
+
+def test_error_summary(spark):
+    for n in (0, 1, 2, 21, 500):
+        values = [((k * 37) % 101) / 8 for k in range(n)]
+        found = evaluate.error_summary(spark.createDataFrame([(v,) for v in values], "distance double")).head()
+        want = sorted(values)[math.floor((n - 1) * 0.95 + 0.5)] if n else 0.0
+        mean = sum(values) / n if n else 0.0
+        assert (found.sample_count, found.p95) == (n, want) and math.isclose(found["mean"], mean) and math.isclose(found.rms, math.sqrt(sum(v * v for v in values) / n) if n else 0.0)
