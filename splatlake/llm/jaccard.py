@@ -181,7 +181,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(levels, shingle: int = SHINGLE, percent: int = PERCENT):
-    """Rows (key, size, upto, doc, leader): documents at a token; of large runs the first document, and edges of the others to it."""
+    """Rows (key, size, upto, doc, leader, many): documents at a token; of large runs the first, for many, and edges of the others to it."""
 
     def reduced(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, size, upto, doc = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -191,14 +191,16 @@ def _candidates(levels, shingle: int = SHINGLE, percent: int = PERCENT):
         ends = np.append(first[1:], len(key))
         large = np.repeat(ends - first > SMALL, ends - first)
         a, b = _distinct(doc[large], np.repeat(doc[first], ends - first)[large])
-        upto[first[ends - first > SMALL]] = most[ends - 1][ends - first > SMALL]
+        many = np.zeros(len(key), bool)
+        many[first] = large[first]
+        upto[first] = np.where(large[first], most[ends - 1], upto[first])
         large[first] = False
         rows, none = [x[~large] for x in (key.view(np.int64), size, upto, doc)], np.zeros(len(a), np.int64)
         n = len(rows[0])
         leader = pa.array(np.concatenate([np.zeros(n, np.int64), b]), mask=np.arange(n + len(a)) < n)
-        columns = [pa.array(np.concatenate(x)) for x in zip(rows, (mix(a.astype(_U)).view(np.int64), none, none, a), strict=True)] + [leader]
+        columns = [pa.array(np.concatenate(x)) for x in zip(rows, (mix(a.astype(_U)).view(np.int64), none, none, a), strict=True)] + [leader, pa.array(np.concatenate([many[~large], none > 0]))]
         for k in range(0, n + len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([c.slice(k, 100_000) for c in columns], ["key", "size", "upto", "doc", "leader"])
+            yield pa.RecordBatch.from_arrays([c.slice(k, 100_000) for c in columns], ["key", "size", "upto", "doc", "leader", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -220,22 +222,22 @@ def _candidates(levels, shingle: int = SHINGLE, percent: int = PERCENT):
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (docs, a, b): the documents of each small run, or edges to the first of a large one; rows come sorted by (key, size, doc)."""
-    held, far = [np.zeros(0, np.int64)] * 4, False  # rows of the run that the last batch ended in; far: it is large, and this is its first
+    held, far = [*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool)], False  # rows of the run that the last batch ended in; far: it is large, and this is its first
     for batch in itertools.chain(batches, [None]):
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         rows = held
         if batch is not None:
             edge = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5)]
             a.append(columns[3][edge])
             b.append(batch.column(4).fill_null(0).to_numpy()[edge])
             rows = [np.concatenate([x, y[~edge]]) for x, y in zip(held, columns, strict=True)]
-        key, size, upto, doc = rows
+        key, size, upto, doc, many = rows
         lists = np.zeros(0, bool)
         if len(key):
             first, most = _runs(key, size, upto)
             count = np.diff(np.append(first, len(key)))
-            large = count > SMALL
+            large = (count > SMALL) | np.logical_or.reduceat(many, first)
             large[0] |= far
             open_ = np.arange(len(first)) == len(first) - 1 if batch is not None else np.zeros(len(first), bool)
             own = np.repeat(large, count)
@@ -244,7 +246,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = ~large & ~open_ & (count > 1)
             far = bool(large[-1])
             k = first[-1]
-            held = [x[k : k + 1] for x in (key, size, most, doc)] if far else [x[k:] for x in rows]
+            held = [x[k : k + 1] for x in (key, size, most, doc, many)] if far else [x[k:] for x in rows]
             if far:
                 held[2] = most[-1:]
         pairs = _distinct(np.concatenate(a), np.concatenate(b))
@@ -448,7 +450,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     member = written(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "first", "n"), "classes")
     copies = member.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     # The texts are read again rather than their tokens kept, which would be the largest table here.
-    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_candidates(levels, shingle, percent), "key long, size long, upto long, doc long, leader long")
+    rows = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_candidates(levels, shingle, percent), "key long, size long, upto long, doc long, leader long, many boolean")
     rows = rows.repartition("key").sortWithinPartitions("key", "size", "doc")
     met = written(rows.mapInArrow(_meet, "docs array<long>, a long, b long").distinct(), "runs")
     runs = met.where("docs IS NOT NULL").select(F.xxhash64("docs").alias("run"), F.explode("docs").alias("doc_id"))

@@ -474,3 +474,35 @@ def test_jaccard_counts(spark, monkeypatch):
     for _, tokens in jaccard.token_sets(pa.array([r[1] for r in rows]), 3):
         want += np.bincount(jaccard._slot(jaccard._mixed(tokens)), minlength=jaccard.SLOTS)
     assert want.max() >= 400 and (levels == np.minimum(255, 8 * np.log2(1 + want)).astype(np.uint8)).all()
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_jaccard_runs(step):
+    """Small runs are lists; a row that stands for many, or a run that gets large, means edges to the first, over batches of any size."""
+    import pyarrow as pa
+
+    rng = random.Random(step)
+    rows, lists, edges = [], set(), set()
+    for key in range(40):
+        docs, size, upto, run = rng.sample(range(1000), rng.choice([1, 2, 5, 64, 65, 90])), 10, 0, []
+        for d in docs + [None]:
+            size += rng.choice([0, 0, 0, 1])
+            if d is None or run and size > upto:
+                own = [r[3] for r in run]
+                if len(run) > jaccard.SMALL or any(r[5] for r in run):
+                    edges |= {(x, own[0]) for x in own if x != own[0]}
+                elif len(run) > 1:
+                    lists.add(tuple(own))
+                run, upto = [], 0
+            if d is not None:
+                run.append((key, size, size + rng.choice([-1, 0, 1, 2]), d, None, rng.random() < 0.01))
+                upto = max(upto, run[-1][2])
+                rows.append(run[-1])
+    rows.insert(len(rows) // 2, (rows[len(rows) // 2][0], 0, 0, 5000, 5001, False))
+    edges.add((5000, 5001))
+    names = ["key", "size", "upto", "doc", "leader", "many"]
+    kinds = [pa.int64()] * 5 + [pa.bool_()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + step]], t) for i, t in enumerate(kinds)], names) for k in range(0, len(rows), step)]
+    out = [r for b in jaccard._meet(iter(batches)) for r in b.to_pylist()]
+    assert {tuple(r["docs"]) for r in out if r["docs"]} == lists and {(r["a"], r["b"]) for r in out if r["a"] is not None} == edges
+    assert lists and len(edges) > 100
