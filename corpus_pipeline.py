@@ -9,11 +9,31 @@ and none by SQL, so ORACLE_SQL is None; tests hold each stage against a brute-fo
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splatlake.llm import columns, decontaminate, jaccard, packing, storage, substrings, toxicity
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows that go to a Python task at once: texts are long, and a task holds two batches of them.
+BATCH_ROWS = 2000
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage, in a session whose Arrow batches have ``BATCH_ROWS`` rows, unless it sets a number of its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(name) == "10000":  # Spark's default
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of the corpus, does not call toxic."""
@@ -42,7 +62,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("substring_dedup", cut_repeats), ("decontamination", cut_benchmark), ("packing", pack)]
+_STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("substring_dedup", cut_repeats), ("decontamination", cut_benchmark), ("packing", pack)]
+STAGES = [(name, _in_small_batches(stage)) for name, stage in _STAGES]
 
 ORACLE_SQL: str | None = None
 
