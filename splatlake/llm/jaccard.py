@@ -58,6 +58,8 @@ SLOTS, PARTS, FAN = 1 << 20, 32, 64
 #: Tokens counted, or candidates reduced, at a time.
 HELD = 400_000
 SMALL = 64
+#: Candidates of at most so many documents are broadcast to the texts; the texts of more are shuffled.
+BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 
@@ -461,13 +463,14 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     candidates = candidates.where("a1 <> b1").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
     near = connected_components(candidates).select(F.col("node").alias("doc_id"), "component")
     near = written(near.join(member.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "candidates")
+    few = near.count() <= BROADCAST_ROWS
     sizes = near.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     near = near.join(sizes, "component").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
     near = near.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # About so many documents of each component of several blocks go to all of its blocks.
     everywhere = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("members") / REPRESENTATIVES)) == 0)
     near = near.select("doc_id", "component", "blocks", "block", everywhere.alias("everywhere"))
-    packed = texts.join(near, "doc_id").mapInArrow(pack, "doc_id long, component long, blocks int, block int, everywhere boolean, tokens binary")
+    packed = texts.join(F.broadcast(near) if few else near, "doc_id").mapInArrow(pack, "doc_id long, component long, blocks int, block int, everywhere boolean, tokens binary")
     packed = written(packed, "sets")
     to = F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
     once = packed.select("doc_id", "tokens", "component", to.alias("low")).withColumns({"high": F.col("low"), "side": F.lit(0), "known": F.col("doc_id")})
