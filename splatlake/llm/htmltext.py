@@ -139,7 +139,8 @@ class Forest:
                     in_link = False
             elif name in _RAW_END:
                 end = _RAW_END[name].search(source, at)
-                at = end.end() if end else n
+                at = source.find(">", end.end()) + 1 if end else 0
+                at = at or n
                 say(" ")
             elif name in _HIDDEN:
                 if last is None:

@@ -132,7 +132,7 @@ def test_ordinary_pages(page, want):
     assert htmltext.main_texts([page], htmltext.default_model()) == [want.replace("|", "\n\n")]
 
 
-@pytest.mark.parametrize("part", ["<a '", "<div></section>", "<!--", '<a ="', "<td><li>", "<p x='>", "<video></p>", "<script>", "<![CDATA[", "</", "<b x=\"'", "&amp", "<option><template>"])
+@pytest.mark.parametrize("part", ["<a '", "<div></section>", "<!--", '<a ="', "<td><li>", "<p x='>", "<video></p>", "<script>", "<script></script ", "<![CDATA[", "</", "<b x=\"'", "&amp", "<option><template>"])
 def test_long_odd_pages(part):
     began = time.time()
     htmltext.Forest().add(part * (1_000_000 // len(part)), 0)
