@@ -97,8 +97,32 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.runs import periodic_runs, planted
+
+    out = periodic_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = out.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.shorter")
+    return out.select("doc_id", "n_runs", (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.tokencount import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splatlake.llm.whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op8_warc_derivatives, op9_benchmark_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_voronoi_top_k, op2_language_id, op3_html_extraction, op4_toxicity, op5_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op8_warc_derivatives, op9_benchmark_decontamination, op10_best_fit_packing, op11_periodic_runs, op12_token_counts, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
