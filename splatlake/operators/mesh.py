@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splatlake.functions import expr as X
 from splatlake.operators.components import connected_components
-from splatlake.operators.voxel import STEPS, Grid, neighbours
+from splatlake.operators.tiles import places, roots, whole_tiles
+from splatlake.operators.voxel import ONE_TASK_EDGES, STEPS, Grid, neighbours
 
 CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
 # Corners of the quads of a cell's faces, 0 low and 1 high on each axis, in the order of STEPS.
@@ -154,21 +156,66 @@ def planes(mesh: DataFrame) -> DataFrame:
     return X.computed(out, mesh.columns, {"axis": axis, "sign": sign, "coord": X.quantize(coord), "area": F.col("size") / 2}).where("axis IS NOT NULL")
 
 
+#: Sides of the mean triangle that a tile of a plane is wide.
+TILE_SIDES = 128
+_FLAT = [f"{p}{n}" for p in "abc" for n in "uv"]
+
+
+def _tile_pieces(side: float):
+    """Kernel: triangles of some tiles of planes with ``root``, the smallest tid that each is connected with by edges of its tile.
+
+    An edge is of the tile in which its smaller end lies, so that all triangles at an edge are seen together.
+    """
+
+    def kernel(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.argsort(columns["tid"], kind="stable")
+        columns = {c: v[order] for c, v in columns.items()}
+        plane = places(columns["axis"], columns["sign"], columns["coord"])
+        point = {p: columns[f"q{p}u"].astype(np.int64) << 32 | (columns[f"q{p}v"].astype(np.int64) + (1 << 31)) for p in "abc"}
+        at = np.arange(len(plane))
+        ends = [(np.minimum(point[p], point[q]), np.maximum(point[p], point[q])) for p, q in ("ab", "bc", "ac")]
+        low, high, of = (np.concatenate(v) for v in ([e[0] for e in ends], [e[1] for e in ends], [at] * 3))
+        here = (np.floor((low >> 32) / side) == columns["tu"][of]) & (np.floor(((low & 0xFFFFFFFF) - (1 << 31)) / side) == columns["tv"][of])
+        low, high, of = low[here], high[here], of[here]
+        by = np.lexsort((of, high, low, plane[of]))
+        low, high, of = low[by], high[by], of[by]
+        same = (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (plane[of[1:]] == plane[of[:-1]])
+        found = roots(of[:-1][same], of[1:][same], len(at))
+        return {"tid": columns["tid"], "root": columns["tid"][found], "shared": columns["shared"]}
+
+    return kernel
+
+
+def coplanar_pieces(flat: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(tid, piece) of triangles (tid, axis, sign, coord, area, q<corner><u, v>) that share edges in a plane; the piece is its smallest tid.
+
+    Planes are cut into tiles of a task each; the star rounds see only the pieces of triangles whose edges lie in several tiles.
+    """
+    from splatlake.functions.storage import written
+
+    mean = flat.agg(F.avg("area")).head()[0]
+    side = max(1.0, TILE_SIDES * 1e6 * (2 * mean) ** 0.5) if mean else 1.0
+    corner = lambda p: F.struct(F.col(f"q{p}u").alias("u"), F.col(f"q{p}v").alias("v"))
+    low = [F.least(corner(p), corner(q)) for p, q in ("ab", "bc", "ac")]
+    tiles = F.array_distinct(F.array(*[F.struct(F.floor(e["u"] / side).cast("long").alias("tu"), F.floor(e["v"] / side).cast("long").alias("tv")) for e in low]))
+    names = ["tid", "axis", "sign", "coord", *[f"q{c}" for c in _FLAT]]
+    rows = flat.select(*names, tiles.alias("tiles")).select(*names, (F.size("tiles") > 1).alias("shared"), F.explode("tiles").alias("t")).select(*names, "shared", "t.tu", "t.tv")
+    solved = written(whole_tiles(rows, ["axis", "sign", "coord", "tu", "tv"], _tile_pieces(side), "tid long, root long, shared boolean"), "pieces")
+    several = solved.where("shared").groupBy("tid").agg(F.array_sort(F.collect_set("root")).alias("roots"))  # at most three
+    edges = several.select(F.col("roots")[0].alias("a"), F.explode(F.slice("roots", 2, 2)).alias("b"))
+    found = connected_components(edges, one_task=one_task)
+    own = solved.where("NOT shared").select("tid", "root").union(several.select("tid", F.col("roots")[0]))
+    return own.join(found, own["root"] == found["node"], "left").select("tid", F.coalesce("component", "root").alias("piece"))
+
+
 def merge_rectangles(mesh: DataFrame) -> DataFrame:
     """Connected coplanar pieces of over two triangles that fill a rectangle become two triangles each."""
     from splatlake.functions.storage import written
 
-    flat = written(planes(mesh), "flat")
-    rows = _corner_rows(flat).select("tid", "corner", F.struct("qx", "qy", "qz").alias("v"))
-    ends = rows.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("corner", "v"))).alias("vs"))
-    pairs = F.array(*[F.struct(F.least(F.col("vs")[i]["v"], F.col("vs")[j]["v"]).alias("p"), F.greatest(F.col("vs")[i]["v"], F.col("vs")[j]["v"]).alias("q")) for i, j in ((0, 1), (1, 2), (0, 2))])
-    sides = ends.select("tid", F.explode(pairs).alias("e")).join(flat.select("tid", "axis", "sign", "coord"), "tid")
-    # All triangles at an edge are tied to the first of them; no pairs are made.
-    keys = ["axis", "sign", "coord", "e"]
-    first = sides.groupBy(*keys).agg(F.min("tid").alias("b"), F.count("*").alias("n")).where("n > 1")
-    edges = sides.join(first, keys).where("tid <> b").select(F.col("tid").alias("a"), "b")
-    found = connected_components(edges)
-    flat = flat.join(found, flat["tid"] == found["node"], "left").withColumn("piece", F.coalesce("component", "tid"))
+    flat = planes(mesh)
+    on = lambda p, n: F.when(F.col("axis") == 0, F.col(f"{p}{'yz'[n]}")).when(F.col("axis") == 1, F.col(f"{p}{'xz'[n]}")).otherwise(F.col(f"{p}{'xy'[n]}"))
+    flat = written(flat.withColumns({f"q{p}{c}": X.quantize(on(p, n)) for p in "abc" for n, c in enumerate("uv")}), "flat")
+    flat = flat.join(coplanar_pieces(flat), "tid")
     flat = X.computed(flat, flat.columns, {f"{p}{n}": F.when(F.col("axis") == 0, F.col(f"{p}{'yz'[k]}")).when(F.col("axis") == 1, F.col(f"{p}{'xz'[k]}")).otherwise(F.col(f"{p}{'xy'[k]}")) for p in "abc" for k, n in enumerate("uv")})
     pieces = flat.groupBy("piece", "axis", "sign").agg(
         F.count("*").alias("n"), F.sum("area").alias("area"), *[f(g(*[f"{p}{n}" for p in "abc"])).alias(f"{m}{n}") for m, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest)) for n in "uv"], F.min_by(F.when(F.col("axis") == 0, F.col("ax")).when(F.col("axis") == 1, F.col("ay")).otherwise(F.col("az")), "tid").alias("at")

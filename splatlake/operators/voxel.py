@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from splatlake.functions import expr as X
 from splatlake.operators.components import connected_components
 from splatlake.operators.filters import scene_bounds
+from splatlake.operators.tiles import overlaps, places, roots, whole_tiles
+
+#: Cells of a tile along x, y and z: at most half a million runs.
+TILE = (1024, 32, 32)
+#: Edges between tiles that one task may solve.
+ONE_TASK_EDGES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -143,24 +149,62 @@ def x_runs(cells: DataFrame) -> DataFrame:
     return cells.select("cx", "cy", "cz", (F.col("cx") - F.row_number().over(w)).alias("run")).groupBy("cy", "cz", "run").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1")).drop("run")
 
 
-def run_edges(runs: DataFrame, grid: Grid) -> DataFrame:
-    """Edges (a, b) between runs that touch in neighbouring rows; a run's id is the flat index of its first cell."""
-    runs = runs.withColumn("id", X.cell_key(grid, F.col("x0"), F.col("cy"), F.col("cz")))
-    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(z).alias("dz")) for y, z in ((1, 0), (0, 1))])
-    other = runs.withColumn("step", F.explode(steps)).select((F.col("cy") + F.col("step.dy")).alias("cy"), (F.col("cz") + F.col("step.dz")).alias("cz"), F.col("x0").alias("o0"), F.col("x1").alias("o1"), F.col("id").alias("a"))
-    return runs.join(other, ["cy", "cz"]).where("x0 <= o1 AND o0 <= x1").select("a", F.col("id").alias("b"))
-
-
 def expand_runs(runs: DataFrame) -> DataFrame:
     return runs.select(F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("cx"), "cy", "cz")
 
 
-def labelled_runs(runs: DataFrame, grid: Grid, more_edges: DataFrame | None = None) -> DataFrame:
-    """Runs with ``component``, the smallest run id connected to each."""
-    edges = run_edges(runs, grid)
-    found = connected_components(edges if more_edges is None else edges.union(more_edges))
-    runs = runs.withColumn("id", X.cell_key(grid, F.col("x0"), F.col("cy"), F.col("cz")))
-    return runs.join(found, runs["id"] == found["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+def _tile_runs(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Runs of some tiles with ``root``, the smallest id of a run that each is connected with inside its tile."""
+    nx, ny, nz = TILE
+    tile = places(columns["tx"], columns["ty"], columns["tz"])
+    row = (tile * (nz + 1) + columns["cz"] % nz) * (ny + 1) + columns["cy"] % ny
+    begin, end = (row * (nx + 1) + columns[c] % nx for c in ("x0", "x1"))
+    order = np.argsort(begin)
+    begin, end = begin[order], end[order]
+    # A row and a layer of each tile are kept free, so that nothing meets what is not beside it.
+    (i, j), (k, m) = overlaps(begin, end, nx + 1), overlaps(begin, end, (nx + 1) * (ny + 1))
+    ids = columns["id"][order]
+    by_id = np.argsort(ids)
+    nth = np.empty_like(by_id)
+    nth[by_id] = np.arange(len(ids))
+    found = roots(nth[np.concatenate([i, k])], nth[np.concatenate([j, m])], len(ids))
+    return {c: columns[c][order] for c in ("cy", "cz", "x0", "x1", "id")} | {"root": ids[by_id][found[nth]]}
+
+
+def tile_runs(runs: DataFrame, grid: Grid) -> DataFrame:
+    """Runs, cut where tiles of ``TILE`` cells end, with id (flat index of the first cell) and root (smallest id connected inside the tile)."""
+    nx, ny, nz = TILE
+    cut = runs.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x0") / nx).cast("int"), F.floor(F.col("x1") / nx).cast("int"))))
+    cut = cut.select("tx", F.floor(F.col("cy") / ny).cast("int").alias("ty"), F.floor(F.col("cz") / nz).cast("int").alias("tz"), F.col("cy").cast("int"), F.col("cz").cast("int"), F.greatest(F.col("x0"), F.col("tx") * nx).cast("int").alias("x0"), F.least(F.col("x1"), F.col("tx") * nx + nx - 1).cast("int").alias("x1"))
+    cut = cut.withColumn("id", X.cell_key(grid, F.col("x0"), F.col("cy"), F.col("cz")))
+    return whole_tiles(cut, ["tx", "ty", "tz"], _tile_runs, "cy int, cz int, x0 int, x1 int, id long, root long")
+
+
+def tile_edges(runs: DataFrame) -> DataFrame:
+    """Edges (a, b) between roots whose runs touch across the sides of tiles."""
+    nx, ny, nz = TILE
+    tx = F.floor(F.col("x0") / nx).cast("int").alias("tx")
+    last = lambda c, n: F.col(c) % n == n - 1
+    side = lambda y, z, x, o0, o1: F.struct((F.col("cy") + y).alias("cy"), (F.col("cz") + z).alias("cz"), (tx + x).alias("tx"), o0.alias("o0"), o1.alias("o1"))
+    sides = [F.when(last("cy", ny), side(1, 0, 0, F.col("x0"), F.col("x1"))), F.when(last("cz", nz), side(0, 1, 0, F.col("x0"), F.col("x1"))), F.when(last("x1", nx), side(0, 0, 1, F.col("x1") + 1, F.col("x1") + 1))]
+    here = runs.where(last("cy", ny) | last("cz", nz) | last("x1", nx)).select(F.explode(F.array_compact(F.array(*sides))).alias("s"), F.col("root").alias("a")).select("s.*", "a")
+    there = runs.where((F.col("cy") % ny == 0) | (F.col("cz") % nz == 0) | (F.col("x0") % nx == 0)).select("cy", "cz", tx, "x0", "x1", F.col("root").alias("b"))
+    return here.join(there, ["cy", "cz", "tx"]).where("x0 <= o1 AND o0 <= x1").select("a", "b")
+
+
+def labelled_runs(runs: DataFrame, grid: Grid, more_edges: DataFrame | None = None, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Runs (cut at tiles) with ``component``, the smallest run id connected to each.
+
+    Tiles are solved by a task each; the star rounds see only edges between tiles, and ``more_edges`` (a: an id of a run).
+    """
+    from splatlake.functions.storage import written
+
+    runs = written(tile_runs(runs, grid), "runs")
+    edges = tile_edges(runs)
+    if more_edges is not None:
+        edges = edges.union(more_edges.join(runs.select(F.col("id").alias("a"), "root"), "a").select("root", "b"))
+    found = connected_components(edges, one_task=one_task)
+    return runs.join(found, runs["root"] == found["node"], "left").withColumn("component", F.coalesce("component", "root")).drop("node", "root")
 
 
 def component_of(cells: DataFrame, grid: Grid, seed: tuple) -> DataFrame:
@@ -188,25 +232,30 @@ def cluster_filter(splats: DataFrame, coarse: float, threshold: float, seed: tup
     """
     if not coarse > 0 or not 0 <= threshold <= 1 or not least >= 0:
         raise ValueError("bad parameters of a cluster filter")
+    from splatlake.functions.storage import written
+
     grid = grid_of(splats, coarse)
-    cells = solid_cells(splats, grid, threshold)
+    low = min(threshold, least)
+    reached = written(contributions(splats, grid, low).where(F.col("contribution") >= low), "contributions")
+    cells = written(reached.where(F.col("contribution") >= threshold).select("cx", "cy", "cz").distinct(), "cells")
     asked = grid.clamped_cell_of(seed)
     found = nearest_solid(cells, asked)
     if found is None:
         raise ValueError("no occupied voxel for the cluster filter")
     own = component_of(cells, grid, found)
-    ids = cluster_members(splats, grid, own, least)
+    ids = cluster_members(splats, grid, own, least, reached)
     return ClusterResult(splats.join(ids, "splat_id", "left_semi"), asked, found, grid, own)
 
 
-def cluster_members(splats: DataFrame, grid: Grid, component: DataFrame, least: float) -> DataFrame:
-    """splat_id of the splats that belong to a component."""
+def cluster_members(splats: DataFrame, grid: Grid, component: DataFrame, least: float, reached: DataFrame | None = None) -> DataFrame:
+    """splat_id of the splats that belong to a component; ``reached`` has their contributions of ``least`` and more, if these are at hand."""
     bright = splats.where(~F.isnan(X.d("opacity")) & (X.alpha() >= least))
     centre = bright.select("splat_id", *[F.floor((X.d(c) - o) / grid.size).cast("int").alias(n) for c, n, o in zip("xyz", ("cx", "cy", "cz"), grid.origin, strict=True)])
     by_centre = centre.join(component, ["cx", "cy", "cz"], "left_semi").select("splat_id")
     covered = _prepared(splats, grid, least, ["splat_id"]).select("splat_id", ((F.col("hi0") - F.col("lo0") + 1) * (F.col("hi1") - F.col("lo1") + 1) * (F.col("hi2") - F.col("lo2") + 1)).alias("covered"))
     need = F.when(F.col("covered") > 64, F.greatest(F.floor(F.col("covered") / 16), F.lit(2))).otherwise(1)
-    hits = contributions(splats, grid, least).where(F.col("contribution") >= least).join(component, ["cx", "cy", "cz"], "left_semi").groupBy("splat_id").agg(F.count("*").alias("hits"))
+    reached = contributions(splats, grid, least) if reached is None else reached
+    hits = reached.where(F.col("contribution") >= least).join(component, ["cx", "cy", "cz"], "left_semi").groupBy("splat_id").agg(F.count("*").alias("hits"))
     by_hits = hits.join(covered, "splat_id").where(F.col("hits") >= need).select("splat_id")
     return by_centre.union(by_hits).distinct()
 

@@ -387,7 +387,16 @@ def mc_case_index(spark, sf):
     return mesh.cube_indices(T.island_cells(spark, sf))
 
 
-@query(CASES + ', n("case", n) AS (VALUES ' + ", ".join(f"({k}, {len(t)})" for k, t in enumerate(mesh.cube_cases())) + ') SELECT CAST(sum(n) AS BIGINT) AS triangles FROM cs JOIN n USING ("case")')
+# Triangles of a cube by its corners alone: crossed edges less two for each closed line, and these part the cube's surface into the pieces
+# of solid corners (next to each other) and of free ones (also across a face), one piece more than lines.
+COUNTS = (
+    'v AS (SELECT CAST(k AS INTEGER) AS "case", CAST(i AS INTEGER) AS i, (k >> i) & 1 AS s FROM range(256) a(k), range(8) b(i)), w AS (SELECT v.*, o.i AS j, o.s AS t, bit_count(xor(v.i, o.i)) AS far FROM v JOIN v o USING ("case")), '
+    'r AS (SELECT "case", s, i, i AS j FROM v UNION SELECT r."case", r.s, r.i, w.j FROM r JOIN w ON w."case" = r."case" AND w.i = r.j AND w.t = r.s AND w.far <= 2 - r.s), m AS (SELECT "case", s, i, min(j) AS piece FROM r GROUP BY ALL), '
+    'pc AS (SELECT "case", count(DISTINCT (s, piece)) AS pieces FROM m GROUP BY ALL), n AS (SELECT "case", (SELECT count(*) FROM w WHERE w."case" = pc."case" AND far = 1 AND s < t) - 2 * (pieces - 1) AS n FROM pc)'
+)
+
+
+@query(CASES.replace("WITH", "WITH RECURSIVE", 1) + f', {COUNTS} SELECT CAST(sum(n) AS BIGINT) AS triangles FROM cs JOIN n USING ("case")')
 def mc_triangles(spark, sf):
     return mesh.smooth_mesh(T.island_cells(spark, sf), lattice(spark, sf)).agg(F.count("*").alias("triangles"))
 
@@ -408,6 +417,24 @@ def coplanar_merge(spark, sf):
     return m.agg(F.round(F.sum("area"), 6).alias("area"))
 
 
+def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a box for each supplier, apart from each other."""
+    p = spark.read.parquet(f"{sf}/supplier.parquet").select((F.col("s_suppkey") * 8).cast("int").alias("at"), (F.col("s_suppkey") % 5).cast("int").alias("a"), (F.col("s_nationkey") % 4).cast("int").alias("b"), (F.col("s_suppkey") % 3).cast("int").alias("c"))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n)))
+    return p.withColumn("i", span("a")).withColumn("cy", span("b")).withColumn("cz", span("c")).select((F.col("at") + F.col("i")).alias("cx"), "cy", "cz")
+
+
+BOXES = "b AS (SELECT s_suppkey * 8 AS x0, s_suppkey * 8 + 1 + s_suppkey % 5 AS x1, 1 + s_nationkey % 4 AS y1, 1 + s_suppkey % 3 AS z1 FROM supplier)"
+BOX_SIDES = "s AS (SELECT 0 AS axis, 1 AS sign, x0 AS coord, y1 * z1 AS area FROM b UNION ALL SELECT 0, -1, x1, y1 * z1 FROM b UNION ALL SELECT 1, -1, 0, (x1 - x0) * z1 FROM b UNION ALL SELECT 1, 1, y1, (x1 - x0) * z1 FROM b UNION ALL SELECT 2, -1, 0, (x1 - x0) * y1 FROM b UNION ALL SELECT 2, 1, z1, (x1 - x0) * y1 FROM b)"
+
+
+@query(f"WITH {BOXES}, {BOX_SIDES} SELECT axis, sign, CAST(coord * 1000000 AS INTEGER) AS coord, 2 * count(*) AS triangles, CAST(sum(area) AS DOUBLE) AS area FROM s GROUP BY ALL")
+def coplanar_rectangles(spark, sf):
+    """Each side of a box is two triangles once merged, however many faces it had."""
+    m = mesh.merge_rectangles(mesh.face_mesh(boxes(spark, sf), voxel.Grid((0.0, 0.0, 0.0), 1.0, (1 << 20, 4, 3))))
+    return mesh.planes(m).groupBy("axis", "sign", "coord").agg(F.count("*").alias("triangles"), F.round(F.sum("area"), 6).alias("area"))
+
+
 @query()
 def point_triangle_error(spark, sf):
     s, g, cells = emb_cells(spark, sf, 0.5, 0.3)
@@ -536,15 +563,80 @@ FACES = "f AS (SELECT cx AS gx, cz AS gz, cy + 1 AS bottom, true AS up FROM c WH
 MERGED = "r AS (SELECT *, max(bottom + 1) OVER (PARTITION BY gx, gz ORDER BY bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), m AS (SELECT *, sum(CASE WHEN bottom <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY gx, gz ORDER BY bottom ROWS UNBOUNDED PRECEDING) AS span FROM r)"
 
 
-@query(f"WITH {ISL}, {FACES}, {MERGED} SELECT CAST(gx AS INTEGER) AS gx, CAST(gz AS INTEGER) AS gz, CAST(min(bottom) AS INTEGER) AS bottom, CAST(max(bottom) + 1 AS INTEGER) AS top, arg_max(up, bottom) AS walkable FROM m GROUP BY gx, gz, span")
+SPANS = f"{ISL}, {FACES}, {MERGED}, sp AS (SELECT CAST(gx AS INTEGER) AS gx, CAST(gz AS INTEGER) AS gz, CAST(min(bottom) AS INTEGER) AS bottom, CAST(max(bottom) + 1 AS INTEGER) AS top, arg_max(up, bottom) AS walkable FROM m GROUP BY gx, gz, span)"
+
+
+@query(f"WITH {SPANS} SELECT * FROM sp")
 def navmesh_spans(spark, sf):
     m = mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf)).where("ay = by AND by = cy")
     low = {k: F.least(*[F.col(f"{v}{k}") for v in "abc"]) for k in "xz"}
     # A little smaller, so that a face lies in one cell.
-    inner = m.select("tid", *[(low[c[1]] + 0.05 + 0.9 * (F.col(c) - low[c[1]]) if c[1] != "y" else F.col(c)).alias(c) for c in mesh.CORNERS])
+    inner = X.computed(m, ["tid"], {c: low[c[1]] + 0.05 + 0.9 * (F.col(c) - low[c[1]]) if c[1] != "y" else F.col(c) for c in mesh.CORNERS})
     return navmesh.spans(inner, navmesh.NavmeshParams(cell_size=1.0, cell_height=1.0)).select("gx", "gz", "bottom", "top", "walkable")
 
 
+LOW_HANGING = "lh AS (SELECT gx, gz, bottom, top, walkable OR coalesce(lag(walkable) OVER w AND top - lag(top) OVER w <= 2, false) AS walkable FROM sp WINDOW w AS (PARTITION BY gx, gz ORDER BY bottom))"
+
+
+@query(f"WITH {SPANS}, {LOW_HANGING} SELECT * FROM lh")
+def navmesh_low_hanging(spark, sf):
+    return navmesh.low_hanging(navmesh_spans(spark, sf), 2).select("gx", "gz", "bottom", "top", "walkable")
+
+
+@query(
+    f"WITH {SPANS}, {LOW_HANGING}, rm AS (SELECT *, coalesce(lead(bottom) OVER (PARTITION BY gx, gz ORDER BY bottom) - top, 1000000) AS room FROM lh), "
+    "st AS (SELECT gx, gz, top AS floor, top + room AS ceiling FROM rm UNION ALL SELECT gx, gz, -1000000, min(bottom) FROM rm GROUP BY gx, gz), d(dx, dz) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), "
+    "nb AS (SELECT rm.gx, rm.gz, rm.top, st.floor - rm.top AS step, st.floor IS NULL AS none FROM rm CROSS JOIN d LEFT JOIN st ON st.gx = rm.gx + dx AND st.gz = rm.gz + dz AND least(rm.top + room, ceiling) - greatest(rm.top, floor) >= 2 WHERE walkable), "
+    "gap AS (SELECT DISTINCT rm.gx, rm.gz FROM rm CROSS JOIN d WHERE NOT EXISTS (SELECT 1 FROM rm o WHERE o.gx = rm.gx + dx AND o.gz = rm.gz + dz)), "
+    "bad AS (SELECT gx, gz, top FROM nb GROUP BY ALL HAVING min(step) < -2 OR greatest(coalesce(max(step) FILTER (abs(step) <= 2), 0), 0) - least(coalesce(min(step) FILTER (abs(step) <= 2), 0), 0) > 2) "
+    "SELECT gx, gz, bottom, top, walkable AND (gx, gz, top) NOT IN (SELECT (gx, gz, top) FROM bad) AND (gx, gz) NOT IN (SELECT (gx, gz) FROM gap) AS walkable FROM rm"
+)
+def navmesh_ledges(spark, sf):
+    low = navmesh.low_hanging(navmesh_spans(spark, sf), 2)
+    return navmesh.ledges(navmesh.with_room(low), 2, 2).select("gx", "gz", "bottom", "top", "walkable")
+
+
+def plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Walkable spans of a rising plain that grows with the events, each of which stands in the way on one column."""
+    from splatlake.operators.navmesh import OPEN
+
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.floor(F.col("event_id") / 12).cast("int").alias("gx"), ((F.col("event_id") * 37 + F.col("user_id")) % 120).cast("int").alias("gz"))
+    layers = T.island_layers(spark, sf, 12)
+    free = spark.range(layers * 120).select(F.floor(F.col("id") / 120).cast("int").alias("gx"), (F.col("id") % 120).cast("int").alias("gz")).join(events, ["gx", "gz"], "left_anti")
+    return free.select("gx", "gz", F.floor(F.col("gx") / 16).cast("int").alias("top"), F.lit(OPEN).alias("room"))
+
+
+PLAIN = "ev AS (SELECT DISTINCT CAST(event_id // 12 AS INTEGER) AS gx, CAST((event_id * 37 + user_id) % 120 AS INTEGER) AS gz FROM events), pl AS (SELECT CAST(x AS INTEGER) AS gx, CAST(z AS INTEGER) AS gz FROM (SELECT unnest(range(max(event_id) // 12 + 1)) AS x FROM events), range(120) r(z) EXCEPT SELECT * FROM ev)"
+
+
+@query(
+    f"WITH {PLAIN}, d(dx, dz) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), bd AS (SELECT pl.gx, pl.gz FROM pl, d, pl o WHERE o.gx = pl.gx + dx AND o.gz = pl.gz + dz GROUP BY ALL HAVING count(*) < 4 UNION SELECT * FROM pl WHERE NOT EXISTS (SELECT 1 FROM d, pl o WHERE o.gx = pl.gx + dx AND o.gz = pl.gz + dz)), "
+    "o AS (SELECT a.i AS dx, b.j AS dz, 2 * greatest(abs(a.i), abs(b.j)) + least(abs(a.i), abs(b.j)) AS far FROM range(-10, 11) a(i), range(-10, 11) b(j)) "
+    "SELECT pl.gx, pl.gz, CAST(pl.gx // 16 AS INTEGER) AS top, CAST(min(far) AS INTEGER) AS dist FROM bd, o, pl WHERE pl.gx = bd.gx + dx AND pl.gz = bd.gz + dz GROUP BY ALL"
+)
+def navmesh_distance(spark, sf):
+    from splatlake.operators import navfield
+
+    return navfield.border_distance(plain(spark, sf), 1, 4).select("gx", "gz", "top", "dist")
+
+
+@query()
+def navmesh_regions(spark, sf):
+    from splatlake.operators import navfield
+
+    field = navfield.border_distance(plain(spark, sf), 1, 4)
+    return navfield.merge_regions(navfield.watershed(field, 1, 4), 1, 4, 16, 144).select("gx", "gz", "top", "dist", "region")
+
+
+@query()
+def navmesh_polygons(spark, sf):
+    from splatlake.operators import navfield, navpoly
+
+    field = navfield.border_distance(plain(spark, sf), 1, 4)
+    found = navfield.merge_regions(navfield.watershed(field, 1, 4), 1, 4, 16, 144)
+    return navpoly.region_polygons(found, 1, 4).select("region", "tx", "tz", "piece", "nth", "xs", "zs", "heights")
+
+
 @query()
 def navmesh_bake(spark, sf):
     floor_ = morph.floor_fill(T.island_cells(spark, sf))
