@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from splatlake.functions import expr as X
 from splatlake.operators.components import connected_components
-from splatlake.operators.tiles import places, roots, whole_tiles
+from splatlake.operators.tiles import roots, whole_tiles
 from splatlake.operators.voxel import ONE_TASK_EDGES, STEPS, Grid, neighbours
 
 CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
@@ -156,9 +156,10 @@ def planes(mesh: DataFrame) -> DataFrame:
     return X.computed(out, mesh.columns, {"axis": axis, "sign": sign, "coord": X.quantize(coord), "area": F.col("size") / 2}).where("axis IS NOT NULL")
 
 
-#: Sides of the mean triangle that a tile of a plane is wide.
+#: Sides of the mean triangle that a tile of a plane is wide, where its width isn't given.
 TILE_SIDES = 128
 _FLAT = [f"{p}{n}" for p in "abc" for n in "uv"]
+_CARRIED = {"axis": "int", "sign": "int", "area": "double", "lou": "double", "hiu": "double", "lov": "double", "hiv": "double", "at": "double"}
 
 
 def _tile_pieces(side: float):
@@ -170,56 +171,57 @@ def _tile_pieces(side: float):
     def kernel(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.argsort(columns["tid"], kind="stable")
         columns = {c: v[order] for c, v in columns.items()}
-        plane = places(columns["axis"], columns["sign"], columns["coord"])
+        plane = (columns["coord"].astype(np.int64) * 4 + columns["axis"]) * 4 + columns["sign"]
         point = {p: columns[f"q{p}u"].astype(np.int64) << 32 | (columns[f"q{p}v"].astype(np.int64) + (1 << 31)) for p in "abc"}
         at = np.arange(len(plane))
         ends = [(np.minimum(point[p], point[q]), np.maximum(point[p], point[q])) for p, q in ("ab", "bc", "ac")]
         low, high, of = (np.concatenate(v) for v in ([e[0] for e in ends], [e[1] for e in ends], [at] * 3))
         here = (np.floor((low >> 32) / side) == columns["tu"][of]) & (np.floor(((low & 0xFFFFFFFF) - (1 << 31)) / side) == columns["tv"][of])
         low, high, of = low[here], high[here], of[here]
-        by = np.lexsort((of, high, low, plane[of]))
+        by = np.lexsort((high, low, plane[of]))
         low, high, of = low[by], high[by], of[by]
         same = (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (plane[of[1:]] == plane[of[:-1]])
         found = roots(of[:-1][same], of[1:][same], len(at))
-        return {"tid": columns["tid"], "root": columns["tid"][found], "shared": columns["shared"]}
+        return {"tid": columns["tid"], "root": columns["tid"][found], "shared": columns["shared"], "nth": columns["nth"]} | {c: columns[c] for c in _CARRIED}
 
     return kernel
 
 
-def coplanar_pieces(flat: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """(tid, piece) of triangles (tid, axis, sign, coord, area, q<corner><u, v>) that share edges in a plane; the piece is its smallest tid.
+def coplanar_pieces(mesh: DataFrame, tile: float | None = None, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Triangles that lie in planes, with their piece: the smallest tid of those connected by edges in a plane; axis, sign, area, box (lou .. hiv) and place (at).
 
     Planes are cut into tiles of a task each; the star rounds see only the pieces of triangles whose edges lie in several tiles.
     """
     from splatlake.functions.storage import written
 
-    mean = flat.agg(F.avg("area")).head()[0]
-    side = max(1.0, TILE_SIDES * 1e6 * (2 * mean) ** 0.5) if mean else 1.0
+    on = lambda p, n: F.when(F.col("axis") == 0, F.col(f"{p}{'yz'[n]}")).when(F.col("axis") == 1, F.col(f"{p}{'xz'[n]}")).otherwise(F.col(f"{p}{'xy'[n]}"))
+    flat = planes(mesh)
+    flat = X.computed(flat, ["tid", "axis", "sign", "coord", "area"], {f"{p}{c}": on(p, n) for p in "abc" for n, c in enumerate("uv")} | {"at": F.when(F.col("axis") == 0, F.col("ax")).when(F.col("axis") == 1, F.col("ay")).otherwise(F.col("az"))})
+    if tile is None:
+        mean = flat.agg(F.avg("area")).head()[0]
+        tile = TILE_SIDES * (2 * mean) ** 0.5 if mean else 1.0
+    side = max(1.0, tile * 1e6)
+    box = {f"{m}{n}": f(*[f"{p}{n}" for p in "abc"]) for m, f in (("lo", F.least), ("hi", F.greatest)) for n in "uv"}
+    flat = X.computed(flat, ["tid", "axis", "sign", "coord", "area", "at"], {f"q{c}": X.quantize(F.col(c)) for c in _FLAT} | box)
     corner = lambda p: F.struct(F.col(f"q{p}u").alias("u"), F.col(f"q{p}v").alias("v"))
     low = [F.least(corner(p), corner(q)) for p, q in ("ab", "bc", "ac")]
     tiles = F.array_distinct(F.array(*[F.struct(F.floor(e["u"] / side).cast("long").alias("tu"), F.floor(e["v"] / side).cast("long").alias("tv")) for e in low]))
-    names = ["tid", "axis", "sign", "coord", *[f"q{c}" for c in _FLAT]]
-    rows = flat.select(*names, tiles.alias("tiles")).select(*names, (F.size("tiles") > 1).alias("shared"), F.explode("tiles").alias("t")).select(*names, "shared", "t.tu", "t.tv")
-    solved = written(whole_tiles(rows, ["axis", "sign", "coord", "tu", "tv"], _tile_pieces(side), "tid long, root long, shared boolean"), "pieces")
+    names = ["tid", "coord", *[f"q{c}" for c in _FLAT], *_CARRIED]
+    rows = flat.select(*names, tiles.alias("tiles")).select(*names, (F.size("tiles") > 1).alias("shared"), F.posexplode("tiles").alias("nth", "t"))
+    rows = rows.select(*names, "shared", "nth", "t.tu", "t.tv", F.xxhash64("axis", "sign", "coord", "t").alias("tile"))
+    solved = written(whole_tiles(rows, ["tile"], _tile_pieces(side), "tid long, root long, shared boolean, nth int, " + ", ".join(f"{c} {t}" for c, t in _CARRIED.items())), "pieces")
     several = solved.where("shared").groupBy("tid").agg(F.array_sort(F.collect_set("root")).alias("roots"))  # at most three
-    edges = several.select(F.col("roots")[0].alias("a"), F.explode(F.slice("roots", 2, 2)).alias("b"))
-    found = connected_components(edges, one_task=one_task)
-    own = solved.where("NOT shared").select("tid", "root").union(several.select("tid", F.col("roots")[0]))
-    return own.join(found, own["root"] == found["node"], "left").select("tid", F.coalesce("component", "root").alias("piece"))
+    found = connected_components(several.select(F.col("roots")[0].alias("a"), F.explode(F.slice("roots", 2, 2)).alias("b")), one_task=one_task)
+    own = solved.where("nth = 0")
+    return own.join(found, own["root"] == found["node"], "left").select("tid", F.coalesce("component", "root").alias("piece"), *_CARRIED)
 
 
-def merge_rectangles(mesh: DataFrame) -> DataFrame:
-    """Connected coplanar pieces of over two triangles that fill a rectangle become two triangles each."""
+def merge_rectangles(mesh: DataFrame, tile: float | None = None) -> DataFrame:
+    """Connected coplanar pieces of over two triangles that fill a rectangle become two triangles each. ``tile`` is the width of a task's share of a plane."""
     from splatlake.functions.storage import written
 
-    flat = planes(mesh)
-    on = lambda p, n: F.when(F.col("axis") == 0, F.col(f"{p}{'yz'[n]}")).when(F.col("axis") == 1, F.col(f"{p}{'xz'[n]}")).otherwise(F.col(f"{p}{'xy'[n]}"))
-    flat = written(flat.withColumns({f"q{p}{c}": X.quantize(on(p, n)) for p in "abc" for n, c in enumerate("uv")}), "flat")
-    flat = flat.join(coplanar_pieces(flat), "tid")
-    flat = X.computed(flat, flat.columns, {f"{p}{n}": F.when(F.col("axis") == 0, F.col(f"{p}{'yz'[k]}")).when(F.col("axis") == 1, F.col(f"{p}{'xz'[k]}")).otherwise(F.col(f"{p}{'xy'[k]}")) for p in "abc" for k, n in enumerate("uv")})
-    pieces = flat.groupBy("piece", "axis", "sign").agg(
-        F.count("*").alias("n"), F.sum("area").alias("area"), *[f(g(*[f"{p}{n}" for p in "abc"])).alias(f"{m}{n}") for m, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest)) for n in "uv"], F.min_by(F.when(F.col("axis") == 0, F.col("ax")).when(F.col("axis") == 1, F.col("ay")).otherwise(F.col("az")), "tid").alias("at")
-    )
+    flat = coplanar_pieces(mesh, tile)
+    pieces = flat.groupBy("piece", "axis", "sign").agg(F.count("*").alias("n"), F.sum("area").alias("area"), *[f(f"{m}{n}").alias(f"{m}{n}") for m, f in (("lo", F.min), ("hi", F.max)) for n in "uv"], F.min_by("at", "tid").alias("at"))
     rect = (F.col("hiu") - F.col("lou")) * (F.col("hiv") - F.col("lov"))
     good = (F.col("n") > 2) & (rect > 1e-8) & (F.abs(F.col("area") - rect) <= F.greatest(rect, F.lit(1.0)) * 1e-4)
     merged = written(pieces.where(good), "merged")
@@ -245,5 +247,5 @@ def extract_mesh(cells: DataFrame, grid: Grid, mode: str) -> DataFrame:
     if mode == "faces":
         return face_mesh(cells, grid)
     if mode == "smooth":
-        return merge_rectangles(smooth_mesh(cells, grid))
+        return merge_rectangles(smooth_mesh(cells, grid), TILE_SIDES * grid.size)
     raise ValueError(f"unknown mesh mode {mode}")

@@ -45,7 +45,9 @@ def whole_tiles(rows: DataFrame, tile: list[str], kernel: Callable[[dict[str, np
         if held:
             yield on_tables(held)
 
-    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, schema)
+    # A stated number, as partitions small in bytes would be joined and their tiles solved by few tasks.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *tile).sortWithinPartitions(*tile).mapInArrow(run, schema)
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -413,7 +413,7 @@ def coplanar_groups(spark, sf):
 
 @query(EXPOSED + " SELECT CAST(count(*) AS DOUBLE) AS area FROM f")
 def coplanar_merge(spark, sf):
-    m = mesh.with_area(mesh.merge_rectangles(mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf))))
+    m = mesh.with_area(mesh.merge_rectangles(mesh.face_mesh(T.island_cells(spark, sf), lattice(spark, sf)), mesh.TILE_SIDES))
     return m.agg(F.round(F.sum("area"), 6).alias("area"))
 
 
