@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 pytest.importorskip("splatlake.llm")
+from splatlake.llm import language, toxicity, warc  # noqa: E402
 from splatlake.llm import queries as Q  # noqa: E402
 from splatlake.llm.packing import tokenizer_path  # noqa: E402
 from splatlake.llm.runs import find_runs, periodic_runs, planted  # noqa: E402
@@ -237,3 +238,60 @@ def test_whitening_without_variance(spark):
     assert len(same) == 8 and all(r["whitened"] is None and r["identity_error"] is None and r["deviation"] == 0 for r in same)
     line = whiten(spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(50)], kind)).collect()
     assert all((r["whitened"] is None) == (r["component"] > 1) and r["identity_error"] < 1e-9 for r in line) and len(line) == 150
+
+
+def test_one_insult_in_very_long_texts(spark):
+    rng = random.Random(4)
+    plain = [f"w{rng.randrange(4000)}" for _ in range(3000)]
+
+    def say(size, bad):
+        w = [rng.choice(plain) for _ in range(size // 6)]
+        if bad:
+            w.insert(rng.randrange(len(w)), "vileword nastyone horridly")
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(k, say(300_000, k % 2)) for k in range(120)], DOC).repartition(8)
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int"))
+    p = model.scores([say(300_000, k % 2) for k in range(20)]) >= 0.5
+    assert p[1::2].mean() > 0.9 and p[::2].mean() < 0.1
+
+
+def test_samples_at_hand_and_shared_agree(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(30)) for _ in range(rng.randrange(1, 60))) + (" awfulthing" if k % 4 == 0 else "") for k in range(200)]
+    toxic, fold = [int(k % 4 == 0) for k in range(200)], [k % toxicity.FOLDS for k in range(200)]
+    local = toxicity.LocalSample(texts, toxic, fold)
+    shared = toxicity.SharedSample(spark.createDataFrame(list(zip(toxic, fold, texts, strict=True)), "toxic int, fold int, text string").repartition(3))
+    a, b = toxicity.trained(local, 50, 200), toxicity.trained(shared, 50, 200)
+    assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
+    assert ((a.scores(texts) >= 0.5) == np.array(toxic, bool)).mean() > 0.97
+
+
+def test_slices_of_long_texts():
+    text = "one two three " * 30_000
+    parts = [p for _, part in toxicity.units(["a b", text, "", "c" * 300_000]) for p in part]
+    assert "".join(parts) == "a b" + text + "c" * 300_000 and max(map(len, parts)) <= toxicity.SLICE_BYTES
+
+
+def test_language_of_repeated_rows(spark):
+    rows = [(k, "ceci est un texte que l'on répète, et rien de plus, encore et encore", "fr") for k in range(2000)]
+    rows += [(3000 + k, f"this is text number {k} of those that are not the same, said in some other way {k * 7}", "en") for k in range(600)]
+    rows += [(9000 + k, " ", "xx") for k in range(9)] + [(None, None, "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.fit(docs)
+    assert set(found) == {"en", "fr"} and found["fr"].startswith(b"ceci est")
+    ask = spark.createDataFrame([(1, "un texte que l'on répète"), (2, "those that are not the same")], DOC)
+    assert [r["lang_pred"] for r in language.predict(ask, found).orderBy("doc_id").collect()] == ["fr", "en"]
+
+
+def test_links_and_titles_in_linear_time():
+    import time
+
+    for piece in ("<img src", "<a ", "<title>", "<a href='", '<a "', "<a x", "<title ", "<a href=a ", "a=" + " " * 50):
+        page = piece * (1_000_000 // len(piece))
+        start = time.time()
+        warc.page_links(page), warc.page_title(page)
+        assert time.time() - start < 2, piece
+    page = "<TITLE lang=en> A &amp;\n b</Title><a class='x>y' HREF=\"/p?a=1&amp;b=2\">t</a><img alt src=i.png><script>1</script><form action=''><a name=q><iframe data-src=no src='f'>"
+    assert warc.page_title(page) == "A & b" and warc.page_title("<title>open") == ""
+    assert [(v["path"], v["url"]) for v in warc.page_links(page)] == [("a@/href", "/p?a=1&b=2"), ("img@/src", "i.png"), ("form@/action", ""), ("iframe@/src", "f")]
