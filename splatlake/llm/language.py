@@ -4,7 +4,7 @@ A text is cut into blocks of ``BLOCK`` bytes at character boundaries; each block
 every language's dictionary, and the language with the smallest total wins. The relative margin to the
 runner-up gives the score; ``confident`` is false where the margin is narrow, which is the rejection.
 
-Dictionaries are made of a bounded sample: of each language some ``SAMPLE_DOCS`` labelled texts, taken by a
+Dictionaries are made of a bounded sample: of each language some ``SAMPLE_DOCS`` different labelled texts, one at least, taken by a
 hash; of the ``PIECE``-byte pieces that these whole texts are cut into, ``PIECES`` by a hash again. With very many
 languages each has fewer pieces, one at least, so that all dictionaries together hold ``TOTAL`` bytes;
 more than ``TOTAL`` / ``PIECE`` languages are refused. Prediction reads whole texts in the tasks that scan
@@ -12,7 +12,7 @@ them, without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and all texts are if
 nothing is labelled; of equal sizes the first language in order of its name wins, with score 0.5;
-repeated rows get equal results; null languages are not learned; null ids are not held out; extra columns
+repeated rows get equal results and count once in what is learned; null languages, and those with blank texts only, are not learned; null ids are not held out; extra columns
 are ignored.
 """
 
@@ -70,16 +70,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionary of each language, from labelled documents that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = dict(known.groupBy("lang").count().collect())
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
+    known = known.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    # Repeated texts count once; copies are joined in the tasks that read them.
+    counts = {r["lang"]: (r["n"], r["first"]) for r in known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first")).collect()}
     if len(counts) * PIECE > TOTAL:
         raise ValueError(f"{len(counts)} languages are more than dictionaries of {TOTAL} bytes have pieces for")
     if not counts:
         return {}
-    # Each text is taken with a probability that gives the wanted number in the mean, so no task gathers a language.
-    share = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in counts.items()], "lang string, share double")
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    chosen = known.join(F.broadcast(share), "lang").where(drawn).select("lang", F.col("text").cast("string"))
+    # Each text is taken with a probability that gives the wanted number in the mean, so no task gathers a language; one is taken at least.
+    share = docs.sparkSession.createDataFrame([(lang, max(first, int(min(1.0, per_language / n) * (1 << 30)))) for lang, (n, first) in counts.items()], "lang string, most long")
+    chosen = known.join(F.broadcast(share), "lang").where("draw <= most").groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
     each = min(PIECES, TOTAL // PIECE // len(counts))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
     rows = chosen.mapInArrow(_cut, "lang string, piece binary, order long").withColumn("nth", nth).where(F.col("nth") <= each).collect()
