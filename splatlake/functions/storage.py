@@ -39,6 +39,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def put(spark: SparkSession, own: str, path: str) -> str:
+    """Copy a file of the driver to a store; it is deleted when the application ends."""
+    files, where = _at(spark, path)
+    files.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{own}"), where)
+    files.deleteOnExit(where)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` returned and nothing reads any more."""
     for table in tables:

@@ -115,8 +115,12 @@ def contributions(splats: DataFrame, grid: Grid, threshold: float, keep: list[st
 
 
 def solid_cells(splats: DataFrame, grid: Grid, threshold: float) -> DataFrame:
-    """Cells to whose centre some splat contributes the threshold or more; repeats are dropped before the shuffle too."""
-    return contributions(splats, grid, threshold, []).where(F.col("contribution") >= threshold).select("cx", "cy", "cz").distinct()
+    """Cells to whose centre some splat contributes the threshold or more; repeats are dropped before the shuffle too, by one number for a cell."""
+    hits = contributions(splats, grid, threshold, []).where(F.col("contribution") >= threshold)
+    keys = hits.select(X.cell_key(grid, F.col("cx"), F.col("cy"), F.col("cz")).alias("cell")).distinct()
+    part = lambda c: c.cast("int")
+    keys = keys.select("cell", F.expr(f"cell div {grid.nx}").alias("row"))
+    return keys.select(part(F.col("cell") - F.col("row") * grid.nx).alias("cx"), part(F.col("row") % grid.ny).alias("cy"), part(F.expr(f"row div {grid.ny}")).alias("cz"))
 
 
 def mismatch_count(a: DataFrame, b: DataFrame) -> DataFrame:

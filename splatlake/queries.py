@@ -499,13 +499,17 @@ def sog_roundtrip_error(spark, sf):
 
 
 def _again(spark: SparkSession, splats: DataFrame, kind: str) -> DataFrame:
-    """The scene as it is read from a file of the format."""
-    from splatlake.functions.storage import shared_dir
+    """The scene as it is read from a file of the format, which is put into the shared folder and deleted with the application."""
+    import tempfile
+
+    from splatlake.functions.storage import put, shared_dir
     from splatlake.sinks import files
     from splatlake.sources.readers import read_source
 
-    path = f"{shared_dir(spark)}/scene-{uuid.uuid4().hex}.{kind}"
-    {"splat": files.write_splat, "ply": files.write_ply, "sog": files.write_sog}[kind](splats, path.removeprefix("file://"))
+    with tempfile.TemporaryDirectory() as own:
+        name = f"scene-{uuid.uuid4().hex}.{kind}"
+        {"splat": files.write_splat, "ply": files.write_ply, "sog": files.write_sog}[kind](splats, f"{own}/{name}")
+        path = put(spark, f"{own}/{name}", f"{shared_dir(spark)}/{name}")
     return read_source(spark, path)[0]
 
 
@@ -644,20 +648,24 @@ def navmesh_bake(spark, sf):
     return out if out is not None else spark.createDataFrame([], "tid long, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
 
 
-_HALF = 22 * 0.5
-
-
-@query(f"SELECT i AS splat_id, round(CAST(i % 22 - {_HALF} AS DOUBLE) * 0.08, 6) + 0.0 AS x, round(CAST((i // 22) % 22 AS DOUBLE) * 0.04, 6) AS y, round(CAST(i // 484 - {_HALF} AS DOUBLE) * 0.08, 6) + 0.0 AS z, round(exp(ln((0.035 + (i % 11) * 0.001) * 0.8)), 6) AS sigma_2, round(((i % 100 + 80) / 255 - 0.5) / 0.2820948, 6) AS f_dc_0 FROM range(10000) r(i)")
+@query(
+    "WITH n AS (SELECT count(*) AS n FROM orders), w AS (SELECT min(s) AS s FROM n, range(1, 3000) r(s) WHERE s * s * s >= n), c AS (SELECT unnest(range(n)) AS i FROM n) "
+    "SELECT i AS splat_id, round(CAST(i % s - s * 0.5 AS DOUBLE) * 0.08, 6) + 0.0 AS x, round(CAST((i // s) % s AS DOUBLE) * 0.04, 6) AS y, round(CAST(i // (s * s) - s * 0.5 AS DOUBLE) * 0.08, 6) + 0.0 AS z, round(exp(ln((0.035 + (i % 11) * 0.001) * 0.8)), 6) AS sigma_2, round(((i % 100 + 80) / 255 - 0.5) / 0.2820948, 6) AS f_dc_0 FROM c, w"
+)
 def bench_scene(spark, sf):
-    return T.bench_scene(spark, 10000).select("splat_id", *[six(c).alias(c) for c in "xyz"], F.round(F.exp("scale_2"), 6).alias("sigma_2"), F.round("f_dc_0", 6).alias("f_dc_0"))
+    """The generated scene with as many splats as there are orders."""
+    count = spark.read.parquet(f"{sf}/orders.parquet").count()
+    return T.bench_scene(spark, count).select("splat_id", *[six(c).alias(c) for c in "xyz"], F.round(F.exp("scale_2"), 6).alias("sigma_2"), F.round("f_dc_0", 6).alias("f_dc_0"))
 
 
-@query("SELECT * FROM (VALUES ('object-prop', 0.05::DOUBLE, 0.1::DOUBLE), ('interior-room', 0.05, 0.1), ('outdoor-terrain', 0.05, 0.1)) t(profile, size, threshold)")
+@query("SELECT profile, size, threshold, n / 2.0::DOUBLE AS seed_x, n / 4.0::DOUBLE AS seed_y FROM (VALUES ('object-prop', 0.05::DOUBLE, 0.1::DOUBLE), ('interior-room', 0.05, 0.1), ('outdoor-terrain', 0.05, 0.1)) t(profile, size, threshold), (SELECT count(*) AS n FROM supplier)")
 def profile_configs(spark, sf):
+    """Settings of each profile for a scene that is as long as there are suppliers, which is four metres."""
     from splatlake.plans.profiles import PROFILES, make_process_config
 
-    rows = [(p, c.voxel.size, c.voxel.opacity_threshold) for p in PROFILES for c in [make_process_config(((0, 0, 0), (1, 0, 0)), 1.0, p, "y")]]
-    return spark.createDataFrame(rows, "profile string, size double, threshold double")
+    n = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    configs = [(p, make_process_config(((0, 0, 0), (n, 0, 0)), 4.0, p, "y")) for p in PROFILES]
+    return spark.createDataFrame([(p, c.voxel.size, c.voxel.opacity_threshold, *map(float, c.voxel_carve.seed_pos[:2])) for p, c in configs], "profile string, size double, threshold double, seed_x double, seed_y double")
 
 
 @query(f"WITH {hits_cte(EMB, SIZE, THRESHOLD)}, {CELLS.format(t=THRESHOLD)}, k AS (SELECT cx, cy, cz FROM cells), d(dx, dy, dz) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) SELECT (SELECT count(*) FROM s) AS source_count, (SELECT count(*) FROM s) AS kept_count, (SELECT count(*) FROM k) AS solid_cells, (SELECT 2 * count(*) FROM k, d WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.cx = k.cx + dx AND o.cy = k.cy + dy AND o.cz = k.cz + dz)) AS triangles")
