@@ -1,4 +1,4 @@
-"""Readers of splat files into tables: .splat, binary PLY, and SOG bundles and folders (PNG textures)."""
+"""Readers of splat files into tables: .splat, binary PLY, and SOG bundles and folders (lossless WebP or PNG textures)."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from splatlake.functions import expr as X
 from splatlake.operators.sog import quat_unpack, signed_exp
+from splatlake.sources.webp import WebpError, decode_webp
 
 SCHEMA = "splat_id long, " + ", ".join(f"{c} double" for c in X.SCALARS) + ", f_rest array<double>"
 ROW = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 3), ("a", "u1"), ("q", "u1", 4)])
@@ -172,7 +173,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
 def decode_png(data: bytes) -> np.ndarray:
     """8-bit RGBA or RGB pixels (height, width, 4)."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise SourceError("only PNG textures can be decoded here; WebP needs a decoder that is not installed")
+        raise SourceError("textures must be lossless WebP or PNG")
     at, parts, head = 8, [], None
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
@@ -211,12 +212,31 @@ def decode_png(data: bytes) -> np.ndarray:
     return out if n == 4 else np.concatenate([out, np.full((height, width, 1), 255, np.uint8)], 2)
 
 
-def encode_png(pixels: np.ndarray) -> bytes:
-    """PNG of 8-bit RGBA pixels (height, width, 4)."""
-    height, width, _ = pixels.shape
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, width * 4)], 1)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+def decode_texture(data: bytes) -> np.ndarray:
+    """RGBA pixels of a texture: lossless WebP, as the format has it, or PNG."""
+    if data[:4] != b"RIFF":
+        return decode_png(data)
+    try:
+        return decode_webp(data)
+    except WebpError as e:
+        raise SourceError(f"texture: {e}") from e
+
+
+def _decoded(spark: SparkSession, textures: dict[str, bytes]) -> dict[str, np.ndarray]:
+    """All textures, a task each."""
+    sc = spark.sparkContext
+
+    def decode(item: tuple[str, bytes]) -> tuple[str, np.ndarray | str]:
+        try:
+            return item[0], decode_texture(item[1])
+        except SourceError as e:
+            return item[0], str(e)
+
+    found = dict(sc.parallelize(list(textures.items()), max(1, len(textures))).map(decode).collect())
+    for v in found.values():
+        if isinstance(v, str):
+            raise SourceError(v)
+    return found
 
 
 def _sog_files(content: bytes | None, folder: str | None):
@@ -238,7 +258,7 @@ def _within(key: str, codes: np.ndarray, codebook: list) -> None:
 
 
 def read_sog(spark: SparkSession, path: str) -> DataFrame:
-    """A SOG bundle (ZIP) or the folder of a meta.json; textures are decoded on the driver, values by expressions."""
+    """A SOG bundle (ZIP) or the folder of a meta.json; textures are decoded by a task each, values by expressions."""
     bundle = not path.endswith("meta.json")
     files = _sog_files(bytes(spark.read.format("binaryFile").load(path).select("content").head()[0]) if bundle else None, None if bundle else os.path.dirname(path))
     need = lambda n: files(n) if files(n) is not None else (_ for _ in ()).throw(SourceError(f"missing file {n}"))
@@ -248,9 +268,11 @@ def read_sog(spark: SparkSession, path: str) -> DataFrame:
         raise SourceError("SOG version must be 2")
     count = meta["count"] if v2 else meta["means"]["shape"][0]
     texture = {}
+    shn = meta.get("shN")
+    image = _decoded(spark, {name: need(name) for part in ("means", "scales", "quats", "sh0", *(["shN"] if shn else [])) for name in meta[part]["files"]})
     for key in ("means", "scales", "quats", "sh0"):
         for i, name in enumerate(meta[key]["files"]):
-            t = decode_png(need(name)).reshape(-1, 4)
+            t = image[name].reshape(-1, 4)
             if len(t) < count:
                 raise SourceError(f"texture {name} has under {count} texels")
             texture[f"{key}{i}"] = t[:count].astype(np.int32)
@@ -259,9 +281,8 @@ def read_sog(spark: SparkSession, path: str) -> DataFrame:
             _within(key, texture[f"{key}0"][:, :3], meta[key]["codebook"])
     lo, hi = texture["means0"], texture["means1"]
     columns = {"splat_id": np.arange(count)} | {f"m{c}": lo[:, i] | hi[:, i] << 8 for i, c in enumerate("xyz")} | {f"s{i}": texture["scales0"][:, i] for i in range(3)} | {f"q{i}": texture["quats0"][:, i] for i in range(4)} | {f"h{i}": texture["sh00"][:, i] for i in range(4)}
-    shn = meta.get("shN")
     if shn:
-        labels = decode_png(need(shn["files"][1])).reshape(-1, 4)[:count].astype(np.int32)
+        labels = image[shn["files"][1]].reshape(-1, 4)[:count].astype(np.int32)
         columns["label"] = labels[:, 0] | labels[:, 1] << 8
     raw = spark.createDataFrame(pa.table({k: np.asarray(v, np.int64 if k == "splat_id" else np.int32) for k, v in columns.items()}))
     span = lambda low, high: (high - low) or 1.0
@@ -279,7 +300,7 @@ def read_sog(spark: SparkSession, path: str) -> DataFrame:
     out = raw.select("splat_id", *[v.alias(c) for c, v in mean.items()], *[v.alias(f"scale_{i}") for i, v in enumerate(scale)], opacity.alias("opacity"), *[v.alias(f"f_dc_{i}") for i, v in enumerate(dc)], *[v.alias(f"rot_{i}") for i, v in enumerate(q)], *(["label"] if shn else []))
     if not shn:
         return out.withColumn("f_rest", F.array().cast("array<double>"))
-    pixels = decode_png(need(shn["files"][0]))
+    pixels = image[shn["files"][0]]
     coeffs = {1: 3, 2: 8, 3: 15}[shn["bands"]] if "bands" in shn else {192: 3, 512: 8, 960: 15}[pixels.shape[1]]
     if v2:
         _within("shN", pixels[..., :3], shn["codebook"])
