@@ -274,7 +274,8 @@ class TreeModel:
 def train(pages: list[tuple[str, set[str]]], steps: int = 90, rate: float = 0.25, decay: float = 1e-3) -> TreeModel:
     """Fit to labelled pages: (html, texts of the runs that are content).
 
-    An element is content if it lies in the smallest element with all of the page's content and has some itself.
+    An element is content if it has some and lies in the smallest element with all of the page's content, is that one, or is one around it, below the
+    body, that has nothing else.
     """
     forest, truth = Forest(), []
     for k, (source, content) in enumerate(pages):
@@ -282,18 +283,20 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 90, rate: float = 0.25
         forest.add(source, k)
         truth += [forest.kind[i] == RUN and forest.text[i] in content for i in range(begin, len(forest.parent))]
     y, kind, parent = np.array(truth), np.array(forest.kind), np.array(forest.parent)
-    page, below = np.array(forest.page), (y & (kind == RUN)).astype(int)
+    page, run = np.array(forest.page), kind == RUN
+    below, other = (y & run).astype(int), (~y & run).astype(int)
     for i in range(len(y) - 1, 0, -1):
         if parent[i] >= 0:
             below[parent[i]] += below[i]
-    whole = np.bincount(page, y & (kind == RUN))[page]
-    # Elements with all of the content form a path from the root; only its last one counts.
+            other[parent[i]] += other[i]
+    whole = np.bincount(page, y & run)[page]
+    # Elements with all of the content form a path from the root.
     outer = np.zeros(len(y), bool)
-    inner = np.flatnonzero((below == whole) & (parent >= 0))
+    inner = np.flatnonzero((below == whole) & (parent >= 0) & ~run)
     outer[parent[inner]] = True
+    outer &= (other > 0) | (np.array(forest.depth) < 3)
     y = ((below > 0) & ~(outer & (below == whole))).astype(int)
     x = forest.features().astype(float)
-    run = kind == RUN
     x_element, x_run = x[~run].T.copy(), x[run].T.copy()
     model = TreeModel(np.zeros((N_FEATURES, 2)), np.zeros((len(BLOCKS) + 1, 2, 2)))
     seen_u, seen_p = np.full(model.unary.shape, 1e-6), np.full(model.pair.shape, 1e-6)
@@ -317,10 +320,11 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 90, rate: float = 0.25
 WRAPS = (
     "<article>{}</article>", "<article class='{post}'>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="{content}">{}</div>', '<div id="{main}">{}</div>', "<div>{}</div>",
     '<div class="page"><div>{}</div></div>', "<section>{}</section>", '<div id="wrap"><div class="row"><article>{}</article></div></div>', '<article><div class="{content}">{}</div></article>', '<main role="main"><section class="{post}">{}</section></main>', "<table><tr><td>{}</td></tr></table>",
+    "{}", '<main><div class="row"><div class="col">{}</div></div></main>', "<div><div><div>{}</div></div></div>",
 )
 
 
-def labelled_pages(count: int = 450, seed: int = 11, wraps: tuple[str, ...] = WRAPS) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 450, seed: int = 11, wraps: tuple[str, ...] = WRAPS, bare_share: float = 0.0) -> list[tuple[str, set[str]]]:
     """Pages in random layouts with what is content known: articles under several kinds of element, among page furniture."""
     rng = np.random.default_rng(seed)
     syllables = "ba co di fu ge hi jo ka lu me ni po ra si to va we xi yo za".split()
@@ -337,6 +341,16 @@ def labelled_pages(count: int = 450, seed: int = 11, wraps: tuple[str, ...] = WR
                 content.add(text)
             return text
 
+        def linked(text: str) -> str:
+            """The text with a link somewhere in it, or some, or none."""
+            parts = text.split(" ")
+            for _ in range(pick(0, 0, 1, 1, 2)):
+                a = int(rng.integers(len(parts)))
+                b = min(len(parts), a + int(rng.integers(1, 5)))
+                if not any("<" in w for w in parts[a:b]):
+                    parts[a], parts[b - 1] = f'<{(t := pick("a", "a", "em"))}{f' href="/{word()}"' if t == "a" else ""}>' + parts[a], parts[b - 1] + f"</{t}>"
+            return " ".join(parts)
+
         def links(n: int) -> str:
             return "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(n))
 
@@ -372,20 +386,29 @@ def labelled_pages(count: int = 450, seed: int = 11, wraps: tuple[str, ...] = WR
             if rng.random() < 0.25:
                 head = f"<header>{head}{'' if rng.random() < 0.5 else f'<p>{say(2, 9, end=pick("", "."))}</p>'}</header>"
             body.append(head)
+        # So many pages have blocks of one kind only: plain divisions, bare text or paragraphs.
+        bare = pick(1, 2, 3, 3) if rng.random() < bare_share else 0
+        if bare and rng.random() < 0.5:
+            body = []
+            content.clear()
         for _ in range(rng.integers(1, 9)):
             kind = rng.random() * 1.15
+            if bare:
+                body.append(f"<div>{linked(say(3, most + 3, end=pick('.', '.', '')))}</div>" if bare == 1 else f"{linked(say(3, most + 3))}{pick('<br><br>', '<p>')}" if bare == 2 else f"<p>{linked(say(3, most + 3))}</p>")
+                continue
             if kind < 0.7:
-                body.append(f"<p{named}>{pick('', '', '<b>')}{say(1, most, end=pick('.', '.', '', '', '!!', '?'))}{pick('', '<br>')}{pick('</p>', '</p>', '')}")
+                body.append(f"<p{named}>{pick('', '', '<b>')}{linked(say(1, most, end=pick('.', '.', '', '', '!!', '?')))}{pick('', '<br>')}{pick('</p>', '</p>', '')}")
             elif kind < 0.73:
                 body.append(f"<p>{say(2, 12, end=' | ' + words(1, 20).replace(' ', ' | ') + pick('', ' |'))}</p>")
             elif kind < 0.78:
-                body.append(f"<h2>{say(2, 7, end='')}</h2>")
+                body.append(f"<{(t := pick('h2', 'h2', 'h3', 'h4'))}>{say(2, 7, end='')}</{t}>")
             elif kind < 0.86:
-                body.append(f"<{(t := pick('ul', 'ol'))}>" + "".join(f"<li>{say(2, 20, end=pick('', '.'))}</li>" for _ in range(rng.integers(1, 5))) + f"</{t}>")
+                body.append(f"<{(t := pick('ul', 'ol'))}>" + "".join(f"<li>{(linked if rng.random() < 0.3 else str)(say(2, 20, end=pick('', '.')))}</li>" for _ in range(rng.integers(1, 5))) + f"</{t}>")
             elif kind < 0.9:
                 body.append(f"<blockquote>{pick('', '<p>')}{say(3, 40)}</blockquote>")
             elif kind < 0.93:
-                body.append(f"<table><tr><td>{say(1, 6, end='')}</td><td>{say(1, 6, end='')}</td></tr></table>")
+                top = f"<tr><th>{say(1, 4, end='')}</th><th>{say(1, 4, end='')}</th></tr>" if rng.random() < 0.5 else ""
+                body.append(f"<table>{top}<tr><td>{say(1, 6, end='')}</td><td>{say(1, 6, end='')}</td></tr></table>")
             elif kind < 0.95:
                 body.append(f"<pre>{say(3, 20, end='')}</pre>")
             elif kind > 1.12:
@@ -416,7 +439,7 @@ def labelled_pages(count: int = 450, seed: int = 11, wraps: tuple[str, ...] = WR
 
 @functools.lru_cache(1)
 def default_model() -> TreeModel:
-    return train(labelled_pages())
+    return train(labelled_pages(bare_share=0.15))
 
 
 def main_texts(pages: list[str], model: TreeModel) -> list[str]:

@@ -295,3 +295,18 @@ def test_links_and_titles_in_linear_time():
     page = "<TITLE lang=en> A &amp;\n b</Title><a class='x>y' HREF=\"/p?a=1&amp;b=2\">t</a><img alt src=i.png><script>1</script><form action=''><a name=q><iframe data-src=no src='f'>"
     assert warc.page_title(page) == "A & b" and warc.page_title("<title>open") == ""
     assert [(v["path"], v["url"]) for v in warc.page_links(page)] == [("a@/href", "/p?a=1&b=2"), ("img@/src", "i.png"), ("form@/action", ""), ("iframe@/src", "f")]
+
+
+def test_links_and_heads_inside_articles():
+    from splatlake.llm import htmltext
+
+    a, b = "The committee met on Tuesday to discuss the new plan for the harbour.", "Several members asked for more time before the vote was held in the hall."
+    page = "<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>{}<footer><p>&copy; 2024 Site</p></footer></body></html>"
+    model = htmltext.default_model()
+    cases = {
+        f"<article><h1>Harbour plan</h1><p>They met; <a href=/x>the earlier report</a> says.</p><p>{b}</p></article>": ["Harbour plan", "They met; the earlier report says.", b],
+        f"<article><p>{a}</p></article>": [a],
+        f"<main><div class=row><div class=col>{a}</div><div class=col>{b}</div></div></main>": [a, b],
+        f"<article><h1>T</h1><p>{a}</p><table><tr><th>Name</th><th>Age</th></tr><tr><td>Bo</td><td>7</td></tr></table><p>{b}</p></article>": ["T", a, "Name", "Age", "Bo", "7", b],
+    }
+    assert htmltext.main_texts([page.format(c) for c in cases], model) == ["\n\n".join(v) for v in cases.values()]
