@@ -1,4 +1,4 @@
-"""Periodic runs, token counts and whitening against plain versions."""
+"""Periodic runs, token counts and whitening against plain versions; long texts, repeated rows and odd pages of the other operators."""
 
 import hashlib
 import math
