@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from splatlake.operators import components, mesh, navfield, navmesh, navpoly, tiles, voxel
@@ -76,7 +77,7 @@ def test_components_of_cells_over_tiles(spark, one_task):
 def test_coplanar_pieces_over_tiles(spark, one_task):
     rng = random.Random(4)
     cells = {(x, y, 0) for x in range(-9, 10) for y in range(-8, 9) if rng.random() < 0.62} | {(20, y, z) for y in range(7) for z in range(7)}
-    m = mesh.face_mesh(spark.createDataFrame(sorted(cells), "cx int, cy int, cz int"), voxel.Grid((0.0, 0.0, 0.0), 1.0, (64, 64, 64))).select(F.row_number().over(__import__("pyspark").sql.Window.orderBy("ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz")).cast("long").alias("tid"), *mesh.CORNERS)
+    m = mesh.face_mesh(spark.createDataFrame(sorted(cells), "cx int, cy int, cz int"), voxel.Grid((0.0, 0.0, 0.0), 1.0, (64, 64, 64))).select(F.row_number().over(Window.orderBy("ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz")).cast("long").alias("tid"), *mesh.CORNERS)
     flat = mesh.planes(m).collect()
     at = collections.defaultdict(list)
     for r in flat:
