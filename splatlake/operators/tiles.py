@@ -54,12 +54,12 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For n nodes and edges (a, b): the smallest node that each is connected with."""
     parent = np.arange(n)
     while True:
-        pa_, pb = parent[a], parent[b]
-        open_ = pa_ != pb
+        top_a, top_b = parent[a], parent[b]
+        open_ = top_a != top_b
         if not open_.any():
             return parent
-        a, b, pa_, pb = a[open_], b[open_], pa_[open_], pb[open_]
-        np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
+        a, b, top_a, top_b = a[open_], b[open_], top_a[open_], top_b[open_]
+        np.minimum.at(parent, np.maximum(top_a, top_b), np.minimum(top_a, top_b))
         while not np.array_equal(up := parent[parent], parent):
             parent = up
 
