@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from splatlake.functions import expr as X
 from splatlake.operators.components import connected_components
-from splatlake.operators.tiles import roots, whole_tiles
+from splatlake.operators.tiles import places, roots, whole_tiles
 from splatlake.operators.voxel import ONE_TASK_EDGES, STEPS, Grid, neighbours
 
 CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
@@ -172,12 +172,15 @@ def _tile_pieces(side: float):
         order = np.argsort(columns["tid"], kind="stable")
         columns = {c: v[order] for c, v in columns.items()}
         plane = (columns["coord"].astype(np.int64) * 4 + columns["axis"]) * 4 + columns["sign"]
-        point = {p: columns[f"q{p}u"].astype(np.int64) << 32 | (columns[f"q{p}v"].astype(np.int64) + (1 << 31)) for p in "abc"}
-        at = np.arange(len(plane))
-        ends = [(np.minimum(point[p], point[q]), np.maximum(point[p], point[q])) for p, q in ("ab", "bc", "ac")]
-        low, high, of = (np.concatenate(v) for v in ([e[0] for e in ends], [e[1] for e in ends], [at] * 3))
-        here = (np.floor((low >> 32) / side) == columns["tu"][of]) & (np.floor(((low & 0xFFFFFFFF) - (1 << 31)) / side) == columns["tv"][of])
-        low, high, of = low[here], high[here], of[here]
+        # Points by their number in order of u and v.
+        u, v = (np.concatenate([columns[f"q{p}{n}"] for p in "abc"]) for n in "uv")
+        point, n = places(u, v), len(plane)
+        at = np.arange(n)
+        a, b = (np.concatenate([at + k * n for k in ks]) for ks in ((0, 1, 0), (1, 2, 2)))
+        a, b = np.where(point[a] <= point[b], a, b), np.where(point[a] <= point[b], b, a)
+        of = np.tile(at, 3)
+        here = (np.floor(u[a] / side) == columns["tu"][of]) & (np.floor(v[a] / side) == columns["tv"][of])
+        low, high, of = point[a[here]], point[b[here]], of[here]
         by = np.lexsort((high, low, plane[of]))
         low, high, of = low[by], high[by], of[by]
         same = (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (plane[of[1:]] == plane[of[:-1]])
