@@ -18,6 +18,10 @@ def test_places_far_out_are_welded_apart(spark):
     assert vertices.select(F.min("x"), F.max("x")).head() == (FAR, FAR + 3)
 
 
+def test_nearest_cell_far_out(spark):
+    assert voxel.nearest_solid(far(spark, [(0, 5, 5), (-50_000, 1, 1), (9, 9, 9)]), (11, 7, 9)) == (FAR - 50_000, 1, 1)
+
+
 def test_planes_far_out_merge_apart(spark):
     grid = voxel.Grid((0.0, 0.0, 0.0), 1.0, (1 << 23, 8, 8))
     boxes = [(x + 300 * k, y, z) for k in range(4) for x in range(3 + k) for y in range(2) for z in range(3)]
