@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from splatlake.functions import expr as X
 from splatlake.operators.components import connected_components
 from splatlake.operators.tiles import places, roots, whole_tiles
-from splatlake.operators.voxel import ONE_TASK_EDGES, STEPS, Grid, neighbours
+from splatlake.operators.voxel import NEAR_TILE, ONE_TASK_EDGES, STEPS, Grid, with_rings
 
 CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
 # Corners of the quads of a cell's faces, 0 low and 1 high on each axis, in the order of STEPS.
@@ -31,10 +31,25 @@ QUADS = [
 
 def exposed_faces(cells: DataFrame) -> DataFrame:
     """Faces between solid cells and free ones: cx, cy, cz, side (place in STEPS)."""
-    near = neighbours(cells.select("cx", "cy", "cz"))
-    side = F.expr("CASE " + " ".join(f"WHEN nx - cx = {x} AND ny - cy = {y} AND nz - cz = {z} THEN {k}" for k, (x, y, z) in enumerate(STEPS)) + " END")
-    solid = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"))
-    return near.join(solid, ["nx", "ny", "nz"], "left_anti").select("cx", "cy", "cz", side.alias("side"))
+    return whole_tiles(with_rings(cells, (1, 1, 1)), ["tx", "ty", "tz"], _tile_faces, "cx int, cy int, cz int, side int")
+
+
+def _tile_faces(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Exposed faces of the cells of some tiles; cells of the ring around a tile only hide faces."""
+    tile = places(*[columns[f"t{c}"] for c in "xyz"])
+    own, key, step = np.ones(len(tile), bool), tile, {}
+    for c, n in zip("zyx", NEAR_TILE[::-1], strict=True):
+        at = columns[f"c{c}"].astype(np.int64) - columns[f"t{c}"].astype(np.int64) * n
+        own &= (at >= 0) & (at < n)
+        key = key * (n + 2) + at + 1
+        step = {k: v * (n + 2) for k, v in step.items()} | {c: 1}
+    solid, mine = np.sort(key), np.flatnonzero(own)
+    free = []
+    for x, y, z in STEPS:
+        other = key[mine] + x * step["x"] + y * step["y"] + z * step["z"]
+        free.append(solid[np.minimum(np.searchsorted(solid, other), len(solid) - 1)] != other)
+    row, side = np.nonzero(np.stack(free, 1))
+    return {c: columns[c][mine[row]] for c in ("cx", "cy", "cz")} | {"side": side.astype(np.int32)}
 
 
 def face_mesh(cells: DataFrame, grid: Grid) -> DataFrame:
