@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splatlake.functions import expr as X
@@ -56,24 +56,26 @@ class NavmeshParams:
         return math.ceil(max(self.agent_radius / self.cell, 0.1))
 
 
+def _faces_up(n: list[Column], max_slope_degrees: float) -> Column:
+    return (X.dot(n, n) > 0) & (n[1] > F.sqrt(X.dot(n, n)) * math.cos(math.radians(max_slope_degrees)))
+
+
 def walkable_triangles(mesh: DataFrame, max_slope_degrees: float) -> DataFrame:
     """Triangles that face up with a slope of less than the limit."""
     a, b, c = [[F.col(f"{p}{k}") for k in "xyz"] for p in "abc"]
-    n = X.cross(X.minus(b, a), X.minus(c, a))
-    return mesh.where((X.dot(n, n) > 0) & (n[1] > F.sqrt(X.dot(n, n)) * math.cos(math.radians(max_slope_degrees))))
+    return mesh.where(_faces_up(X.cross(X.minus(b, a), X.minus(c, a)), max_slope_degrees))
 
 
 def spans(mesh: DataFrame, p: NavmeshParams) -> DataFrame:
     """Solid spans of columns: gx, gz, bottom and top (in cell heights), walkable (of the triangle that makes the top)."""
-    up = walkable_triangles(mesh, p.max_slope_degrees).select("tid", F.lit(True).alias("walkable"))
-    t = mesh.join(up, "tid", "left").withColumn("walkable", F.coalesce("walkable", F.lit(False)))
     low = lambda c: F.least(*[F.col(f"{v}{c}") for v in "abc"])
     high = lambda c: F.greatest(*[F.col(f"{v}{c}") for v in "abc"])
     cell = lambda v: F.floor(v / p.cell).cast("int")
     a, b, c = [[F.col(f"{v}{k}") for k in "xyz"] for v in "abc"]
     normal = dict(zip(("nx", "ny", "nz"), X.cross(X.minus(b, a), X.minus(c, a)), strict=True))
-    own = ["tid", "walkable", *CORNERS]
-    t = X.computed(t, own, normal | {"low": low("y"), "high": high("y")} | {f"{n}{k}": cell(f(k)) for n, f in (("low_", low), ("high_", high)) for k in "xz"})
+    t = X.computed(mesh, ["tid", *CORNERS], normal)
+    t = t.withColumn("walkable", F.coalesce(_faces_up([F.col(k) for k in normal], p.max_slope_degrees), F.lit(False)))
+    t = X.computed(t, ["tid", "walkable", *CORNERS, *normal], {"low": low("y"), "high": high("y")} | {f"{n}{k}": cell(f(k)) for n, f in (("low_", low), ("high_", high)) for k in "xz"})
     # The rows of a large triangle are dealt out before its cells are made.
     cells = (F.col("high_x") - F.col("low_x") + 1).cast("long") * (F.col("high_z") - F.col("low_z") + 1)
     rows = [t.where(cells <= LARGE), t.where(cells > LARGE)]
@@ -121,6 +123,7 @@ def ledges(s: DataFrame, climb: int, tall: int) -> DataFrame:
     On each side the places to stand are the spans of that column with ``tall`` free above both, and the
     bottomless one below its lowest span; a column without spans is a drop.
     """
+    s = written(s, "room")
     stand = s.select("gx", "gz", F.col("top").alias("floor"), (F.col("top").cast("long") + F.col("room")).alias("ceiling"))
     below = s.groupBy("gx", "gz").agg(F.min("bottom").cast("long").alias("ceiling")).select("gx", "gz", F.lit(-OPEN).alias("floor"), "ceiling")
     places = stand.union(below).select(F.col("gx").alias("ox"), F.col("gz").alias("oz"), "floor", "ceiling")

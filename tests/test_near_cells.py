@@ -5,7 +5,7 @@ import random
 import pytest
 
 from splatlake import queries as Q
-from splatlake.operators import mesh, morph, voxel
+from splatlake.operators import mesh, morph, navmesh, voxel
 
 DIMS = (140, 40, 70)
 
@@ -62,3 +62,8 @@ def test_filled_cells_are_not_made_different_again(spark):
     full = morph.exterior_fill(df, grid, 0.0, (3.5, 3.5, 3.5)).cells
     assert full.count() == 9 * 7 * 7 - 27 and full.distinct().count() == 9 * 7 * 7 - 27
     assert not plan(full).startswith("Aggregate")
+
+
+def test_spans_take_the_slope_from_their_own_triangle(spark):
+    _, df, grid = scene(spark)
+    assert "Join" not in plan(navmesh.spans(mesh.face_mesh(df, grid), navmesh.NavmeshParams(cell_size=1.0, cell_height=1.0)))
