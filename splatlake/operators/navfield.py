@@ -20,6 +20,8 @@ from splatlake.operators.voxel import ONE_TASK_EDGES
 
 #: Columns of a tile's side.
 TILE = 128
+#: Columns of the ring in which what runs further than a tile is followed at once.
+RING = 8
 #: Steps to the four neighbours, in a ring.
 STEPS = [(1, 0), (0, 1), (-1, 0), (0, -1)]
 #: Length of a step and of two steps round a corner.
@@ -30,16 +32,16 @@ SPAN = ["gx", "gz", "top", "room"]
 
 
 def span_id() -> Column:
-    """gx, gz and top as one number; each within a million of zero."""
+    """gx, gz and top as one number; gz and top within a million of zero, gx up to three million above (numbers are negative from a million on)."""
     half = 1 << _BITS - 1
     part = lambda c: F.col(c).cast("long") + half
     return F.shiftleft(F.shiftleft(part("gx"), _BITS) + part("gz"), _BITS) + part("top")
 
 
-def in_tiles(spans: DataFrame) -> DataFrame:
-    """Spans with the tile (tx, tz) that they lie in (own) and once more for each tile whose ring they lie in."""
+def in_tiles(spans: DataFrame, ring: int = 1) -> DataFrame:
+    """Spans with the tile (tx, tz) that they lie in (own) and once more for each tile whose ring of ``ring`` columns (less than a tile) they lie in."""
     tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
-    near = lambda c: F.array_distinct(F.array(tile(c), F.floor((F.col(c) - 1) / TILE).cast("int"), F.floor((F.col(c) + 1) / TILE).cast("int")))
+    near = lambda c: F.array_distinct(F.array(tile(c), F.floor((F.col(c) - ring) / TILE).cast("int"), F.floor((F.col(c) + ring) / TILE).cast("int")))
     out = spans.withColumn("tx", F.explode(near("gx"))).withColumn("tz", F.explode(near("gz")))
     return out.withColumn("own", (F.col("tx") == tile("gx")) & (F.col("tz") == tile("gz")))
 
@@ -48,8 +50,8 @@ def links(c: dict[str, np.ndarray], climb: int, tall: int) -> np.ndarray:
     """For each span and step the place of the span that one can walk to, or -1: within ``climb``, with ``tall`` free above both; the nearest in height, ties to the lower."""
     n = len(c["gx"])
     tile = places(c["tx"], c["tz"])
-    wide = TILE + 4
-    column = (tile * wide + (c["gz"] - c["tz"].astype(np.int64) * TILE + 2)) * wide + (c["gx"] - c["tx"].astype(np.int64) * TILE + 2)
+    wide = TILE + 2 * RING + 2
+    column = (tile * wide + (c["gz"] - c["tz"].astype(np.int64) * TILE + RING + 1)) * wide + (c["gx"] - c["tx"].astype(np.int64) * TILE + RING + 1)
     top, room = c["top"].astype(np.int64), c["room"].astype(np.int64)
     low = int(top.min(initial=0)) - climb - 1
     height = int(top.max(initial=0)) + climb + 2 - low
@@ -90,8 +92,17 @@ def _shortest(start: np.ndarray, link: np.ndarray, own: np.ndarray, corners: boo
             return value
 
 
+def known(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Spans of which all neighbours are at hand: all but those of the ring's last columns."""
+    off = [c[f"g{k}"] - c[f"t{k}"].astype(np.int64) * TILE for k in "xz"]
+    return np.logical_and.reduce([(v > -RING) & (v < TILE + RING - 1) for v in off])
+
+
 def _settled(spans: DataFrame, name: str, kernel: Callable, rounds: int = 1000) -> DataFrame:
-    """``kernel`` in all tiles, again and again until ``name`` no longer changes at the sides of tiles. It gets the spans with rings and the last values."""
+    """``kernel`` in all tiles, again and again until ``name`` no longer changes where other tiles see it. It gets the spans with rings and the last values.
+
+    It returns the new values and which of them hold whatever lies beyond the ring; if all do, the first round is the last.
+    """
     names = list(spans.columns)
     keep = [*names, name]
     kinds = dict(spans.dtypes)
@@ -99,23 +110,24 @@ def _settled(spans: DataFrame, name: str, kernel: Callable, rounds: int = 1000)
 
     def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         own = c["own"]
-        new = kernel(c)
-        # Only spans at a side beyond which there is a tile are seen by others.
-        edge = np.isin(c["gx"] % TILE, (0, TILE - 1)) | np.isin(c["gz"] % TILE, (0, TILE - 1))
+        new, sure = kernel(c)
+        # Only spans near a side beyond which there is a tile are seen by others.
+        edge = np.logical_or.reduce([(c[k] % TILE < RING) | (c[k] % TILE >= TILE - RING) for k in ("gx", "gz")])
         tile = places(c["tx"], c["tz"])
         edge &= (np.bincount(tile, ~own) > 0)[tile]
-        return {k: c[k][own] for k in names} | {name: new[own].astype(np.int32), "moved": ((new != c[name]) & edge)[own]}
+        return {k: c[k][own] for k in names} | {name: new[own].astype(np.int32), "moved": ((new != c[name]) & edge)[own], "open": ~sure[own]}
 
     now = spans.withColumn(name, F.lit(FAR))
     last = None
     for _ in range(rounds):
         moved = Observation()
-        out = whole_tiles(in_tiles(now), ["tx", "tz"], run, schema + ", moved boolean")
-        now = written(out.observe(moved, F.count_if("moved").alias("n")).select(*keep), name)
+        out = whole_tiles(in_tiles(now, RING), ["tx", "tz"], run, schema + ", moved boolean, open boolean")
+        now = written(out.observe(moved, F.count_if("moved").alias("n"), F.count_if("open").alias("open")).select(*keep), name)
+        first = last is None
         if last is not None:
             discard(last)
         last = now
-        if not moved.get["n"]:
+        if not moved.get["n"] or (first and not moved.get["open"]):
             return now
     raise RuntimeError(f"{name} has not settled after {rounds} rounds")
 
@@ -123,10 +135,12 @@ def _settled(spans: DataFrame, name: str, kernel: Callable, rounds: int = 1000)
 def border_distance(spans: DataFrame, climb: int, tall: int) -> DataFrame:
     """Spans with ``dist``, the length of the shortest way to a span that lacks a neighbour (2 for a step, 3 for two round a corner)."""
 
-    def kernel(c: dict[str, np.ndarray]) -> np.ndarray:
-        link = links(c, climb, tall)
-        border = c["own"] & (link < 0).any(1)
-        return _shortest(np.where(border, 0, c["dist"]).astype(np.int64), link, c["own"], True)
+    def kernel(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        link, inner = links(c, climb, tall), known(c)
+        border = inner & (link < 0).any(1)
+        out = _shortest(np.where(border, 0, c["dist"]).astype(np.int64), link, inner, True)
+        # A way to the ring's last columns has that many steps at least.
+        return out, out <= STRAIGHT * RING
 
     return _settled(spans.select(*SPAN), "dist", kernel)
 
@@ -151,10 +165,11 @@ def watershed(field: DataFrame, climb: int, tall: int) -> DataFrame:
             up[better], best[better], chosen[better] = link[better, k], far[better, k], ids[better]
         return link, up, far == dist[:, None]
 
-    def steps(c: dict[str, np.ndarray]) -> np.ndarray:
-        link, up, level = rising(c)
-        start = np.where(c["own"] & (up >= 0), 0, c["steps"]).astype(np.int64)
-        return _shortest(start, link, c["own"], False, level)
+    def steps(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        (link, up, level), inner = rising(c), known(c)
+        out = _shortest(np.where(inner & (up >= 0), 0, c["steps"]).astype(np.int64), link, inner, False, level)
+        # It holds unless the plateau's way to the ring's last columns is shorter.
+        return out, out <= _shortest(np.where(inner, FAR, 0).astype(np.int64), link, inner, False, level)
 
     def drained(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         link, up, level = rising(c)
@@ -181,16 +196,16 @@ def watershed(field: DataFrame, climb: int, tall: int) -> DataFrame:
         x, y = a[~inside], b[~inside]
         mine = np.flatnonzero(own)
         rows = np.concatenate([mine, x])
-        return {k: c[k][rows] for k in (*SPAN, "dist", "id")} | {"root": found[rows], "across": np.concatenate([np.full(len(mine), -1), ids[y]])}
+        return {k: c[k][rows] for k in (*SPAN, "dist", "id")} | {"root": found[rows], "across": np.concatenate([np.full(len(mine), -1), ids[y]]), "way": np.arange(len(rows)) >= len(mine)}
 
     field = field.withColumn("id", span_id())
     levels = _settled(field, "steps", steps)
-    schema = "gx int, gz int, top int, room int, dist int, id long, root long, across long"
+    schema = "gx int, gz int, top int, room int, dist int, id long, root long, across long, way boolean"
     parts = written(whole_tiles(in_tiles(levels), ["tx", "tz"], drained, schema), "basins")
     discard(levels)
-    spans = parts.where("across < 0").drop("across")
+    spans = parts.where("NOT way").drop("across", "way")
     beyond = spans.select(F.col("id").alias("across"), F.col("root").alias("b"))
-    edges = parts.where("across >= 0").select(F.col("root").alias("a"), "across").join(beyond, "across").select("a", "b")
+    edges = parts.where("way").select(F.col("root").alias("a"), "across").join(beyond, "across").select("a", "b")
     found = connected_components(edges, one_task=ONE_TASK_EDGES)
     return spans.join(found, spans["root"] == found["node"], "left").select(*SPAN, "dist", "id", F.coalesce("component", "root").alias("region"))
 
