@@ -17,13 +17,14 @@ from __future__ import annotations
 import functools
 import itertools
 import json
-import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a task.
 CACHE_WORDS = 450_000
+#: New words that the tokenizer gets at once.
+LINES = 20_000
+#: Bytes of texts that are encoded at once.
+SLICE_BYTES = 1 << 22
 #: Pieces of one length that a task ranks.
 BUCKET_ROWS = 100_000
 
@@ -64,70 +69,139 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _bytes_in(chars: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), list(chars))
+
+
+#: Marks after a word that are a token's text of their own; those of special tokens and contractions are not among them.
+MARKS = "".join(sorted(set(string.punctuation) - set("'<|>_")))
+BLANK_BYTES, MARK_BYTES, LETTER_BYTES = _bytes_in(b" \t\n\r"), _bytes_in(MARKS.encode()), _bytes_in(string.ascii_letters.encode())
+
+
+def blank_separated(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of UTF-8 texts in turn, and the number of words up to each text's end.
+
+    Marks between an ASCII letter and a blank are a word of their own.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # each text ends with a blank
+    blank, mark = BLANK_BYTES[data], MARK_BYTES[data]
+    keep = ~blank
+    begin = keep.copy()
+    begin[1:] &= blank[:-1]
+    after = np.flatnonzero(mark[1:] & LETTER_BYTES[data[:-1]]) + 1
+    other = np.flatnonzero(~mark)
+    begin[after[blank[other[np.searchsorted(other, after)]]]] = True
+    at = np.flatnonzero(begin)
+    kept = data[keep]
+    offsets = np.append(np.cumsum(keep, dtype=np.int32)[at] - 1, len(kept)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return words, np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+
+
 class WordEncoder:
     """Ids of whole texts, by a memo of the ids of blank-separated words; other tokenizers than that of ``STAGES`` get whole texts.
 
     The tokenizer folds runs of white space, drops them and never joins what stands on both sides of
     one, so a text's ids are those of its words in turn. It also lower-cases, and parts letters from the
-    full stop or comma after them; doing so before words are looked up keeps the memo small.
+    marks after them; doing so before words are looked up keeps the memo small. Texts are taken many at
+    once: each of their different words is looked up once.
     """
 
-    #: NFC, which the tokenizer applies first, never composes across these.
-    BLANK = re.compile("[ \t\n\r]+")
-    #: A single full stop or comma at the end of a word is a token's text of its own.
-    STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \t\n\r]|\Z)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             stages = json.load(f)
-        self.by_words = all(stages.get(k) == v for k, v in STAGES.items()) and stages.get("post_processor") is None
+        added = stages.get("added_tokens") or []
+        plain = not any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] or set(a["content"]) & set(" \t\n\r" + MARKS) for a in added)
+        self.by_words = plain and all(stages.get(k) == v for k, v in STAGES.items()) and stages.get("post_processor") is None
+        self.special = [a["content"].lower() for a in added]
+        # For lines of letters alone, each one pre-token, and the id between two.
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.line_end = self.lines.encode("\n", add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        return self.encode_texts([text])[0]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
         if not self.by_words:
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        words, ends = blank_separated([self.lowered(t).encode() for t in texts])
+        codes = words.dictionary_encode()
+        ids = self.look_up(codes.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins, codes = np.cumsum(sizes) - sizes, codes.indices.to_numpy()
+        sizes = sizes[codes]
+        edges = np.append(0, np.cumsum(sizes))
+        places = np.repeat(begins[codes] - edges[:-1], sizes) + np.arange(edges[-1])
+        flat = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        return [flat[a:b] for a, b in itertools.pairwise([0, *(4 * edges[ends]).tolist()])]
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case where this changes no id, else as it is."""
         low = text.lower()
-        if len(low) == len(text) and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            words = self.STOP.sub(r" \1", low).replace("\n", " ").split(" ")
-        else:
-            words = self.BLANK.split(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-        return b"".join(map(self.memo.__getitem__, words))
+        if not text.isascii() and (len(low) != len(text) or "Σ" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+            return text
+        return text if any(s in low for s in self.special) else low  # <|EndOfText|> is no special token, but is one in lower case
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        found = list(map(self.memo.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            self.learn([words[k] for k in missing])
+            for k in missing:
+                found[k] = self.memo[words[k]]
+        return found
 
     def learn(self, words: list[str]) -> None:
         if len(self.memo) > CACHE_WORDS:  # what came first is mostly what is frequent
             self.memo = dict(itertools.islice(self.memo.items(), CACHE_WORDS // 2))
-        memo = self.memo
-        for k in range(0, len(words), 100_000):
-            new = {w: self.parts(w) for w in words[k : k + 100_000] if w not in memo}
-            self.encode({p for parts in new.values() for p in parts if p not in memo})
-            for w, parts in new.items():
-                memo[w] = b"".join(map(memo.__getitem__, parts))
+        letters, parts = [], {}
+        for w in words:
+            if self.is_letters(w):
+                letters.append(w)
+            else:
+                parts[w] = self.parts(w)
+        more = {p for some in parts.values() for p in some}.difference(letters, self.memo)
+        self.encode_letters([*letters, *filter(self.is_letters, more)])
+        self.encode_words([p for p in more if p not in self.memo])
+        for w, some in parts.items():
+            self.memo[w] = b"".join(map(self.memo.__getitem__, some))
 
     @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        if not word.isascii() and ("Σ" in word or len(word.lower()) != len(word) or not unicodedata.is_normalized("NFC", word)):
-            return (word,)
-        word = word.lower()
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            return word[:-1], word[-1]
+    def is_letters(word: str) -> bool:
+        """Whether the tokenizer takes a word as it is for one pre-token of letters."""
+        if word.isascii():
+            return word.isalpha() and word.islower()
+        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    def parts(self, word: str) -> tuple[str, ...]:
+        word = self.lowered(word)
+        letters = word.rstrip(MARKS)
+        if letters != word and letters and self.is_letters(letters[-1]):
+            return letters, word[len(letters) :]
         return (word,)
 
-    def encode(self, new: set[str]) -> None:
-        for w in new:
-            if w.isalpha() and w == w.lower() and (w.isascii() or "Σ" not in w and unicodedata.is_normalized("NFC", w)):
-                # Letters alone are one pre-token, which goes to the model as its bytes' stand-in characters.
-                found = self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(STAND_INS))
-                self.memo[w] = np.asarray([t.id for t in found], "<u4").tobytes()
-        rest = [w for w in new if w not in self.memo]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+    def encode_letters(self, words: list[str]) -> None:
+        for k in range(0, len(words), LINES):
+            lines = words[k : k + LINES]
+            ids = np.asarray(self.lines.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.line_end[0])).tolist() if len(self.line_end) == 1 else []
+            if len(ends) == len(lines) - 1:
+                flat = ids.tobytes()
+                self.memo.update(zip(lines, [flat[a + 4 : b] for a, b in itertools.pairwise([-4, *ends, len(flat)])], strict=True))
+            else:  # the vocabulary has no line end of its own
+                self.encode_words(lines)
+
+    def encode_words(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
 
 
@@ -137,6 +211,14 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (doc_id, text) of about ``SLICE_BYTES`` of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES)) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
+        yield batch.slice(a, b - a)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenised pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, salt (and ids).
 
@@ -146,12 +228,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, salt = encoder(path), 0
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             size = 0
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, ids in zip(batch.column(0), encode.encode_texts([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 salt = salt + 1 & 0x7FFFFFFF
-                ids = encode(text.as_py() or "") + end
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc.as_py(), k, at // 4, len(piece) // 4, zlib.crc32(piece), salt, piece if with_ids else None), strict=True):

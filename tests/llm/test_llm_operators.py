@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from splatlake.llm import decontaminate, htmltext, jaccard, knn, language, packing, sharding, substrings, toxicity
@@ -409,6 +410,52 @@ def test_packing(spark, docs, rows, empty):
     encode.by_words = True
 
 
+def test_packing_encodes_many_texts_at_once(monkeypatch):
+    """Ids are the tokenizer's; new words of many texts reach it in a few calls, and words met before in none."""
+    from tokenizers import Tokenizer
+
+    path, rng = packing.tokenizer_path(), random.Random(8)
+    t, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+
+    def want(texts):
+        return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+
+    # Lower case composes (J with a caron), makes special tokens, and ends otherwise (sigma); marks before blanks, inside words and after accents.
+    odd = ["J\u030c W\u030a. T\u0308,", "<|EndOfText|> x<|ENDOFTEXT|>, <|endoftext|>. a<|startoftext|>!!", "A\u03a3. \u03a3a\u03a3, \u0130", "it's 'S, x'LL. ok''", "a*** b.&&& c.d. \u00e9### e\u0301. 1. 2,,", "", " \t\r\n", "a\u00a0b\x0bc\tD\re"]
+    parts = [*"aAzZstJWT'.,;*#<>|_1 \n\t\r", "\u030c", "\u030a", "\u03a3", "\u0130", "\u00df", "\u00c9", "\u0338", "\u00a0", "\u4e2d", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL"]
+    odd += ["".join(rng.choices(parts, k=rng.randrange(20))) for _ in range(3000)]
+    assert encode.by_words and encode.encode_texts(odd) == want(odd)
+    assert [packing.WordEncoder(path)(x) for x in odd[:8]] == want(odd[:8])
+    texts = [" ".join("".join(rng.choices("abcdefgh\u00e9", k=9)) + rng.choice(["", ".", ","]) for _ in range(60)) for _ in range(300)]
+    calls = Counter()
+
+    class Counted:
+        def __init__(self, name, inner):
+            self.name, self.inner = name, inner
+
+        def encode_batch_fast(self, *args, **options):
+            calls[self.name] += bool(args[0])
+            return self.inner.encode_batch_fast(*args, **options)
+
+    encode.lines, encode.tokenizer = Counted("lines", encode.lines), Counted("words", encode.tokenizer)
+    first = encode.encode_texts(texts)
+    assert first == want(texts) and calls["lines"] == 1 and calls["words"] <= 1
+    calls.clear()
+    assert encode.encode_texts(texts[::-1]) == first[::-1] and not calls
+    monkeypatch.setattr(packing, "LINES", 50)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 100)
+    for line_end in (encode.line_end, []):  # in small lots, and as if the vocabulary had no line end
+        encode.memo, encode.line_end = {}, line_end
+        assert [x for k in range(0, 300, 40) for x in encode.encode_texts(texts[k : k + 40])] == first
+    monkeypatch.setattr(packing, "SLICE_BYTES", 40)
+    texts = [None if n is None else "x" * n for n in (3, None, 41, 90, 20, 20, 20, 0, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    cut = [x.to_pylist() for x in packing.slices(batch)]
+    assert sum(cut, []) == batch.to_pylist() and len(cut) > 3
+    assert all(sum(len(r["text"] or "") for r in x[1:]) < 40 for x in cut)
+    assert not sum((x.to_pylist() for x in packing.slices(batch.slice(0, 0))), [])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
