@@ -13,18 +13,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splatlake.operators.navfield import TILE, links
+from splatlake.functions.storage import written
+from splatlake.operators.navfield import SPAN, TILE, border_distance, links, merge_regions, number, packed_regions, unpacked, watershed
 from splatlake.operators.tiles import roots, whole_tiles
 
 #: Cells that a simplified contour may lie off, vertices of a polygon, cells between height samples, heights that a surface may lie off.
 MAX_ERROR, MAX_VERTICES, SAMPLE, HEIGHT_ERROR = 1.3, 6, 6, 1.0
 #: Cells that corners are moved by where a contour touches itself.
 APART = 1e-4
+#: Points of a chain from which on arrays are quicker than numbers.
+FEW = 50
 #: Vertices of a contour that is cut into triangles without being simplified.
 MOST_EXACT = 400
 # Corners of a cell at which its sides (in the order of the steps) begin.
 _BEGIN = np.array([(1, 0), (1, 1), (0, 1), (0, 0)])
 _NOTHING, _TILE_SIDE = -1, -2
+SCHEMA = "region long, tx long, tz long, piece long, nth long, xs array<long>, zs array<long>, heights array<double>"
+#: Rows of packed spans (and of roots) that are solved at once, at least.
+PACKED_ROWS = 1024
 
 Point = tuple[int, int]
 
@@ -88,14 +94,22 @@ def _chain(points: list[Point], error: float) -> list[Point]:
     a, b = points[0], points[-1]
     if len(points) < 3:
         return [a]
-    p = np.array(points[1:-1], float)
-    d = np.array(b, float) - a
-    length = float(d @ d)
-    t = np.clip(((p - a) @ d) / length, 0, 1) if length else np.zeros(len(p))
-    off = ((p - a - t[:, None] * d) ** 2).sum(1)
-    if off.max() <= error * error:
+    dx, dz = b[0] - a[0], b[1] - a[1]
+    length = dx * dx + dz * dz
+    if len(points) > FEW:
+        x, z = (np.array(points[1:-1]) - a).T
+        t = np.clip((x * dx + z * dz) / length, 0, 1) if length else np.zeros(len(x))
+        off = ((x - t * dx) ** 2 + (z - t * dz) ** 2).tolist()
+    else:
+        off = []
+        for x, z in points[1:-1]:
+            x, z = x - a[0], z - a[1]
+            t = min(max((x * dx + z * dz) / length, 0.0), 1.0) if length else 0.0
+            off.append((x - t * dx) ** 2 + (z - t * dz) ** 2)
+    most = max(off)
+    if most <= error * error:
         return [a]
-    worst = min((points[k + 1], k + 1) for k in np.flatnonzero(off >= off.max() - 1e-9))[1]
+    worst = min((points[k], k) for k, v in enumerate(off, 1) if v >= most - 1e-9)[1]
     return _chain(points[: worst + 1], error) + _chain(points[worst:], error)
 
 
@@ -116,16 +130,24 @@ def simplified(contour: Contour, error: float) -> list[Point]:
 
 def _crossing(rings: list[list[Point]]) -> bool:
     """Whether sides of rings cross or touch other than at common corners."""
-    a = np.array([p for r in rings for p in r], float)
-    b = np.array([p for r in rings for p in r[1:] + r[:1]], float)
-    turn = lambda o, p, q: (p[..., 0] - o[..., 0]) * (q[..., 1] - o[..., 1]) - (p[..., 1] - o[..., 1]) * (q[..., 0] - o[..., 0])
-    o, p = a[:, None], b[:, None]
-    s1, s2 = turn(o, p, a[None]), turn(o, p, b[None])
-    s3, s4 = turn(a[None], b[None], o), turn(a[None], b[None], p)
-    if ((s1 * s2 < 0) & (s3 * s4 < 0)).any():
+    a = np.array([p for r in rings for p in r])
+    b = np.array([p for r in rings for p in r[1:] + r[:1]])
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    a, b, low, high = a[order], b[order], low[order], high[order]
+    # Only sides whose boxes meet.
+    counts = np.searchsorted(low[:, 0], high[:, 0], "right") - np.arange(1, len(a) + 1)
+    i = np.repeat(np.arange(len(a)), counts)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + i + 1
+    near = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+    i, j = i[near], j[near]
+    o, p, u, v = a[i], b[i], a[j], b[j]
+    turn = lambda o, p, q: (p[:, 0] - o[:, 0]) * (q[:, 1] - o[:, 1]) - (p[:, 1] - o[:, 1]) * (q[:, 0] - o[:, 0])
+    s1, s2, s3, s4 = turn(o, p, u), turn(o, p, v), turn(u, v, o), turn(u, v, p)
+    if ((np.sign(s1) * np.sign(s2) < 0) & (np.sign(s3) * np.sign(s4) < 0)).any():
         return True
-    within = lambda q: ((q - o) * (q - p)).sum(-1) < 0  # noqa: E731 between the ends
-    return bool(((s1 == 0) & within(a[None])).any() or ((s2 == 0) & within(b[None])).any())
+    within = lambda s, q, o, p: ((s == 0) & (((q - o) * (q - p)).sum(1) < 0)).any()  # noqa: E731 between the ends
+    return bool(within(s1, u, o, p) or within(s2, v, o, p) or within(s3, o, u, v) or within(s4, p, u, v))
 
 
 def _bridged(outer: list[Point], holes: list[list[Point]]) -> list[Point] | None:
@@ -190,6 +212,17 @@ def _apart(ring: list[Point]) -> list[tuple[float, float]]:
     return out
 
 
+def _within(a, b, c, places: list, which: list[int], but: tuple[int, int, int]) -> bool:
+    """Whether any of the places is in a triangle or on its sides."""
+    (ax, az), (bx, bz), (cx, cz) = a, b, c
+    abx, abz, bcx, bcz, cax, caz = bx - ax, bz - az, cx - bx, cz - bz, ax - cx, az - cz
+    for q in which:
+        x, z = places[q]
+        if abx * (z - az) - abz * (x - ax) >= 0 and bcx * (z - bz) - bcz * (x - bx) >= 0 and cax * (z - cz) - caz * (x - cx) >= 0 and q not in but:
+            return True
+    return False
+
+
 def ears(ring: list[Point]) -> list[tuple[Point, Point, Point]] | None:
     """Triangles of a ring that may touch itself, by cutting off ears; None if it can't be done."""
     at_, left, out = _apart(ring), list(range(len(ring))), []
@@ -198,7 +231,7 @@ def ears(ring: list[Point]) -> list[tuple[Point, Point, Point]] | None:
         n = len(left)
         i, j, k = left[at % n - 1], left[at % n], left[(at + 1) % n]
         a, b, c = at_[i], at_[j], at_[k]
-        if cross(a, b, c) > 0 and not any(q not in (i, j, k) and cross(a, b, at_[q]) >= 0 and cross(b, c, at_[q]) >= 0 and cross(c, a, at_[q]) >= 0 for q in left):
+        if cross(a, b, c) > 0 and not _within(a, b, c, at_, left, (i, j, k)):
             turn = cross(ring[i], ring[j], ring[k])
             if turn < 0:
                 return None
@@ -254,10 +287,9 @@ def _piece_polygons(rings: list[Contour], x, z, top, error: float) -> list[tuple
     """Polygons of one piece with heights of their corners: of simplified contours, else of exact ones, else rectangles."""
     flat = (x.astype(np.int64) << 32) + z
     if len(np.unique(flat)) == len(flat):
-        heights: dict[Point, float] = {}
-        for dx, dz in _BEGIN.tolist():
-            for a, b, h in zip((x + dx).tolist(), (z + dz).tolist(), top.tolist(), strict=True):
-                heights[a, b] = max(h, heights.get((a, b), h))
+        tops = dict(zip(zip(x.tolist(), z.tolist(), strict=True), top.tolist(), strict=True))
+        # The highest of the cells that meet in a corner.
+        height = lambda v: max(t for i in (v[0] - 1, v[0]) for j in (v[1] - 1, v[1]) if (t := tops.get((i, j))) is not None)
         for limit in (error, 0.0):
             own = [simplified(r, limit) if limit else r.corners for r in rings]
             if sum(map(len, own)) > MOST_EXACT and not limit:
@@ -269,7 +301,7 @@ def _piece_polygons(rings: list[Contour], x, z, top, error: float) -> list[tuple
             ring = _bridged(outer[0], [r for r in own if ring_area(r) < 0])
             triangles = ears(ring) if ring else None
             if triangles and abs(sum(cross(*t) for t in triangles) / 2 - sum(map(ring_area, own))) < 1e-6:
-                return [(p, [heights[v] for v in p]) for p in convex_polygons(triangles)]
+                return [(p, [height(v) for v in p]) for p in convex_polygons(triangles)]
     return _rectangles(x, z, top)
 
 
@@ -303,37 +335,69 @@ def _detailed(polygon: list[Point], heights: list[float], samples: np.ndarray) -
 
 def region_polygons(spans: DataFrame, climb: int, tall: int, error: float = MAX_ERROR) -> DataFrame:
     """Convex polygons of regions: region, tx, tz, piece, nth, xs, zs (corners of cells), heights, and triangles (x, height, z of three corners each, flat)."""
+    rows = spans.withColumns({"tx": F.floor(F.col("gx") / TILE).cast("int"), "tz": F.floor(F.col("gz") / TILE).cast("int")})
+    return whole_tiles(rows, ["tx", "tz"], lambda c: _tile_polygons(c, climb, tall, error), f"{SCHEMA}, triangles array<double>")
+
+
+def merged_polygons(spans: DataFrame, climb: int, tall: int, least: int, merge: int, error: float = MAX_ERROR) -> DataFrame:
+    """Polygons (``region_polygons``, without triangles) of the merged regions of spans."""
+    packed = packed_regions(spans, climb, tall, least, merge)
+    if packed is None:
+        found = written(watershed(border_distance(spans, climb, tall), climb, tall), "regions")
+        return region_polygons(merge_regions(found, climb, tall, least, merge), climb, tall, error).drop("triangles")
 
     def kernel(c: dict[str, np.ndarray]) -> dict[str, list]:
-        link = links(c, climb, tall)
-        back = np.full_like(link, -1)
-        for k in range(4):
-            i = np.flatnonzero(link[:, k] >= 0)
-            j = link[i, k]
-            good = i[link[j, (k + 2) % 4] == i]
-            back[good, k] = link[good, k]
-        rings, piece = contours(c, back)
-        by_piece: dict[int, list[Contour]] = {}
-        for r in rings:
-            by_piece.setdefault(r.piece, []).append(r)
-        order = np.argsort(piece, kind="stable")
-        first = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1]))
-        rows: dict[str, list] = {k: [] for k in ("region", "tx", "tz", "piece", "nth", "xs", "zs", "heights", "triangles")}
-        ids = c["id"]
-        for group in np.split(order, first[1:]):
-            x, z, top = (c[k][group].astype(np.int64) for k in ("gx", "gz", "top"))
-            sampled = (x % SAMPLE == 0) & (z % SAMPLE == 0)
-            samples = np.stack([x[sampled] + 0.5, z[sampled] + 0.5, top[sampled]], 1).astype(float)
-            at = group[0]
-            for nth, (polygon, heights) in enumerate(_piece_polygons(by_piece.get(int(piece[at]), []), x, z, top, error)):
-                (a, b), (d, e) = np.min(polygon, 0), np.max(polygon, 0)
-                inside = samples[(samples[:, 0] > a) & (samples[:, 0] < d) & (samples[:, 1] > b) & (samples[:, 1] < e)]
-                triangles = _detailed(polygon, heights, inside)
-                values = (int(c["region"][at]), int(c["tx"][at]), int(c["tz"][at]), int(ids[group].min()), nth, [p[0] for p in polygon], [p[1] for p in polygon], [float(h) for h in heights], [v for t in triangles for p in t for v in p])
-                for k, v in zip(rows, values, strict=True):
-                    rows[k].append(v)
+        named = np.flatnonzero(c["spans"] == b"")
+        named = named[np.argsort(c["root"][named])]
+        s = unpacked(c["spans"])
+        at = np.searchsorted(c["root"][named], s["root"])
+        s, at = s[at < len(named)], at[at < len(named)]
+        good = c["root"][named][at] == s["root"]
+        s, at = s[good], at[good]
+        s_ = {k: np.ascontiguousarray(s[k]) for k in SPAN}
+        return _tile_polygons(s_ | {"tx": s_["gx"] // TILE, "tz": s_["gz"] // TILE, "id": number(*[s_[k] for k in ("gx", "gz", "top")]), "region": c["region"][named][at]}, climb, tall, error, detail=False)
+
+    return whole_tiles(packed, ["tx", "tz"], kernel, SCHEMA, PACKED_ROWS)
+
+
+def _tile_polygons(c: dict[str, np.ndarray], climb: int, tall: int, error: float, detail: bool = True) -> dict[str, list]:
+    """Polygons of whole tiles, with triangles if ``detail``."""
+    rows: dict[str, list] = {k: [] for k in ("region", "tx", "tz", "piece", "nth", "xs", "zs", "heights", "triangles")[: 9 if detail else 8]}
+    if not len(c["gx"]):
         return rows
-
-    rows = spans.withColumns({"tx": F.floor(F.col("gx") / TILE).cast("int"), "tz": F.floor(F.col("gz") / TILE).cast("int")})
-    schema = "region long, tx long, tz long, piece long, nth long, xs array<long>, zs array<long>, heights array<double>, triangles array<double>"
-    return whole_tiles(rows, ["tx", "tz"], kernel, schema)
+    # In order of places, as where a contour begins decides on how it is cut into triangles.
+    order = np.lexsort([c[k] for k in ("top", "gx", "gz", "tx", "tz")])
+    c = {k: v[order] for k, v in c.items()}
+    link = links(c, climb, tall)
+    back = np.full_like(link, -1)
+    for k in range(4):
+        i = np.flatnonzero(link[:, k] >= 0)
+        j = link[i, k]
+        good = i[link[j, (k + 2) % 4] == i]
+        back[good, k] = link[good, k]
+    rings, piece = contours(c, back)
+    by_piece: dict[int, list[Contour]] = {}
+    for r in rings:
+        by_piece.setdefault(r.piece, []).append(r)
+    order = np.argsort(piece, kind="stable")
+    first = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1]))
+    ids = c["id"]
+    for group in np.split(order, first[1:]):
+        x, z, top = (c[k][group].astype(np.int64) for k in ("gx", "gz", "top"))
+        at = group[0]
+        polygons = _piece_polygons(by_piece.get(int(piece[at]), []), x, z, top, error)
+        for k, v in zip(("region", "tx", "tz", "piece"), (c["region"][at], c["tx"][at], c["tz"][at], ids[group].min()), strict=True):
+            rows[k] += [int(v)] * len(polygons)
+        rows["nth"] += range(len(polygons))
+        rows["xs"] += [[v[0] for v in polygon] for polygon, _ in polygons]
+        rows["zs"] += [[v[1] for v in polygon] for polygon, _ in polygons]
+        rows["heights"] += [[float(h) for h in heights] for _, heights in polygons]
+        if not detail:
+            continue
+        sampled = (x % SAMPLE == 0) & (z % SAMPLE == 0)
+        samples = np.stack([x[sampled] + 0.5, z[sampled] + 0.5, top[sampled]], 1).astype(float)
+        for polygon, heights in polygons:
+            (a, b), (d, e) = np.min(polygon, 0), np.max(polygon, 0)
+            inside = samples[(samples[:, 0] > a) & (samples[:, 0] < d) & (samples[:, 1] > b) & (samples[:, 1] < e)]
+            rows["triangles"].append([v for t in _detailed(polygon, heights, inside) for p in t for v in p])
+    return rows
