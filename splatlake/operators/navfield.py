@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from splatlake.functions.storage import discard, written
-from splatlake.operators.components import connected_components
+from splatlake.operators.components import connected_components, of_one_task
 from splatlake.operators.tiles import places, roots, whole_tiles
 from splatlake.operators.voxel import ONE_TASK_EDGES
 
@@ -52,6 +52,12 @@ def number(gx: np.ndarray, gz: np.ndarray, top: np.ndarray) -> np.ndarray:
     return ((gx.astype(np.int64) + half << _BITS) + (gz.astype(np.int64) + half) << _BITS) + (top.astype(np.int64) + half)
 
 
+def _tile_of(c: str) -> list[Column]:
+    """Tile (tx, tz) of a ``span_id``."""
+    half = 1 << _BITS - 1
+    return [F.floor((v - half) / TILE).cast("int") for v in (F.shiftrightunsigned(c, 2 * _BITS), F.shiftrightunsigned(c, _BITS).bitwiseAND((1 << _BITS) - 1))]
+
+
 def located(ids: np.ndarray) -> dict[str, np.ndarray]:
     """gx, gz and top of ``span_id``."""
     half, mask = 1 << _BITS - 1, (1 << _BITS) - 1
@@ -260,6 +266,33 @@ def merge_regions(spans: DataFrame, climb: int, tall: int, least: int, merge: in
     return spans.join(merged(sizes, graph, least, merge), "region").drop("region").withColumnRenamed("new", "region")
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """``connected_components`` of edges (a, b) between ids, without loops; if there are many, what lies inside a tile is united by the tile's task."""
+
+    def kernel(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        a, b, inside = c["a"], c["b"], c["inside"]
+        nodes, at = np.unique(np.concatenate([a, b[inside]]), return_inverse=True)
+        root = nodes[roots(at[: len(a)][inside], at[len(a) :], len(nodes))]
+        # A row for each node, and one more for each way to another tile.
+        out = {"node": np.concatenate([nodes, root[at[: len(a)]][~inside]]), "root": np.concatenate([root, b[~inside]])}
+        return out | {"way": np.arange(len(out["node"])) >= len(nodes)}
+
+    seen = Observation()
+    edges = written(edges.select("a", "b").observe(seen, F.count(F.lit(1)).alias("n")), "edges")
+    if seen.get["n"] <= ONE_TASK_EDGES:
+        return of_one_task(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    tile = lambda c: F.array(*_tile_of(c))
+    rows = edges.select("a", "b", *[v.alias(k) for k, v in zip(("tx", "tz"), _tile_of("a"), strict=True)], (tile("a") == tile("b")).alias("inside"))
+    parts = written(whole_tiles(rows, ["tx", "tz"], kernel, "node long, root long, way boolean"), "united")
+    nodes = parts.where("NOT way").select("node", "root")
+    ways = parts.where("way").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    ways = ways.join(nodes.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+    found = written(connected_components(ways, one_task=ONE_TASK_EDGES), "components")
+    # Nodes that have ways from other tiles only are not among the tiles'.
+    others = found.join(nodes, "node", "left_anti").select("node", "component")
+    return nodes.join(found.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("component")).union(others)
+
+
 def merged(sizes: DataFrame, graph: DataFrame, least: int, merge: int, rounds: int = 40) -> DataFrame:
     """For regions of sizes (region, n) and graph (a, b, sides; in both directions) the region ``new`` that each was merged into, if it has ``least`` spans.
 
@@ -273,7 +306,7 @@ def merged(sizes: DataFrame, graph: DataFrame, least: int, merge: int, rounds: i
             break
         other = sizes.select(F.col("region").alias("b"), "n")
         edges = small.join(other, "b").groupBy("a").agg(F.max_by("b", F.struct("sides", "n", -F.col("b"))).alias("b"))
-        found = written(connected_components(edges, one_task=ONE_TASK_EDGES), "merged")
+        found = written(_united(edges), "merged")
         moved = lambda df, c: df.join(found.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
         into = written(moved(into, "new"), "into")
         sizes = written(moved(sizes, "region").groupBy("region").agg(F.sum("n").alias("n")), "regions")
@@ -407,7 +440,5 @@ def packed_regions(spans: DataFrame, climb: int, tall: int, least: int, merge: i
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     graph = written(both.select(ends.alias("e"), "sides").select("e.a", "e.b", "sides"), "sides")
     named = basins.join(merged(sizes, graph, least, merge), "region")
-    half = 1 << _BITS - 1
-    tile = lambda v: F.floor((v - half) / TILE).cast("int")
-    named = named.select(tile(F.shiftrightunsigned("root", 2 * _BITS)).alias("tx"), tile(F.shiftrightunsigned("root", _BITS).bitwiseAND((1 << _BITS) - 1)).alias("tz"), F.lit(b"").alias("spans"), "root", F.col("new").alias("region"))
+    named = named.select(*[v.alias(k) for k, v in zip(("tx", "tz"), _tile_of("root"), strict=True)], F.lit(b"").alias("spans"), "root", F.col("new").alias("region"))
     return of(_SURE).select("tx", "tz", "spans", F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("region")).union(named)

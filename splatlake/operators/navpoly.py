@@ -263,7 +263,8 @@ def convex_polygons(triangles: list[tuple[Point, Point, Point]], most: int = MAX
         p, q = p[i:] + p[:i], q[j:] + q[:j]  # b .. a and a .. b
         ring = p + q[1:-1]
         n = len(ring)
-        if len(set(ring)) < n or any(cross(ring[k - 1], ring[k], ring[(k + 1) % n]) < 0 for k in range(n)):
+        # Of the corners only b and a are new.
+        if len(set(ring)) < n or cross(ring[-1], b, ring[1]) < 0 or cross(p[-2], a, ring[len(p) % n]) < 0:
             continue
         polygons[one] = ring
         del polygons[two]
@@ -289,7 +290,7 @@ def _piece_polygons(rings: list[Contour], x, z, top, error: float) -> list[tuple
     if len(np.unique(flat)) == len(flat):
         tops = dict(zip(zip(x.tolist(), z.tolist(), strict=True), top.tolist(), strict=True))
         # The highest of the cells that meet in a corner.
-        height = lambda v: max(t for i in (v[0] - 1, v[0]) for j in (v[1] - 1, v[1]) if (t := tops.get((i, j))) is not None)
+        height = lambda v: max([t for c in ((v[0], v[1]), (v[0] - 1, v[1]), (v[0], v[1] - 1), (v[0] - 1, v[1] - 1)) if (t := tops.get(c)) is not None])
         for limit in (error, 0.0):
             own = [simplified(r, limit) if limit else r.corners for r in rings]
             if sum(map(len, own)) > MOST_EXACT and not limit:

@@ -59,5 +59,15 @@ def test_tiles_that_need_wider_rings(spark, monkeypatch):
     assert navfield.packed_regions(plain.frame(spark, spans), 1, 4, 16, 144) is None and again == [1, 1]
 
 
+def test_merging_by_tiles(spark, monkeypatch):
+    rng = random.Random(4)
+    at = [(x, z) for x in range(0, 600, 60) for z in range(-300, 300, 60)]
+    nodes = [plain.number((x, z, 0)) for x, z in at]
+    edges = [(a, b) for a in nodes if rng.random() < 0.7 and (b := nodes[(nodes.index(a) + rng.choice([1, 1, 2, 10])) % len(nodes)]) != a]
+    monkeypatch.setattr(navfield, "ONE_TASK_EDGES", 20)
+    found = navfield._united(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == sorted(plain.united({n for e in edges for n in e}, edges).items())
+
+
 def test_no_spans(spark):
     assert navpoly.merged_polygons(plain.frame(spark, []), 1, 4, 16, 144).count() == 0
